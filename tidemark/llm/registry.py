@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import preference, sharding, urls
+from tidemark.llm import preference, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_preference_format": preference.op1_preference_format,
+        "op2_mcd_quality": quality.op2_mcd_quality,
         "op7_histogram_shards": sharding.op7_histogram_shards,
         "op9_redirect_filter": urls.op9_redirect_filter,
     }
