@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import preference, quality, sharding, urls
+from tidemark.llm import decontamination, packing, preference, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_preference_format": preference.op1_preference_format,
         "op2_mcd_quality": quality.op2_mcd_quality,
+        "op3_winnowing_decontamination": decontamination.op3_winnowing_decontamination,
+        "op4_mixture_packing": packing.op4_mixture_packing,
         "op7_histogram_shards": sharding.op7_histogram_shards,
         "op9_redirect_filter": urls.op9_redirect_filter,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_preference_format": preference.ORACLE, "op9_redirect_filter": urls.ORACLE}
+    return {"op1_preference_format": preference.ORACLE, "op3_winnowing_decontamination": decontamination.ORACLE, "op9_redirect_filter": urls.ORACLE}
