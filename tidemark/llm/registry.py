@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, packing, preference, quality, sharding, urls
+from tidemark.llm import decontamination, packing, pii, preference, quality, sharding, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mcd_quality": quality.op2_mcd_quality,
         "op3_winnowing_decontamination": decontamination.op3_winnowing_decontamination,
         "op4_mixture_packing": packing.op4_mixture_packing,
+        "op5_skip_chain_crf": pii.op5_skip_chain_crf,
         "op7_histogram_shards": sharding.op7_histogram_shards,
         "op9_redirect_filter": urls.op9_redirect_filter,
     }
