@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, packing, pii, preference, quality, sharding, urls
+from tidemark.llm import decontamination, jaccard, packing, pii, preference, quality, sharding, urls
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op3_winnowing_decontamination": decontamination.op3_winnowing_decontamination,
         "op4_mixture_packing": packing.op4_mixture_packing,
         "op5_skip_chain_crf": pii.op5_skip_chain_crf,
+        "op6_grouped_prefix_join": jaccard.op6_grouped_prefix_join,
         "op7_histogram_shards": sharding.op7_histogram_shards,
         "op9_redirect_filter": urls.op9_redirect_filter,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_preference_format": preference.ORACLE, "op3_winnowing_decontamination": decontamination.ORACLE, "op9_redirect_filter": urls.ORACLE}
+    return {"op1_preference_format": preference.ORACLE, "op3_winnowing_decontamination": decontamination.ORACLE, "op6_grouped_prefix_join": jaccard.ORACLE, "op9_redirect_filter": urls.ORACLE}
