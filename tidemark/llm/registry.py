@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, jaccard, packing, pii, preference, quality, sharding, urls
+from tidemark.llm import decontamination, jaccard, packing, pii, preference, quality, sharding, suffixes, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_skip_chain_crf": pii.op5_skip_chain_crf,
         "op6_grouped_prefix_join": jaccard.op6_grouped_prefix_join,
         "op7_histogram_shards": sharding.op7_histogram_shards,
+        "op8_bwt_merge_dedup": suffixes.op8_bwt_merge_dedup,
         "op9_redirect_filter": urls.op9_redirect_filter,
     }
 
