@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, jaccard, packing, pii, preference, quality, sharding, suffixes, urls
+from tidemark.llm import chaining, decontamination, jaccard, packing, pii, preference, quality, sharding, suffixes, urls
 
 
 def queries() -> dict:
     return {
         "op1_preference_format": preference.op1_preference_format,
+        "op10_collinear_chaining": chaining.op10_collinear_chaining,
         "op2_mcd_quality": quality.op2_mcd_quality,
         "op3_winnowing_decontamination": decontamination.op3_winnowing_decontamination,
         "op4_mixture_packing": packing.op4_mixture_packing,
