@@ -5,8 +5,15 @@ from __future__ import annotations
 from tidemark.llm import chaining, decontamination, jaccard, packing, pii, preference, quality, sharding, suffixes, urls
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_preference_format": preference.op1_preference_format,
         "op10_collinear_chaining": chaining.op10_collinear_chaining,
         "op2_mcd_quality": quality.op2_mcd_quality,
