@@ -1,7 +1,9 @@
 """N-gram Jaccard join by grouped prefixes.
 
 1. Documents with equal shingle sets are one class (its smallest id stands for it).
-2. A cheap prefix filter in hash order keeps the classes that share any prefix shingle with another class.
+2. Two linked sets share at least L shingles within their prefixes of ``n - ceil(t n) + L`` shingles in any common order.  In
+   hash order, with L a small share of n, this keeps the classes of whose prefix enough shingles occur elsewhere; a few
+   common passages in a text do not make it a candidate, and only about a fifth of all shingles are shuffled.
 3. For those, shingles are ordered by (document frequency, hash).  Frequency-1 shingles come first and link nothing, so
    only the rest of each prefix is indexed: a passage in thousands of otherwise different documents never becomes a
    posting list, and neither do strongly edited copies.
@@ -49,19 +51,24 @@ def _sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return X.signed(run[first[1:]] - run[first[:-1]])
 
 
+def _ell(n: int | np.ndarray) -> np.ndarray:
+    """How many common shingles the long prefix of a set of n must hold for a partner of the same size."""
+    return np.maximum(1, -(-6 * n // 100))
+
+
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, (s1, s2) set hash, and the prefix of the set in hash order."""
+    """doc_id, n, (s1, s2) set hash, the long prefix of the set in hash order, and how many of it must occur elsewhere."""
 
     def run(batches):
         for part, data, offs in X.chunks(batches, "text"):
             h, at = _sets(*X.words(data, offs, X.SPACED), width)
             n = np.diff(at)
-            take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+            take = np.where(n > 0, np.minimum(n, n - -(-percent * n // 100) + _ell(n)), 0)
             first = np.concatenate(([0], np.cumsum(take)))
             picked = np.repeat(at[:-1] - first[:-1], take) + np.arange(first[-1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(_sum(X.mix(h), at)), pa.array(_sum(X.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)), X.lists(X.signed(h[picked]), first, pa.int64())], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(_sum(X.mix(h), at)), pa.array(_sum(X.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)), X.lists(X.signed(h[picked]), first, pa.int64()), pa.array(_ell(-(-percent * n // 100)))], names=["doc_id", "n", "s1", "s2", "prefix", "need"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, need bigint")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -84,10 +91,10 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 4, percent
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_docs = work.save(_signatures(docs, width, percent), "signatures")
-    classes = all_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    tokens = classes.select("rep", F.explode("prefix").alias("tok"))
+    classes = all_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("need").alias("need"))
+    tokens = classes.select("rep", F.col("need").cast("int").alias("need"), F.explode("prefix").alias("tok"))
     seen = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
-    maybe = work.save(tokens.join(seen, "tok", "left_semi").select("rep").distinct(), "candidates")
+    maybe = work.save(tokens.join(seen, "tok", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("rep"), "candidates")
     n_maybe = maybe.count()
     # full sets of the candidates, in frequency order
     chosen = docs.join(maybe_broadcast(maybe, n_maybe, 24), docs["doc_id"] == maybe["rep"], "left_semi")
@@ -120,14 +127,16 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 4, percent
     spread = member.select("gid", F.explode("reps").alias("rep")).join(known, "rep").groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = work.save(posting.join(spread, "gid"), "postings")
     lone = open_.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo < thi").select("tok")
-    open_ = open_.join(lone, "tok", "left_semi")
+    open_ = open_.join(lone, "tok", "left_semi").join(member.select("gid", "prefix"), "gid")
+    # a pair meets once, at the first shingle that both prefixes hold
+    once = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.tok")
     a, b = open_.alias("a"), open_.alias("b")
     need = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / (100 + percent))
     room = lambda x: F.col(f"{x}.n") - F.col(f"{x}.alone") - F.col(f"{x}.pos")  # noqa: E731  shared shingles from here on
     pairs = (
         a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.gid") < F.col("b.gid"))
                & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-               & ~((F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))))
+               & ~((F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))) & once)
         .where(F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone")) >= need)
         .select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2"), (F.least(room("a"), room("b")) + F.least("a.pos", "b.pos")).alias("most"), need.alias("need"))
         .where("most >= need").select("g1", "g2").distinct()
