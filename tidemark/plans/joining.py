@@ -47,12 +47,12 @@ def annotation_interval_join(spark, sf):
     return J.interval_join(left, right, "user_id", 7200, 21600).select("event_id", "other_id", "user_id", ((T.micros(F.col("rts")) - T.micros(F.col("ts"))) / 1e6).alias("seconds"))
 
 
-@query("zone_overlap_join", f"""WITH {_SWING}, z AS (SELECT instrument, price - 15 AS lower, price + 15 AS upper, price FROM levels WHERE kind = 'support'), y AS (SELECT instrument, price - 2 AS rl, price AS ru, price AS rprice FROM levels WHERE kind = 'resistance' AND price < 150)
+@query("zone_overlap_join", f"""WITH {_SWING}, z AS (SELECT instrument, price - 60 AS lower, price + 60 AS upper, price FROM levels WHERE kind = 'support'), y AS (SELECT instrument, price - 2 AS rl, price AS ru, price AS rprice FROM levels WHERE kind = 'resistance' AND price < 170)
 SELECT instrument, price::DOUBLE AS price, rprice::DOUBLE AS rprice FROM z JOIN y USING (instrument) WHERE lower <= ru AND upper >= rl""")
 def zone_overlap_join(spark, sf):
     levels = I.swing_levels(S.hourly_bars(spark, sf))
-    z = levels.where("kind = 'support'").select("instrument", "price", (F.col("price") - 15).alias("lower"), (F.col("price") + 15).alias("upper"))
-    y = levels.where("kind = 'resistance' AND price < 150").select("instrument", F.col("price").alias("rprice"), (F.col("price") - 2).alias("rlower"), F.col("price").alias("rupper"))
+    z = levels.where("kind = 'support'").select("instrument", "price", (F.col("price") - 60).alias("lower"), (F.col("price") + 60).alias("upper"))
+    y = levels.where("kind = 'resistance' AND price < 170").select("instrument", F.col("price").alias("rprice"), (F.col("price") - 2).alias("rlower"), F.col("price").alias("rupper"))
     return doubles(J.overlap_join(z, y, "instrument", 4.0).select("instrument", "price", "rprice"), "price", "rprice")
 
 

@@ -1,4 +1,4 @@
 """All queries of the library; importing the modules fills the registry."""
 
-from tidemark.plans import bars_and_flow, context, joining, measures  # noqa: F401
+from tidemark.plans import bars_and_flow, context, joining, measures, signalling, storage  # noqa: F401
 from tidemark.plans.catalog import ORACLES, QUERIES  # noqa: F401
