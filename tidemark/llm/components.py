@@ -55,4 +55,5 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc", ma
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

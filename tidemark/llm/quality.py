@@ -13,7 +13,8 @@ integers (1/1024 units), so sums are exact and do not depend on the order of row
 Edge cases: a null text has no words (base_failed); null languages and sources are groups of their own; groups
 with fewer than ``min_group`` usable rows form one common group, and if that is still smaller, nothing is rejected
 by distance; constant statistics are held apart from singularity by a floor on each standard deviation; repeated
-rows each get a row; an empty table gives an empty result; extra columns are ignored or, in ``reject_outliers``, kept.
+rows each get a row; an empty table gives an empty result; extra columns are
+kept by ``reject_outliers`` unless it makes one of that name.
 """
 
 from __future__ import annotations
@@ -126,6 +127,8 @@ def _estimates(moments: DataFrame, support: float) -> DataFrame:
 def reject_outliers(docs: DataFrame, work: Workspace, steps: int = 4, support: float = SUPPORT, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, keep_text: bool = False) -> DataFrame:
     """``docs(text, lang, source, ...)`` -> its columns (the text only with ``keep_text``), the base counts, ``distance`` (squared; null where no
     estimate applies), ``base_failed`` and ``kept``."""
+    made = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals base_failed kept distance own grp".split()
+    docs = docs.drop(*made, *STATS, *(f"c{i}" for i in range(5)), *(f"w{i}{j}" for i, j in PAIRS))
     key = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     table = work.save(text_statistics(docs, keep_text=keep_text).withColumn("own", key), "statistics")
     vectors = table.where("NOT base_failed").select("own", *STATS)

@@ -11,7 +11,7 @@ of rows in the shard's earlier partitions plus the place in its own.
 
 Edge cases: null and empty texts have size 1 and one common hash; repeated rows, ids included, each keep a slot;
 null ids sort as the smallest; fewer rows than shards leave shards empty; an empty table gives an empty result; other
-columns travel along (``shard_documents``) or are ignored (the query).
+columns travel along unless they have the name of one that is made here.
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
 
     ``tolerance`` is the share of a shard's bytes by which a splitter may miss its target."""
     spark = docs.sparkSession
+    docs = docs.drop("size", "shard", "slot", "__h", "__id", "__part")
     work = work or Workspace(spark, "shards")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     h = F.xxhash64(F.coalesce("text", F.lit("")))
