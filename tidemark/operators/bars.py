@@ -50,7 +50,7 @@ def utc_aggregate(bars: DataFrame, base_seconds: int, seconds: int, strict: bool
         F.count(F.lit(1)).alias("n"),
     )
     if strict:
-        return out.withColumn("n", F.when(F.col("n") != n, F.raise_error(F.lit("incomplete bucket"))).otherwise(F.col("n"))).drop("n")
+        return out.where(F.when(F.col("n") != n, F.raise_error(F.lit("incomplete bucket")).cast("boolean")).otherwise(F.lit(True))).drop("n")
     return out.where(F.col("n") == n).drop("n")
 
 

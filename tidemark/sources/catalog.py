@@ -54,8 +54,9 @@ def append_features(features: DataFrame, path: str, stored: DataFrame | None = N
     if stored is not None:
         known = stored.select("feature_id", F.col("content_hash").alias("_h"))
         both = fresh.join(known, "feature_id", "left")
-        guard = F.when(F.col("_h").isNotNull() & (F.col("_h") != F.col("content_hash")), F.raise_error(F.concat(F.lit("conflicting feature "), F.col("feature_id"))))
-        fresh = both.withColumn("_bad", guard).where("_h IS NULL AND _bad IS NULL").drop("_h", "_bad")
+        conflict = F.col("_h").isNotNull() & (F.col("_h") != F.col("content_hash"))
+        stop = F.raise_error(F.concat(F.lit("conflicting feature "), F.col("feature_id"))).cast("boolean")
+        fresh = both.where(F.when(conflict, stop).otherwise(F.col("_h").isNull())).drop("_h")
     fresh.withColumn("day", F.to_date("as_of")).write.mode("append").partitionBy("instrument", "timeframe", "day").option("compression", "zstd").parquet(path)
     return fresh
 
