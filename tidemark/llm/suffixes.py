@@ -13,7 +13,7 @@ spell out), so no suffix is sorted again.  Rounds end when the phrases cover the
 ``length``-byte string around the anchor must share.
 
 Surviving anchors are candidates; exact checks on their bytes follow: the shared right part of all strings the anchor stands for,
-then the whole block of those strings at once, and only where that is not repeated each string alone.  Names and
+then the whole block of those strings at once, where that is not repeated short runs of them, and only then each string alone.  Names and
 checks are 64-bit and longer hashes of bytes.
 
 Matches never cross texts.  Edge cases: null and empty texts have no bytes; texts under ``length`` bytes keep everything; repeated rows
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as X
-from tidemark.llm.workspace import Workspace, maybe_broadcast
+from tidemark.llm.workspace import Workspace, flagged
 
 K = 8
 _U = np.uint64
@@ -100,12 +100,15 @@ def _repeated(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(sizes, list(key), "left_semi")
 
 
-def merge_transforms(suffixes: DataFrame, work: Workspace) -> DataFrame:
-    """Anchors (row, at) whose ``depth`` phrases occur at least twice in the merged transform."""
+def merge_transforms(suffixes: DataFrame, work: Workspace, rounds: int = 4) -> DataFrame:
+    """Anchors (row, at) whose ``depth`` phrases occur at least twice in the merged transform.
+
+    Text without short periods has fewer than ``rounds`` phrases there; where short periods make many more, the interval of
+    depth ``rounds`` decides, and the byte checks see to the rest: rounds only ever remove, so the result is the same."""
     live = work.save(_repeated(suffixes, "name").withColumnRenamed("name", "key"), "round1")
     deepest = live.agg(F.max("depth")).first()[0] or 0
     done, d = live.where("depth = 1").select("row", "at"), 1
-    while d < deepest:
+    while d < min(deepest, rounds):
         # depth d..2d-1 is settled here: by its own interval, or by two overlapping ones; deeper suffixes join two adjoining
         ahead = live.groupBy("row", F.col("i").alias("j")).agg(F.first("key").alias("next"))
         step = F.when((F.col("depth") < 0) | (F.col("depth") >= 2 * d), F.lit(d)).otherwise(F.col("depth") - d)
@@ -113,18 +116,27 @@ def merge_transforms(suffixes: DataFrame, work: Workspace) -> DataFrame:
         refined = work.save(_repeated(named, "ends", "key"), f"round{2 * d}")
         d *= 2
         live = refined.where("ends = 0").drop("ends")
-        done = done.union(refined.where(f"ends > 0 OR depth = {d}").select("row", "at"))
+        done = done.union(refined.where(f"ends > 0 OR depth {'=' if d < min(deepest, rounds) else '>='} {d}").select("row", "at"))
     return done.distinct()
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, row_bytes: int, numbers: int, how: str = "inner") -> DataFrame:
-    """``docs(row, ..)`` joined with ``lists(row, items)``; the lists are broadcast while they are small, so texts stay in place."""
-    size = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
-    return docs.join(maybe_broadcast(lists, size[0] * row_bytes + size[1] * 4 * numbers, 1), "row", how)
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs(row, ..)`` joined with the saved ``lists(row, items)``; only texts that a list can belong to are shuffled."""
+    return flagged(docs, lists).where("maybe").drop("maybe").join(lists, "row")
+
+
+_CHECKED = ["row", "at", "first", "last", "w", "k1", "k2", "b1", "b2"]
+_CHECKED_TYPE = "row bigint, at int, first int, last int, w int, k1 bigint, k2 bigint, b1 bigint, b2 bigint"
+
+
+def _checked(out: list[tuple]) -> pa.RecordBatch:
+    c = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c[0]), *(pa.array(x.astype(np.int32)) for x in c[1:5]), *(pa.array(X.signed(x)) for x in c[5:])], names=_CHECKED)
 
 
 def _checks(rows: DataFrame, length: int, window: int) -> DataFrame:
-    """``rows(row, text, items)`` -> for each candidate anchor the hashes of its sure right part and of its whole block."""
+    """``rows(row, text, items)`` -> for each candidate anchor the hashes of the part right of it that all its strings
+    share (k) and of the block of all its strings (b)."""
     core = length - (window - 1)
 
     def run(batches):
@@ -137,15 +149,51 @@ def _checks(rows: DataFrame, length: int, window: int) -> DataFrame:
                 keep = np.isin(at, items[t].values.to_numpy()) & (first <= n - length)
                 at, first, last = at[keep], first[keep], np.minimum(last[keep], n - length)
                 h = _Prefix(data[offs[t] : offs[t + 1]])
-                out.append((np.full(len(at), rows_[t]), first, last, *map(X.signed, h(at, at + core)), *map(X.signed, h(first, last + length))))
-            c = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int32)), *map(pa.array, c[3:])], names=["row", "first", "last", "k1", "k2", "b1", "b2"])
+                out.append((np.full(len(at), rows_[t]), at, first, last, np.ones(len(at)), *h(at, at + core), *h(first, last + length)))
+            yield _checked(out)
+
+    return rows.mapInArrow(run, _CHECKED_TYPE)
+
+
+def _finer(rows: DataFrame, length: int, width: int = 16) -> DataFrame:
+    """The same for the strings of a block in bins of ``width`` distances to the anchor: strings that are equal have equal
+    distances, and those of one bin share all but ``width - 1`` bytes."""
+
+    def run(batches):
+        for part, data, offs in X.chunks(batches, "text"):
+            out = []
+            rows_, items = part.column("row").to_numpy(), part.column("items")
+            for t in range(part.num_rows):
+                s = items[t].values
+                at, first, last, w = (s.field(k).to_numpy().astype(np.int64) for k in ("at", "first", "last", "w"))
+                low, high = (at - last) // width, (at - first) // width
+                which = np.repeat(np.arange(len(at)), high - low + 1)
+                bin_ = np.repeat(high + 1 - np.cumsum(high - low + 1), high - low + 1) + np.arange(len(which))
+                at, w = at[which], w[which]
+                lo, hi = np.maximum(first[which], at - bin_ * width - width + 1), np.minimum(last[which], at - bin_ * width)
+                h = _Prefix(data[offs[t] : offs[t + 1]])
+                k1, k2 = h(at - bin_ * width, at - bin_ * width - width + 1 + length)
+                out.append((np.full(len(at), rows_[t]), at, lo, hi, w, X.mix(k1 + bin_.astype(_U)), k2, *h(lo, hi + length)))
+            yield _checked(out)
+
+    return rows.mapInArrow(run, _CHECKED_TYPE)
+
 
-    return rows.mapInArrow(run, "row bigint, first int, last int, k1 bigint, k2 bigint, b1 bigint, b2 bigint")
+def _narrow(checks: DataFrame, work: Workspace, name: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans whose whole block repeats, and what is left: (row, items array<struct<at, first, last, w>>) of blocks that do not
+    repeat (w = 1) and of one example (w = 2) of each repeated block with the same shared part."""
+    weigh = lambda: F.sum("w").cast("long").alias("n")
+    alike = checks.groupBy("k1", "k2").agg(weigh()).where("n > 1").select("k1", "k2")
+    alike = work.save(checks.join(alike, ["k1", "k2"], "left_semi"), f"{name}_alike")
+    blocks = work.save(alike.groupBy("k1", "k2", "b1", "b2").agg(weigh(), F.min(F.struct("row", "at", "first", "last")).alias("one")), f"{name}_blocks")
+    settled = alike.where("w = 1").join(blocks.where("n > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    unsure = blocks.where("n = 1").select("k1", "k2").distinct()
+    left = blocks.join(unsure, ["k1", "k2"], "left_semi").select("one.*", F.least("n", F.lit(2)).cast("int").alias("w"))
+    return settled, work.save(left.groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "w")).alias("items")), f"{name}_left")
 
 
 def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """``rows(row, text, items array<struct<first, last, w>>)`` -> every string start with its hashes and weight."""
+    """``rows(row, text, items array<struct<at, first, last, w>>)`` -> every string start with its hashes and weight."""
 
     def run(batches):
         for part, data, offs in X.chunks(batches, "text"):
@@ -168,27 +216,23 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, window:
     suffixes = work.save(_shards(docs, length, window), "suffixes")
     found = work.save(merge_transforms(suffixes, work).groupBy("row").agg(F.collect_list("at").alias("items")), "candidates")
     work.drop("suffixes")
-    checks = work.save(_checks(_with_lists(docs, found, 32, 1), length, window), "checks")
-    checks = work.save(_repeated(checks, "k1", "k2"), "alike")
-    work.drop("checks")
-    blocks = checks.groupBy("k1", "k2", "b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
-    blocks = work.save(blocks.select("k1", "k2", "b1", "b2", F.least("n", F.lit(2)).cast("int").alias("w"), "one.*"), "blocks")
-    # whole blocks that repeat
-    settled = checks.join(blocks.where("w > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    # blocks that do not: their strings, against those of one block of each kind with the same right part
-    unsure = blocks.where("w = 1").select("k1", "k2").distinct()
-    pool = blocks.join(unsure, ["k1", "k2"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("first", "last", "w")).alias("items"))
-    strings = work.save(_strings(_with_lists(docs, work.save(pool, "pool"), 32, 3), length), "strings")
+    checks = work.save(_checks(_with_lists(docs, found), length, window), "checks")
+    settled, left = _narrow(checks, work, "block", length)
+    checks = work.save(_finer(_with_lists(docs, left), length), "finer")
+    settled2, left = _narrow(checks, work, "bin", length)
+    strings = work.save(_strings(_with_lists(docs, left), length), "strings")
     twice = strings.groupBy("h1", "h2").agg(F.sum("w").alias("n"), F.min("w").alias("least")).where("n > 1 AND least = 1").select("h1", "h2")
     single = strings.where("w = 1").join(twice, ["h1", "h2"], "left_semi").select("row", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    return work.save(settled.union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("items")), "spans")
+    return work.save(settled.union(settled2).union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("items")), "spans")
 
 
 def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window: int = 128) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed runs ``a:b`` in bytes)."""
     keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "text")
     spans = repeated_spans(keyed.select("row", "text"), work, length, window)
-    joined = _with_lists(keyed, spans, 32, 2, "left").select("doc_id", "text", "items")
+    marked = flagged(keyed, spans)
+    joined = marked.where("maybe").join(spans, "row", "left").select("doc_id", "text", "items").unionByName(
+        marked.where("NOT maybe").select("doc_id", "text", F.lit(None).cast(spans.schema["items"].dataType).alias("items")))
 
     def cut(batches):
         for part, data, offs in X.chunks(batches, "text"):

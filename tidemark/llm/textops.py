@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled in one numpy pass; bounds the memory of a Python worker (about 60 bytes per byte).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+pa.set_memory_pool(pa.system_memory_pool())  # a worker gives freed batches back instead of keeping them
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 5)
@@ -75,6 +77,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about CHUNK_BYTES of text each (one longer text alone), with the text column's bytes and offsets."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         data, offs = buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:

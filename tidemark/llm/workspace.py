@@ -37,7 +37,9 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back with the schema it was written with."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").parquet(path)
+        # shuffle files of the finished step go when the driver notices that nothing refers to them
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -54,6 +56,20 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def flagged(df: DataFrame, rows: DataFrame, key: str = "row") -> DataFrame:
+    """``df`` with ``maybe``: whether ``key`` (a 64-bit hash) can be among those of ``rows``; never wrongly false.
+
+    A bit map of at most 8 MB, whatever the size of ``rows``, is broadcast, so that a join that follows
+    shuffles only the texts that it needs.  (``rows`` is a saved table: it is read twice.)"""
+    bits = min(1 << 26, max(1 << 15, 1 << (16 * max(1, rows.count()) - 1).bit_length()))
+    place = F.pmod(F.col(key), F.lit(bits))
+    cell, bit = (F.floor(place / 32768)).cast("long"), F.pmod(place, F.lit(32768)).cast("int")
+    maps = rows.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(floor(_bit / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    seen = df.withColumn("_cell", cell).withColumn("_bit", bit).join(F.broadcast(maps), "_cell", "left").withColumn("_byte", byte)
+    return seen.withColumn("maybe", F.coalesce(F.expr("(shiftright(_byte, _bit % 8) & 1) = 1"), F.lit(False))).drop("_cell", "_bit", "_map", "_byte")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
