@@ -180,3 +180,25 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     batch = B.build_bars(df.select(F.col("event_type").alias("instrument"), "ts", F.col("event_id").alias("seq"), (100 + F.col("value")).cast(T.PRICE).alias("price"), (1 + k).cast(T.PRICE).alias("size")), 3600)
     cols = ["instrument", "open_ts", "open", "high", "low", "close", "volume", "n_trades"]
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_registry_and_settings(tmp_path):
+    from tidemark.sources.config import Metric, Parameter, Registry, Settings, default_registry
+
+    full = default_registry()
+    assert len(full.metrics) == 3 + 7 + 27 + 2 * 11 + 13 + 3 * 11
+    assert full.get("quote.midpoint").version == 1
+    r = Registry().add(Metric("a"), Metric("a", 2), Metric("b", dependencies=("a",), parameters=(Parameter("n", Decimal(1), Decimal(9), Decimal(2)), Parameter("k", allowed=("x", "y")))))
+    assert r.get("a").version == 2
+    r.get("b").check({"n": Decimal(3), "k": "x"})
+    for bad in ({"n": Decimal(2), "k": "x"}, {"n": Decimal(11), "k": "x"}, {"n": Decimal(3), "k": "z"}, {"n": Decimal(3)}):
+        with pytest.raises(ValueError):
+            r.get("b").check(bad)
+    for metric in (Metric("a"), Metric("c", dependencies=("c",)), Metric("d", dependencies=("zz",))):
+        with pytest.raises(ValueError):
+            r.add(metric)
+    (tmp_path / "s.toml").write_text("lookback_bars = 100\n")
+    assert Settings.load(str(tmp_path / "s.toml")).lookback_bars == 100
+    (tmp_path / "t.toml").write_text("nonsense = 1\n")
+    with pytest.raises(ValueError):
+        Settings.load(str(tmp_path / "t.toml"))
