@@ -86,4 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = work.save(docs, f"{i}-{name}")
+            work.keep_only(f"{i}-")
     return docs

@@ -115,6 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, work: Workspace, span:
         .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("hits"))
     )
     hits = work.save(hits, "hits")
+    work.keep_only("hits")
     weight = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("hits", F.lit(0), lambda a, x: a + F.size(x["words"]) + F.size(x["diagonals"]))), F.lit(0))).first()
     joined = docs.join(maybe_broadcast(hits, weight[0] * 8 + weight[1], 8), docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["tkey"] == hits["tkey"]), "left").select(docs["doc_id"], docs["tkey"], "text", "hits")
 

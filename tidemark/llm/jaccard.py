@@ -147,6 +147,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 4, percent
     expanded = pairs.union(same).join(one, "g1").join(two, "g2").where("c1 <> c2").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     second_links = work.save(_verify(expanded, sets, percent), "links2")
     final = connected_components(first_links.union(second_links), work, "cc2")
+    work.keep_only("signatures", "cc2")
     named = classes.select("n", "s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     return all_docs.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")

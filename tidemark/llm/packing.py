@@ -139,6 +139,8 @@ def pack(docs: DataFrame, work: Workspace, length: int = 1024, window: int = 102
     number = {q: i for i, q in enumerate(names)}
     placed = tokens.join(maybe_broadcast(base, base.count(), 80), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("begin")).alias("at"), "n", "ids")
 
+    work.keep_only("tokens", "base")
+
     def cut(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 500):

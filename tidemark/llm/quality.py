@@ -149,6 +149,7 @@ def reject_outliers(docs: DataFrame, work: Workspace, steps: int = 4, support: f
         near = grouped(vectors).join(maybe_broadcast(params, n_params, 300), "grp").withColumn("bin", F.least(F.floor(16 * F.log2(1 + distance)), F.lit(400)).cast("int"))
         moments = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in STATS), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in PAIRS))
         params = work.save(_estimates(moments, support), f"params{step}")
+    work.keep_only("statistics", "groups", f"params{steps}")
     judged = grouped(table).join(maybe_broadcast(params, n_params, 300), "grp", "left").withColumn("distance", distance)
     drop = ["own", "grp", *STATS, *(f"c{i}" for i in range(5)), *(f"w{i}{j}" for i, j in PAIRS)]
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).drop(*drop)

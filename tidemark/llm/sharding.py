@@ -3,8 +3,8 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours.  Splitters are found by iterative
 probing: every round counts, over all rows, the exact bytes at or below each candidate boundary and replaces each open
 interval by the probe step that holds its target, until every splitter is within the tolerance or its interval is one
-key.  A key that alone is heavier than the tolerance (one group of copies may hold a third of all bytes) is probed
-further by doc_id inside the group.  Only probe counts (bounded by shards x probes) reach the driver.
+key.  A key that alone is heavier than the tolerance (one group of copies may hold a third of all bytes) stays whole if one of its
+ends is within twice the tolerance, and is probed further by doc_id inside the group otherwise.  Only probe counts (bounded by shards x probes) reach the driver.
 
 The exchange has several partitions per shard, sized by bytes, so a shard is never one task; a slot is the exact count
 of rows in the shard's earlier partitions plus the place in its own.
@@ -79,7 +79,10 @@ def splitters(keys: DataFrame, cuts: list[int], tolerance: int) -> list[tuple[in
     heavy: dict[int, list[tuple[int, int]]] = {}
     for i, (s, upto, below) in enumerate(find_splitters(keys, "h", "size", cuts, tolerance)):
         out.append((s, HIGH))
-        if abs(upto - cuts[i]) > tolerance:
+        near = min((upto, below), key=lambda x: abs(x - cuts[i]))
+        if abs(near - cuts[i]) <= 2 * tolerance:  # keep the copies of a text together while that costs little
+            out[i] = (s, HIGH) if near == upto else (s, LOW)
+        elif abs(upto - cuts[i]) > tolerance:
             heavy.setdefault(s, []).append((i, cuts[i] - below))
     for h, wanted in heavy.items():
         group = keys.where(F.col("h") == h)
@@ -123,6 +126,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema.fields)
     sent = tagged.mapInArrow(parted, f"{fields}, `__part` int").repartitionById(parts, F.col("__part")).sortWithinPartitions("__part", "__h", "__id")
     counts = {r["p"]: r["n"] for r in work.save(keys.select(F.col("h").alias("__h"), F.col("id").alias("__id")).mapInArrow(parted, "`__h` bigint, `__id` bigint, `__part` int").groupBy(F.col("__part").alias("p")).agg(F.count(F.lit(1)).alias("n")), "counts").collect()}
+    work.keep_only()
     base, run = [], 0
     for p in range(parts):
         run = 0 if p % per == 0 else run

@@ -223,7 +223,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, window:
     strings = work.save(_strings(_with_lists(docs, left), length), "strings")
     twice = strings.groupBy("h1", "h2").agg(F.sum("w").alias("n"), F.min("w").alias("least")).where("n > 1 AND least = 1").select("h1", "h2")
     single = strings.where("w = 1").join(twice, ["h1", "h2"], "left_semi").select("row", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    return work.save(settled.union(settled2).union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("items")), "spans")
+    spans = work.save(settled.union(settled2).union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("items")), "spans")
+    work.keep_only("spans")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window: int = 128) -> DataFrame:

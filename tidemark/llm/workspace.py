@@ -42,6 +42,15 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, *prefixes: str) -> None:
+        """Delete the tables that the operator's result does not read any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in fs.listStatus(path) if fs.exists(path) else []:
+            if not entry.getPath().getName().startswith(prefixes or ("\0",)):
+                fs.delete(entry.getPath(), True)
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm
