@@ -4,9 +4,9 @@ Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours.
 probing: every round counts, over all rows, the exact bytes at or below each candidate boundary and replaces each open
 interval by the probe step that holds its target, until every splitter is within the tolerance or its interval is one
 key.  A key that alone is heavier than the tolerance (one group of copies may hold a third of all bytes) stays whole if one of its
-ends is within twice the tolerance, and is probed further by doc_id inside the group otherwise.  Only probe counts (bounded by shards x probes) reach the driver.
+ends is within twice the tolerance, and is probed further by doc_id inside the group otherwise.  Only probe counts, at most MOST_PROBES a round, reach the driver.
 
-The exchange has several partitions per shard, sized by bytes, so a shard is never one task; a slot is the exact count
+The exchange has several partitions per shard, sized by bytes (at most MOST_PARTS, beyond which they grow and their sorts spill), so a large shard is never one task; a slot is the exact count
 of rows in the shard's earlier partitions plus the place in its own.
 
 Edge cases: null and empty texts have size 1 and one common hash; repeated rows, ids included, each keep a slot;
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.workspace import Workspace
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+#: Bounds of what the driver holds, whatever the size of the input: partitions of a shard, and boundaries probed in one round.
+MOST_PARTS, MOST_PROBES = 256, 1 << 14
 
 
 def _counts(keys: DataFrame, key: str, probes: list[int], weight: str) -> list[int]:
@@ -35,7 +37,8 @@ def _counts(keys: DataFrame, key: str, probes: list[int], weight: str) -> list[i
         for b in batches:
             cell = np.searchsorted(bounds, b.column(0).to_numpy(), "left")
             np.add.at(total, cell, b.column(1).to_numpy())
-        yield pa.record_batch({"cell": pa.array(np.arange(len(total), dtype=np.int32)), "w": pa.array(total)})
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"cell": pa.array(some.astype(np.int32)), "w": pa.array(total[some])})
 
     cells = keys.select(key, weight).mapInArrow(count, "cell int, w bigint").groupBy("cell").agg(F.sum("w").alias("w")).collect()
     total = [0] * (len(bounds) + 1)
@@ -51,9 +54,10 @@ def find_splitters(keys: DataFrame, key: str, weight: str, targets: list[int], t
     found: dict[int, tuple[int, int]] = {}
     at: dict[int, int] = {low: 0}
     while open_:
-        asked = set()
-        for lo, hi in open_.values():
-            asked |= {lo + (hi - lo) * (j + 1) // probes for j in range(probes)} - {lo}
+        asked, between = set(), set(open_.values())
+        steps = max(2, min(probes, MOST_PROBES // len(between)))
+        for lo, hi in between:
+            asked |= {lo + (hi - lo) * (j + 1) // steps for j in range(steps)} - {lo}
         asked = sorted(asked)
         at |= dict(zip(asked, _counts(keys, key, asked, weight), strict=True))
         for i, (lo, hi) in list(open_.items()):
@@ -106,7 +110,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long"))
     keys = work.save(docs.select(h.alias("h"), ident.alias("id"), size.alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-total // (shards * part_bytes)))
+    per = min(MOST_PARTS, max(1, -(-total // (shards * part_bytes))))
     parts = shards * per
     cuts = [total * (j + 1) // parts for j in range(parts - 1)]
     bounds = splitters(keys, cuts, max(1, int(total / shards * tolerance))) if total else []
@@ -117,9 +121,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.005,
         for b in batches:
             x, d = b.column("__h").to_numpy(), b.column("__id").to_numpy()
             at = np.searchsorted(hs, x, "left")
-            for j in np.flatnonzero(np.isin(x, hs)):  # rows of a key that is a boundary: its cuts go by id
-                while at[j] < len(hs) and hs[at[j]] == x[j] and ids[at[j]] < d[j]:
-                    at[j] += 1
+            for key in np.unique(x[np.isin(x, hs)]):  # rows of a key that is a boundary: its cuts go by id
+                mine, (lo, hi) = x == key, np.searchsorted(hs, key, "left") + np.array([0, np.count_nonzero(hs == key)])
+                at[mine] = lo + np.searchsorted(ids[lo:hi], d[mine], "left")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "__part"])
 
     tagged = docs.select("*", size.alias("size"), h.alias("__h"), ident.alias("__id"))
