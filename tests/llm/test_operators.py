@@ -267,6 +267,12 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == brute_spans(t)
 
 
+def test_long_runs_cost_one_pass():
+    assert pii.base_spans("1" * 400_000 + " " + "1." * 100_000 + "@" * 100_000) == pii.base_spans("1" * 400_000 + " " + "1." * 100_000)
+    assert pii.base_spans("0" * 5000 + "7.1.2.3") == [(0, 1, 5007)]
+    assert [s[1] for s in pii.base_spans("1.2.3.4.5.6.7.8")] == [1, 1]
+
+
 def test_personal_data_is_whole_and_consistent(spark):
     card = "4845168114407329"
     assert pii.luhn(card)
@@ -361,6 +367,20 @@ def test_sharding_is_even_gapless_and_whole(spark, docs, rows, work):
     assert sharding.shard_documents(empty(spark), work=Workspace(spark, "t")).count() == 0
 
 
+def test_sharding_with_many_parts_and_few_probes(spark, work, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_PROBES", 16)
+    monkeypatch.setattr(sharding, "MOST_PARTS", 3)
+    r = random.Random(5)
+    rows = [(i, "same text" * 9 if i % 3 == 0 else "".join(r.choice("abcdef") for _ in range(r.randint(20, 120)))) for i in range(600)]
+    got = sharding.shard_documents(frame(spark, rows).repartition(3), shards=4, part_bytes=512, work=work).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted(x.doc_id for x in got) == list(range(600))
+    total = sum(x.size for x in got)
+    for k in range(4):
+        mine = [x for x in got if x.shard == k]
+        assert sorted(x.slot for x in mine) == list(range(len(mine)))
+        assert abs(sum(x.size for x in mine) - total / 4) <= 0.05 * total
+
+
 def test_sharding_splits_a_heavy_group_of_copies(spark, work):
     texts = [(i, "the same text" if i % 3 else f"text {i}") for i in range(600)] + [(None, "the same text")]
     got = sharding.shard_documents(frame(spark, texts), shards=8, work=work).collect()
