@@ -485,3 +485,20 @@ def test_chains_match_quadratic_dynamic_programming():
         for x, y in zip([None, *first], first, strict=False):
             score = k + (max(0.0, score - gap * (a[y] + b[y] - a[x] - b[x])) if x is not None else 0.0)
         assert abs(score - max(f.values())) < 1e-9
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 9, 10])
+def test_passages_with_evenly_spread_edits_are_found(spark, work, every):
+    r = random.Random(every)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 60, 2):
+        passage, lead = say(60), r.randrange(every)
+        edited = [f"x{r.randrange(10**6)}" if j % every == lead else w for j, w in enumerate(passage)]
+        # brute force: some 50 words of the passage agree in 80 %
+        assert max(sum(a == b for a, b in zip(passage[s : s + 50], edited[s : s + 50], strict=True)) for s in range(11)) >= 40
+        rows += [(i, " ".join(say(40) + passage + say(30))), (i + 1, " ".join(say(20) + edited + say(50)))]
+        want.add((i + 1, i))
+    got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
+    assert {(x.doc_id, x.partner_id) for x in got} == want
+    assert all(x.end - x.start >= 50 and x.matches >= 0.8 * (x.end - x.start) for x in got)
