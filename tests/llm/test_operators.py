@@ -502,3 +502,13 @@ def test_passages_with_evenly_spread_edits_are_found(spark, work, every):
     got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
     assert {(x.doc_id, x.partner_id) for x in got} == want
     assert all(x.end - x.start >= 50 and x.matches >= 0.8 * (x.end - x.start) for x in got)
+
+
+def test_documents_meet_past_the_hubs_of_their_passage(spark, work):
+    r = random.Random(3)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = say(60)
+    half = {1: passage[:30], 9: passage[:30], 2: passage[30:], 8: passage[30:]}
+    rows = [(i, " ".join(say(20) + half.get(i, passage) + say(20))) for i in (1, 2, 4, 5, 8, 9)]
+    got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
+    assert {(x.doc_id, x.partner_id) for x in got} == {(5, 4)}
