@@ -444,6 +444,17 @@ def test_url_rules_and_aliases(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string, html string"), urls.rule_table(spark)).count() == 0
 
 
+def test_url_targets_that_are_no_pages_vote(spark):
+    canonical = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://a.org/p", canonical.format("http://x.net/es/1")), (2, "http://b.net/fr/q", canonical.format("http://b.com/")), (3, "http://c.org/r", canonical.format("http://b.net/fr/q")),
+        (4, "http://d.org/in/a?x=1&y=2", canonical.format("http://x.net/es/2")), (5, "http://d.org/in/deep/b", canonical.format("../a?x=1&amp;y=2")), (6, "http://d.org/in/c", canonical.format("./deep/b")), (7, "http://d.org/in/a", canonical.format("?x=1&#38;y=2")), (8, "http://d.org", canonical.format("in/a")),
+        (9, "http://e.org/z", canonical.format("#top")), (10, "http://e.org/y", canonical.format("mailto:x@x.net/es/")),
+    ]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), urls.rule_table(spark)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow", 10: "allow"}
+
+
 # ---- 10
 
 

@@ -5,8 +5,8 @@ component over redirect and canonical-link edges.  A class with an explicitly al
 one with an explicitly blocked member is blocked, otherwise (no rule anywhere) allowed.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path, fits no rule, has no edges and is allowed;
-null html has no edges; repeated page ids or urls each keep their row; an unparsable or relative target without
-a leading slash makes no edge; other input columns are ignored; an empty table gives an empty result.
+null html has no edges; repeated page ids or urls each keep their row; relative targets are resolved against the page's
+url; an unparsable target makes no edge; a target that is no page itself takes its rule and its vote like a page; other input columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,18 +62,43 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), F.col("verdict").alias("verdict")), best).alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(F.instr(path, "/.") > 0, F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolve(url: Column, to: Column) -> Column:
+    """The reference ``to`` as it stands in the page ``url``, with scheme and host; its fragment is of no use here."""
+    bare = F.regexp_extract(to, r"^([^#]*)", 1)
+    path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"^[^?]*(.*)$", 1)
+    root = F.concat(F.regexp_extract(url, r"^(.*?://)", 1), url_host(url))
+    folder = F.concat(F.lit("/"), F.regexp_extract(url_path(url), r"^/(.*/)?[^/]*$", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("/"), F.concat(root, _without_dots(path), query))
+        .when(path != "", F.concat(root, _without_dots(F.concat(folder, path)), query))
+        .when(query != "", F.concat(root, url_path(url), query))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``pages(url, html)`` -> ``edges(u, v)`` between url nodes, from canonical links and refresh redirects."""
     tag = lambda name, mark: F.filter(F.regexp_extract_all("html", F.lit(rf"(?is)(<{name}\b[^>]*>)"), 1), lambda t: F.regexp_like(t, F.lit(mark)))
     href = F.transform(tag("link", r"""(?is)\brel\s*=\s*["']?canonical\b"""), lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     jump = F.transform(tag("meta", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
-    scheme = F.regexp_extract("url", r"^(.*?://)", 1)
     return (
         pages.where("html IS NOT NULL AND instr(url, '://') > 0")
         .where(F.col("html").rlike(r"(?i)canonical|refresh"))
-        .select(url_node(F.col("url")).alias("u"), url_host(F.col("url")).alias("host"), scheme.alias("scheme"), F.explode(F.concat(href, jump)).alias("to"))
-        .withColumn("to", F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat("scheme", "host", "to")).otherwise(F.col("to")))
-        .select("u", url_node(F.col("to")).alias("v"))
+        .select("url", F.explode(F.concat(href, jump)).alias("to"))
+        .withColumn("to", F.regexp_replace("to", "(?i)&(amp|#38|#x26);", "&"))
+        .select(url_node(F.col("url")).alias("u"), url_node(resolve(F.col("url"), F.col("to"))).alias("v"))
         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     )
 
@@ -86,12 +111,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     work = Workspace(spark, "urls")
     base = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), url_node(F.col("url")).alias("node"))
     ruled = base.join(apply_rules(base, rules), ["host", "path"], "left")
+    named = F.concat(F.lit("http://"), "node")
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(url_node(F.col("source")), url_node(F.col("target"))))
     member = connected_components(edges, work)
+    nodes = member.select("component", url_host(named).alias("host"), url_path(named).alias("path"))
     votes = (
-        ruled.where("verdict IS NOT NULL").join(member, "node").groupBy("component")
+        nodes.join(apply_rules(nodes, rules), ["host", "path"]).groupBy("component")
         .agg(F.max(F.col("verdict") == "allow").alias("allowed"))
     )
     verdicts = member.join(votes, "component").select("node", F.when(F.col("allowed"), "allow").otherwise("block").alias("class_verdict"))
