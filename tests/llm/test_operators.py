@@ -147,6 +147,18 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark, work):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_quality_rejects_duplicate_lines_and_repeated_words(spark, work):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    say = lambda n: [word() for _ in range(n)]
+    clean = [(i, " ".join(say(120)), "en", "s0") for i in range(300)]
+    lines = [(1000 + i, "\n".join([*(["ab"] * 19), " ".join(say(160))]), "en", "s0") for i in range(10)]
+    phrases = [(2000 + i, " ".join([*say(66), *(say(6) * 9)]), "en", "s0") for i in range(10)]
+    got = {x.doc_id: (x.base_failed, x.kept) for x in quality.reject_outliers(frame(spark, clean + lines + phrases), work).collect()}
+    assert not any(failed for failed, _ in got.values())
+    assert all(got[i][1] for i, *_ in clean) and not any(got[i][1] for i, *_ in lines + phrases)
+
+
 # ---- 3
 
 
