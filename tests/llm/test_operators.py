@@ -535,3 +535,52 @@ def test_documents_meet_past_the_hubs_of_their_passage(spark, work):
     rows = [(i, " ".join(say(20) + half.get(i, passage) + say(20))) for i in (1, 2, 4, 5, 8, 9)]
     got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
     assert {(x.doc_id, x.partner_id) for x in got} == {(5, 4)}
+
+
+def test_passages_meet_where_every_seed_of_them_is_common(spark, work):
+    r = random.Random(4)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = say(120)
+    rows = [(i, " ".join(say(30) + passage[(i * 7) % 100 : (i * 7) % 100 + 20] + say(30))) for i in [*range(100), *range(900, 1000)]]
+    rows += [(500, " ".join(say(40) + passage + say(20))), (501, " ".join(say(10) + passage + say(60)))]
+    # two phrases that are common each, together in two texts only, with other words between them
+    one, two = say(24), say(24)
+    rows += [(i, " ".join(say(40) + (one if i % 2 else two) + say(40))) for i in range(2000, 2080)]
+    rows += [(600, " ".join(say(9) + one + say(4) + two + say(30))), (601, " ".join(say(50) + one + say(4) + two + say(3)))]
+    got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
+    assert {(x.doc_id, x.partner_id) for x in got} == {(501, 500), (601, 600)}
+    assert next((x.start, x.end, x.partner_start, x.partner_end) for x in got if x.doc_id == 501) == (10, 130, 40, 160)
+
+
+def test_copies_are_reported_against_their_representative(spark, work):
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    text, part = say(90), say(70)
+    rows = [(i, " ".join(text)) for i in range(300)] + [(7, " ".join(say(20) + text[:60])), (400, "short copy"), (401, "short copy"), (402, " ".join(part + say(9))), (402, " ".join(say(5) + part)), (402, " ".join(say(5)))]
+    rows += [rows[-3]] * 3
+    got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()
+    found = collections.Counter((x.doc_id, x.partner_id, x.start, x.end) for x in got)
+    assert all(found[(i, 0, 0, 90)] == 1 for i in range(1, 300))
+    assert found[(7, 0, 20, 80)] == 1
+    assert [x for x in got if x.doc_id == 402 and x.partner_id == 402] and len(got) == 301
+
+
+def test_a_small_corpus_finds_what_all_pairs_find(spark, work):
+    import numpy as np
+
+    rows = [(i, t) for i, t in corpus(6, 60) if t]
+    got = chaining.fuzzy_passages(frame(spark, rows).repartition(3), work, min_words=30).collect()
+    texts = {i: ALNUM.findall(lower(t)) for i, t in rows}
+    names = {w: n for n, w in enumerate(sorted({w for t in texts.values() for w in t}))}
+    want, classes = set(), {}
+    for i in sorted(texts):
+        classes.setdefault(dict(rows)[i], i)
+    for i in classes.values():
+        for j in classes.values():
+            if j < i:
+                x, y = (np.array([names[w] for w in texts[d]], np.uint16) for d in (i, j))
+                a, b = chaining.matches(x, y, 4)
+                if any(chaining.align(x, y, a[c], b[c], 4, 30, 0.8) for c in (chaining.chains(a, b, 4, chaining.GAP, 1) if len(a) else [])):
+                    want.add((i, j))
+    rep = {(i, classes[dict(rows)[i]]) for i in texts if classes[dict(rows)[i]] != i and len(texts[i]) >= 30}
+    assert {(x.doc_id, x.partner_id) for x in got} == want | rep
