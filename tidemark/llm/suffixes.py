@@ -94,10 +94,27 @@ def _shards(docs: DataFrame, length: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, "row bigint, i int, at int, depth int, name bigint")
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
+#: Rows of one key that a task may hold before the key is dealt over several tasks.
+HOT_ROWS = 1000
+
+
+def _semi(rows: DataFrame, sizes: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """``rows`` whose key is among the saved ``sizes(key, n)``, n rows of each at least.  Keys of more than an eighth of an
+    even share are dealt over the tasks by ``by``; there are at most eight times as many of them as partitions, so they are
+    broadcast by a proven bound."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(HOT_ROWS, (sizes.agg(F.sum("n")).first()[0] or 0) // (8 * parts))
+    hot = F.broadcast(sizes.where(F.col("n") > most).select(*key, F.lit(True).alias("_hot")))
+    turn = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).alias("_deal")
+    dealt = rows.join(hot, key, "left").select(*rows.columns, turn)
+    turns = F.expr(f"IF(n > {most}, sequence(0L, {parts - 1}L), array(0L))")
+    return dealt.join(sizes.select(*key, F.explode(turns).alias("_deal")), [*key, "_deal"], "left_semi").drop("_deal")
+
+
+def _repeated(rows: DataFrame, work: Workspace, name: str, *key: str) -> DataFrame:
     """The rows whose key occurs at least twice: sizes are combined before the shuffle, then a semi-join."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
-    return rows.join(sizes, list(key), "left_semi")
+    sizes = work.save(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}_sizes")
+    return _semi(rows, sizes, list(key), ["row", "i"])
 
 
 def merge_transforms(suffixes: DataFrame, work: Workspace, rounds: int = 4) -> DataFrame:
@@ -105,15 +122,18 @@ def merge_transforms(suffixes: DataFrame, work: Workspace, rounds: int = 4) -> D
 
     Text without short periods has fewer than ``rounds`` phrases there; where short periods make many more, the interval of
     depth ``rounds`` decides, and the byte checks see to the rest: rounds only ever remove, so the result is the same."""
-    live = work.save(_repeated(suffixes, "name").withColumnRenamed("name", "key"), "round1")
+    live = work.save(_repeated(suffixes, work, "round1", "name").withColumnRenamed("name", "key"), "round1")
     deepest = live.agg(F.max("depth")).first()[0] or 0
     done, d = live.where("depth = 1").select("row", "at"), 1
     while d < min(deepest, rounds):
         # depth d..2d-1 is settled here: by its own interval, or by two overlapping ones; deeper suffixes join two adjoining
         ahead = live.groupBy("row", F.col("i").alias("j")).agg(F.first("key").alias("next"))
         step = F.when((F.col("depth") < 0) | (F.col("depth") >= 2 * d), F.lit(d)).otherwise(F.col("depth") - d)
-        named = live.where(f"depth < 0 OR depth > {d}").withColumn("j", F.col("i") + step).join(ahead, ["row", "j"]).select("row", "i", "at", "depth", F.xxhash64("key", "next").alias("key"), F.when(F.col("depth").between(d + 1, 2 * d - 1), F.col("depth")).otherwise(F.lit(0)).alias("ends"))
-        refined = work.save(_repeated(named, "ends", "key"), f"round{2 * d}")
+        ends = F.when(F.col("depth").between(d + 1, 2 * d - 1), F.col("depth")).otherwise(F.lit(0)).alias("ends")
+        named = live.where(f"depth < 0 OR depth > {d}").withColumn("j", F.col("i") + step).join(ahead, ["row", "j"])
+        named = work.save(named.select("row", "i", "at", "depth", F.xxhash64("key", "next").alias("key"), ends), f"named{2 * d}")
+        refined = work.save(_repeated(named, work, f"round{2 * d}", "ends", "key"), f"round{2 * d}")
+        work.drop(f"named{2 * d}")
         d *= 2
         live = refined.where("ends = 0").drop("ends")
         done = done.union(refined.where(f"ends > 0 OR depth {'=' if d < min(deepest, rounds) else '>='} {d}").select("row", "at"))
@@ -183,10 +203,11 @@ def _narrow(checks: DataFrame, work: Workspace, name: str, length: int) -> tuple
     """Spans whose whole block repeats, and what is left: (row, items array<struct<at, first, last, w>>) of blocks that do not
     repeat (w = 1) and of one example (w = 2) of each repeated block with the same shared part."""
     weigh = lambda: F.sum("w").cast("long").alias("n")
-    alike = checks.groupBy("k1", "k2").agg(weigh()).where("n > 1").select("k1", "k2")
-    alike = work.save(checks.join(alike, ["k1", "k2"], "left_semi"), f"{name}_alike")
+    sizes = work.save(checks.groupBy("k1", "k2").agg(weigh()).where("n > 1"), f"{name}_sizes")
+    alike = work.save(_semi(checks, sizes, ["k1", "k2"], ["row", "at", "first"]), f"{name}_alike")
     blocks = work.save(alike.groupBy("k1", "k2", "b1", "b2").agg(weigh(), F.min(F.struct("row", "at", "first", "last")).alias("one")), f"{name}_blocks")
-    settled = alike.where("w = 1").join(blocks.where("n > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    whole = blocks.where("n > 1").groupBy("b1", "b2").agg(F.sum("n").alias("n"))
+    settled = _semi(alike.where("w = 1"), work.save(whole, f"{name}_whole"), ["b1", "b2"], ["row", "at", "first"]).select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     unsure = blocks.where("n = 1").select("k1", "k2").distinct()
     left = blocks.join(unsure, ["k1", "k2"], "left_semi").select("one.*", F.least("n", F.lit(2)).cast("int").alias("w"))
     return settled, work.save(left.groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "w")).alias("items")), f"{name}_left")
@@ -221,8 +242,8 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, window:
     checks = work.save(_finer(_with_lists(docs, left), length), "finer")
     settled2, left = _narrow(checks, work, "bin", length)
     strings = work.save(_strings(_with_lists(docs, left), length), "strings")
-    twice = strings.groupBy("h1", "h2").agg(F.sum("w").alias("n"), F.min("w").alias("least")).where("n > 1 AND least = 1").select("h1", "h2")
-    single = strings.where("w = 1").join(twice, ["h1", "h2"], "left_semi").select("row", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
+    twice = work.save(strings.groupBy("h1", "h2").agg(F.sum("w").alias("n"), F.min("w").alias("least")).where("n > 1 AND least = 1"), "twice")
+    single = _semi(strings.where("w = 1"), twice, ["h1", "h2"], ["row", "p"]).select("row", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
     spans = work.save(settled.union(settled2).union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("items")), "spans")
     work.keep_only("spans")
     return spans
@@ -262,4 +283,6 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window:
 
 def op8_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, Workspace(spark, "suffixes")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, Workspace(spark, "suffixes")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", (F.col("n_removed") > 0).alias("repeated")
+    )
