@@ -29,13 +29,6 @@ def ceil_to(ts: Column, seconds: int) -> Column:
     return F.when(down == ts.cast("timestamp_ntz"), down).otherwise(from_micros(micros(down) + seconds * 1_000_000))
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island") -> DataFrame:
-    """Number the runs of rows whose start equals the previous row's end."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    begins = F.when(F.lag(end).over(w) == F.col(start), 0).otherwise(1)
-    return df.withColumn("_new", begins).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
-
-
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Union of intervals that overlap or touch: keys, start, end."""
     w = Window.partitionBy(*keys).orderBy(start, end)

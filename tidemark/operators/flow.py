@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.carry import running, sorted_fold, with_halo, without_halo
 from tidemark.functions.timeops import PRICE, last_before, micros
 
 
@@ -62,22 +62,30 @@ def large_trade_clusters(classified: DataFrame, window_ms: int, threshold: float
 
     The reset makes it a fold: each instrument's runs (side unchanged, gaps within the window) are independent, so the fold
     runs per run, not per instrument."""
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    new = (F.lag("side").over(w).isNull()) | (F.lag("side").over(w) != F.col("side")) | (micros(F.col("ts")) - micros(F.lag("ts").over(w)) > window_ms * 1000)
-    runs = classified.select("instrument", "ts", "seq", "side", F.col("size").cast("double").alias("size")).withColumn("_n", new.cast("int")).withColumn("run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_n").where("side <> 'UNKNOWN'")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        out, total, prints, first = [], 0.0, 0, None
-        for r in pdf.itertuples(index=False):
+    rows = classified.select("instrument", "ts", "seq", "side", F.col("size").cast("double").alias("size"))
+    w = Window.partitionBy("instrument", "_b").orderBy("ts", "seq")
+    side, at = F.lag("side").over(w), F.lag("ts").over(w)
+    new = side.isNull() | (side != F.col("side")) | (micros(F.col("ts")) - micros(at) > window_ms * 1000)
+    rows = without_halo(with_halo(rows, ["instrument"], ["ts", "seq"], 1).withColumn("_new", new.cast("long")))
+    runs = running(rows, ["instrument"], ["ts", "seq"], {"run": F.col("_new")}).drop("_new").where("side <> 'UNKNOWN'")
+
+    def make():
+        total, prints, first = 0.0, 0, None
+
+        def step(r):
+            nonlocal total, prints, first
             first = r.seq if prints == 0 else first
             total, prints = total + r.size, prints + 1
-            if total >= threshold:
-                out.append((r.instrument, first, r.seq, r.side, total, prints))
-                total, prints = 0.0, 0
-        return pd.DataFrame(out, columns=["instrument", "first_seq", "last_seq", "side", "size", "print_count"])
+            if total < threshold:
+                return []
+            out = [(r.instrument, first, r.seq, r.side, total, prints)]
+            total, prints = 0.0, 0
+            return out
+
+        return step
 
-    return runs.groupBy("instrument", "run").applyInPandas(fold, "instrument string, first_seq bigint, last_seq bigint, side string, size double, print_count bigint")
+    schema = "instrument string, first_seq bigint, last_seq bigint, side string, size double, print_count bigint"
+    return sorted_fold(runs, ["instrument", "run"], ["ts", "seq"], schema, make)
 
 
 def bar_pressure_proxy(bars: DataFrame, window: int = 3, baseline: int = 10) -> DataFrame:

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.carry import bucket_of, carried, with_halo, without_halo
 from tidemark.functions.timeops import micros
 
 
 def ema(bars: DataFrame, periods: list[int], bucket_seconds: int = 86_400) -> DataFrame:
     """Exponential averages of the close, seeded by the first close, published from the period-th bar on.
 
-    The recurrence is linear, so each (instrument, time bucket) folds to a decay and an offset, only these pass between
-    buckets, and a second fold inside the bucket gives every bar's value: no task holds an instrument's history."""
-    rows = bars.select("instrument", "open_ts", F.col("close").cast("double").alias("close")).withColumn("_b", F.floor(micros(F.col("open_ts")) / (bucket_seconds * 1_000_000)))
+    The recurrence is linear, so each (instrument, time bucket) folds to a decay and an offset, a fold over these summaries
+    carries the averages from bucket to bucket, and a second fold inside the bucket gives every bar's value: no task holds an
+    instrument's history."""
+    rows = bars.select("instrument", "open_ts", F.col("close").cast("double").alias("close")).withColumn("_b", bucket_of("open_ts", bucket_seconds))
     packs = rows.groupBy("instrument", "_b").agg(F.sort_array(F.collect_list(F.struct("open_ts", "close"))).alias("_x"))
 
     def offset(a: float) -> Column:
         return F.aggregate("_x", F.lit(0.0), lambda e, x: x["close"] * a + e * (1 - a))
 
-    for p in periods:
-        a, off = 2.0 / (p + 1), offset(2.0 / (p + 1))
-        packs = packs.withColumn(f"_d{p}", F.pow(F.lit(1 - a), F.size("_x"))).withColumn(f"_o{p}", off)
-    w = Window.partitionBy("instrument").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    packs = packs.withColumn("_seed", F.first(F.col("_x")[0]["close"]).over(Window.partitionBy("instrument").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.coalesce(F.sum(F.size("_x")).over(w), F.lit(0)))
-    for p in periods:
-        before = F.collect_list(F.struct(F.col(f"_d{p}").alias("d"), F.col(f"_o{p}").alias("o"))).over(w)
-        packs = packs.withColumn(f"_e{p}", F.aggregate(before, F.col("_seed"), lambda e, x: x["o"] + e * x["d"]))
+    alphas = [2.0 / (p + 1) for p in periods]
+    sums = packs.select("instrument", "_b", F.size("_x").alias("n"), F.col("_x")[0]["close"].alias("seed"), *(offset(a).alias(f"o{p}") for a, p in zip(alphas, periods, strict=True)))
+    state = ", ".join(["_n bigint", *(f"_e{p} double" for p in periods)])
+    carry = carried(
+        sums, ["instrument"], "_b", f"instrument string, _b bigint, {state}",
+        lambda r: (0, *(r[3] for _ in alphas)),
+        lambda s, r: (s[0] + r[2], *(r[4 + i] + s[1 + i] * (1 - a) ** r[2] for i, a in enumerate(alphas))),
+    )
+    packs = packs.join(carry, ["instrument", "_b"])
     start = F.struct(*(F.col(f"_e{p}").alias(f"e{p}") for p in periods), F.array().cast("array<struct<" + ",".join(f"ema{p}:double" for p in periods) + ">>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -40,24 +43,24 @@ def ema(bars: DataFrame, periods: list[int], bucket_seconds: int = 86_400) -> Da
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     """Mean of the last ``period`` true ranges; the first bar's true range is its own range."""
-    w = Window.partitionBy("instrument").orderBy("open_ts")
+    w = Window.partitionBy("instrument", "_b").orderBy("open_ts")
     prev, hl = F.lag("close").over(w), F.col("high") - F.col("low")
     tr = F.when(prev.isNull(), hl).otherwise(F.greatest(hl, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
     last = w.rowsBetween(-(period - 1), 0)
-    rows = bars.withColumn("_tr", tr.cast("double"))
-    return rows.withColumn("atr", F.round(F.when(F.count(F.lit(1)).over(last) == period, F.avg("_tr").over(last)), 6)).drop("_tr")
+    rows = with_halo(bars, ["instrument"], ["open_ts"], period).withColumn("_tr", tr.cast("double"))
+    return without_halo(rows.withColumn("atr", F.round(F.when(F.count(F.lit(1)).over(last) == period, F.avg("_tr").over(last)), 6)).drop("_tr"))
 
 
 def trend(emas: DataFrame, least: int = 50, look: int = 5) -> DataFrame:
     """``emas(.., close, ema20, ema50)``: bullish above a rising stack, bearish below a falling one, else range."""
-    w = Window.partitionBy("instrument").orderBy("open_ts")
-    back, n = F.lag("ema20", look).over(w), F.row_number().over(w)
+    w = Window.partitionBy("instrument", "_b").orderBy("open_ts")
+    back, n = F.lag("ema20", look).over(w), F.col("_before") + F.count_if(~F.col("_halo")).over(w)
     state = (
         F.when((n < least) | F.col("ema50").isNull(), "insufficient")
         .when((F.col("close") > F.col("ema20")) & (F.col("ema20") > F.col("ema50")) & (F.col("ema20") > back), "bullish")
         .when((F.col("close") < F.col("ema20")) & (F.col("ema20") < F.col("ema50")) & (F.col("ema20") < back), "bearish").otherwise("range")
     )
-    return emas.withColumn("trend", state)
+    return without_halo(with_halo(emas, ["instrument"], ["open_ts"], look).withColumn("trend", state))
 
 
 def fair_value_gaps(bars: DataFrame, lookback: int = 500, kept: int = 10) -> DataFrame:

@@ -4,45 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.carry import carried, sorted_fold
 
-def table_machine(rows: DataFrame, key: str, order: str, event: str, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
+
+def table_machine(rows: DataFrame, key: str, order: str, event: str, start: str, moves: dict[tuple[str, str], str], chunk: int = 1024) -> DataFrame:
     """A finite machine given by its table (state, event) -> state; unknown moves keep the state.
 
-    A table machine composes, so it needs no Python: each event is a map of states, and the running composition is a fold
-    over the key's earlier events kept as one array expression per row group."""
+    A table machine composes: the events of a key whose ``order`` number lies in one chunk are a map of states to states, only the
+    state passes from chunk to chunk, and inside a chunk the states follow from the one it began with."""
     states = sorted({start, *(s for s, _ in moves), *moves.values()})
     index = {s: i for i, s in enumerate(states)}
     events = sorted({e for _, e in moves})
 
-    def step(s: Column, x: Column) -> Column:
-        out = s["at"]
-        for e in events:
-            row = F.array(*(F.lit(index[moves.get((st, e), st)]) for st in states))
-            out = F.when(x["e"] == e, F.element_at(row, s["at"] + 1)).otherwise(out)
-        return F.struct(out.alias("at"), F.concat(s["trace"], F.array(out)).alias("trace"))
-
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e")))).alias("xs"))
-    begin = F.struct(F.lit(index[start]).alias("at"), F.array().cast("array<int>").alias("trace"))
-    traced = packed.withColumn("t", F.aggregate("xs", begin, step)["trace"]).select(key, F.posexplode(F.arrays_zip("xs", "t")).alias("_i", "z"))
+    def move(at: Column, e: Column) -> Column:
+        out = at
+        for name in events:
+            row = F.array(*(F.lit(index[moves.get((st, name), st)]) for st in states))
+            out = F.when(e == name, F.element_at(row, at + 1)).otherwise(out)
+        return out
+
+    kind = rows.schema[key].dataType.simpleString()
+    item = F.struct(F.col(order).alias("o"), F.col(event).alias("e"))
+    packed = rows.withColumn("_b", F.floor(F.col(order) / chunk)).groupBy(key, "_b").agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    same = F.array(*map(F.lit, range(len(states))))
+    maps = packed.select(key, "_b", F.aggregate("xs", same, lambda m, x: F.transform(m, lambda s: move(s, x["e"]))).alias("m"))
+    before = carried(maps, [key], "_b", f"{key} {kind}, _b bigint, _s int", lambda r: (index[start],), lambda s, r: (int(r[2][s[0]]),))
+    trace = F.aggregate("xs", F.array("_s"), lambda t, x: F.concat(t, F.array(move(F.element_at(t, -1), x["e"]))))
+    traced = packed.join(before, [key, "_b"]).withColumn("t", trace)
+    steps = F.expr("transform(xs, (x, i) -> struct(x.o AS o, x.e AS e, t[i] AS f, t[i + 1] AS s))")
     name = lambda i: F.element_at(F.array(*map(F.lit, states)), i + 1)
-    w = Window.partitionBy(key).orderBy("_i")
-    return traced.select(key, F.col("z.xs.o").alias(order), F.col("z.xs.e").alias(event), name(F.coalesce(F.lag("z.t").over(w), F.lit(index[start]))).alias("from_state"), name(F.col("z.t")).alias("to_state"))
+    return traced.select(key, F.explode(steps).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.e").alias(event), name(F.col("z.f")).alias("from_state"), name(F.col("z.s")).alias("to_state"))
 
 
 def fold(rows: DataFrame, key: str, order: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
     """General fold: ``make()`` gives a function of a row (named tuple) that returns the tuples it emits."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, out = make(), []
-        for r in pdf.sort_values(order).itertuples(index=False):
-            out.extend(step(r))
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return sorted_fold(rows, [key], [order], schema, make)
 
 
 def approach_alerts(rows: DataFrame, near: float, again: float) -> DataFrame:

@@ -66,8 +66,8 @@ def reconcile_demands(demands: DataFrame) -> DataFrame:
 def compile_dependencies(requests: DataFrame, most_per_request: int, most_total: int) -> DataFrame:
     """Shared historical requests with their budget checks."""
     out = requests.groupBy("request_key").agg(F.max("priority").alias("priority"), F.array_join(F.sort_array(F.collect_set("dependency")), ",").alias("dependencies"), F.max("observations").alias("observations"))
-    total = Window.partitionBy()
-    return out.withColumn("within_request", F.col("observations") <= most_per_request).withColumn("within_total", F.sum("observations").over(total) <= most_total)
+    total = out.agg((F.sum("observations") <= most_total).alias("within_total"))  # one row
+    return out.withColumn("within_request", F.col("observations") <= most_per_request).crossJoin(F.broadcast(total))
 
 
 def dispatch(queue: DataFrame, slots: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.carry import running, sorted_fold, with_halo, with_time_halo, without_halo
 from tidemark.functions.timeops import merged_intervals, micros
 
 
@@ -106,10 +107,10 @@ def analytical_window(bars: DataFrame, offset_seconds: int, duration_seconds: in
 
 def rolling_windows(bars: DataFrame, bar_seconds: int, window_seconds: int, least_coverage: float) -> DataFrame:
     """One observation at every bar's close over the bars that lie whole in (close - window, close]."""
-    w = Window.partitionBy("instrument").orderBy("_end").rangeBetween(-(window_seconds - bar_seconds), 0)
-    rows = bars.withColumn("_end", F.floor(micros(F.col("close_ts")) / 1_000_000))
+    w = Window.partitionBy("instrument", "_b").orderBy("_end").rangeBetween(-(window_seconds - bar_seconds), 0)
+    rows = with_time_halo(bars.withColumn("_end", F.floor(micros(F.col("close_ts")) / 1_000_000)), "_end", window_seconds)
     items = F.sort_array(F.collect_list(F.struct("_end", F.col("high").cast("double").alias("h"), F.col("low").cast("double").alias("l"), F.col("close").cast("double").alias("c"))).over(w))
-    rows = rows.select("instrument", "close_ts", "_end", F.max("high").over(w).alias("_h"), F.min("low").over(w).alias("_l"), items.alias("_i"))
+    rows = rows.select("instrument", "close_ts", "_end", "_halo", F.max("high").over(w).alias("_h"), F.min("low").over(w).alias("_l"), items.alias("_i")).where("NOT _halo")
     pairs = F.expr("transform(sequence(2, greatest(size(_i), 2)), j -> struct(_i[j - 2] as p, _i[j - 1] as q))")
     rows = rows.withColumn("_p", F.when(F.size("_i") > 1, pairs))
     total = lambda e: F.aggregate("_p", F.lit(0.0), lambda a, x: a + e(x))
@@ -128,20 +129,20 @@ def rolling_windows(bars: DataFrame, bar_seconds: int, window_seconds: int, leas
 def recent_baseline(bars: DataFrame, bar_seconds: int, window_seconds: int, references: int, least_coverage: float, least_references: int) -> DataFrame:
     """Each window's range against the ranges of the ``references`` back-to-back windows before it.
 
-    Earlier windows are rebuilt from the bars they hold (a boundary bar may be missing), windows with too little coverage are
-    skipped and not replaced; ratio to the median and midrank percentile."""
-    now = rolling_windows(bars, bar_seconds, window_seconds, least_coverage).where("eligible").select("instrument", "close_ts", "_end", "price_range")
-    past = now.select("instrument", "_end", F.explode(F.sequence(F.lit(1), F.lit(references))).alias("k")).withColumn("to", F.col("_end") - F.col("k") * window_seconds)
-    # every bar ends in one window of each grid phase, so this is an equi-join on (instrument, phase, window number)
-    phase, cell = F.pmod(F.col("to"), F.lit(window_seconds)), F.floor(F.col("to") / window_seconds)
-    past = past.withColumn("phase", phase).withColumn("cell", cell)
-    ends = bars.select("instrument", F.floor(micros(F.col("close_ts")) / 1_000_000).alias("e"), "high", "low")
-    phases = past.select("phase").distinct()
-    held = ends.join(F.broadcast(phases)).withColumn("cell", F.ceil((F.col("e") - F.col("phase")) / window_seconds).cast("long")).where(F.col("e") - bar_seconds >= (F.col("cell") - 1) * window_seconds + F.col("phase"))
-    grid = held.groupBy("instrument", "phase", "cell").agg((F.max("high") - F.min("low")).cast("double").alias("range"), F.count(F.lit(1)).alias("n")).where(F.col("n") * bar_seconds >= least_coverage * window_seconds)
-    got = past.join(grid, ["instrument", "phase", "cell"]).groupBy("instrument", "_end").agg(F.collect_list("range").alias("ranges"))
-    joined = now.join(got, ["instrument", "_end"], "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<double>")))
-    return _against(joined, least_references)
+    An earlier window is the same range frame shifted by whole windows, so all of them come out of one pass over (instrument, time
+    bucket); windows with too little coverage are skipped and not replaced; ratio to the median and midrank percentile."""
+    ends = bars.select("instrument", "close_ts", F.floor(micros(F.col("close_ts")) / 1_000_000).alias("_end"), "high", "low")
+    rows = with_time_halo(ends, "_end", (references + 1) * window_seconds)
+    order = Window.partitionBy("instrument", "_b").orderBy("_end")
+
+    def covered(k: int) -> Column:
+        w = order.rangeBetween(-(k + 1) * window_seconds + bar_seconds, -k * window_seconds)
+        enough = F.count(F.lit(1)).over(w) * bar_seconds >= least_coverage * window_seconds
+        return F.when(enough, (F.max("high").over(w) - F.min("low").over(w)).cast("double"))
+
+    earlier = F.array_compact(F.array(*(covered(k) for k in range(1, references + 1))))
+    rows = rows.withColumns({"price_range": covered(0), "ranges": earlier}).where("NOT _halo AND price_range IS NOT NULL")
+    return _against(rows.select("instrument", "close_ts", "_end", "price_range", "ranges"), least_references)
 
 
 def _against(df: DataFrame, least: int) -> DataFrame:
@@ -159,35 +160,43 @@ def _against(df: DataFrame, least: int) -> DataFrame:
 
 
 def phase_baseline(bars: DataFrame, bar_seconds: int, window_seconds: int, sessions: int, least_coverage: float, least_references: int) -> DataFrame:
-    """Each window's range against the same stretch of the newest ``sessions`` earlier sessions that cover it."""
-    base = bars.select("instrument", "session", "session_open", "open_ts", "close_ts", "high", "low").withColumn("offset", F.floor((micros(F.col("close_ts")) - micros(F.col("session_open"))) / 1_000_000))
-    w = Window.partitionBy("instrument", "session").orderBy("offset").rangeBetween(-(window_seconds - bar_seconds), 0)
-    now = base.select("instrument", "session", "close_ts", "offset", (F.max("high").over(w) - F.min("low").over(w)).cast("double").alias("price_range"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") * bar_seconds >= least_coverage * window_seconds)
-    # the stretch ending at an offset exists in a session even when its last bar does not, so offsets are expanded from the bars
+    """Each window's range against the same stretch of the newest ``sessions`` earlier sessions that cover it.
+
+    A stretch that ends at an offset exists in a session even when its last bar does not, so every bar goes to all stretches
+    that hold it; the references of a stretch are then the rows before it in one window by (instrument, offset)."""
+    offset = F.floor((micros(F.col("close_ts")) - micros(F.col("session_open"))) / 1_000_000)
     reach = F.explode(F.sequence(F.lit(0), F.lit(window_seconds // bar_seconds - 1)))
-    held = base.select("instrument", "session", "high", "low", "offset", reach.alias("j")).withColumn("offset", F.col("offset") + F.col("j") * bar_seconds)
-    grid = held.groupBy("instrument", "session", "offset").agg((F.max("high") - F.min("low")).cast("double").alias("range"), F.count(F.lit(1)).alias("n")).where(F.col("n") * bar_seconds >= least_coverage * window_seconds)
-    earlier = now.select("instrument", "offset", F.col("session").alias("cur")).join(grid, ["instrument", "offset"]).where("session < cur")
-    newest = earlier.withColumn("r", F.row_number().over(Window.partitionBy("instrument", "cur", "offset").orderBy(F.desc("session")))).where(F.col("r") <= sessions)
-    got = newest.groupBy("instrument", F.col("cur").alias("session"), "offset").agg(F.collect_list("range").alias("ranges"))
-    joined = now.join(got, ["instrument", "session", "offset"], "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<double>")))
-    return _against(joined, least_references).drop("n")
+    held = bars.select("instrument", "session", "close_ts", "high", "low", offset.alias("offset"), reach.alias("j")).withColumn("offset", F.col("offset") + F.col("j") * bar_seconds)
+    stretch = held.groupBy("instrument", "session", "offset").agg(
+        (F.max("high") - F.min("low")).cast("double").alias("price_range"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("j") == 0, F.col("close_ts"))).alias("close_ts"))
+    before = Window.partitionBy("instrument", "offset").orderBy("session").rowsBetween(-sessions, -1)
+    rows = stretch.where(F.col("n") * bar_seconds >= least_coverage * window_seconds).withColumn("ranges", F.collect_list("price_range").over(before))
+    return _against(rows.where("close_ts IS NOT NULL").select("instrument", "session", "close_ts", "offset", "price_range", "ranges"), least_references)
 
 
 def rate_suppressed(quotes: DataFrame, min_ms: int) -> DataFrame:
-    """Quotes published under a minimum interval per instrument: a fold, since every publication moves the mark."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        keep, last = [], None
-        for us in pdf["us"]:
-            ok = last is None or us - last >= min_ms * 1000
-            keep.append(ok)
-            last = us if ok else last
-        return pdf.assign(published=keep)[["instrument", "ts", "seq", "published"]]
-
-    return quotes.select("instrument", "ts", "seq", micros(F.col("ts")).alias("us")).groupBy("instrument").applyInPandas(fold, "instrument string, ts timestamp_ntz, seq bigint, published boolean")
+    """Quotes published under a minimum interval per instrument.
+
+    Every publication moves the mark, but a gap of the whole interval always publishes; the runs between such gaps are folded
+    independently, so neither an instrument's history nor a run is ever held."""
+    rows = quotes.select("instrument", "ts", "seq", micros(F.col("ts")).alias("us"))
+    w = Window.partitionBy("instrument", "_b").orderBy("ts", "seq")
+    gap = F.col("us") - F.lag("us").over(w)
+    rows = without_halo(with_halo(rows, ["instrument"], ["ts", "seq"], 1).withColumn("_gap", F.when(gap < min_ms * 1000, 0).otherwise(1).cast("long")))
+    runs = running(rows, ["instrument"], ["ts", "seq"], {"run": F.col("_gap")}).select("instrument", "run", "ts", "seq", "us")
+
+    def make():
+        last = None
+
+        def step(r):
+            nonlocal last
+            ok = last is None or r.us - last >= min_ms * 1000
+            last = r.us if ok else last
+            return [(r.instrument, r.ts, r.seq, ok)]
+
+        return step
+
+    return sorted_fold(runs, ["instrument", "run"], ["ts", "seq"], "instrument string, ts timestamp_ntz, seq bigint, published boolean", make)
 
 
 def changed_only(df: DataFrame, key: str, order: str, signature: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ their own last state) are folds, one keyed group of a bounded session or instrum
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.carry import carried, sorted_fold, with_halo, without_halo
 from tidemark.functions.timeops import micros
 
 
@@ -67,9 +67,11 @@ def episodes(rows: DataFrame, confirm: int, schema_key: str = "instrument") -> D
     """Location episodes of ``rows(key, session, ts, inside boolean, favourable int)``: entered, held, rejected after ``confirm``
     consecutive adverse rows, confirmed after as many favourable ones, exited outside."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, state, run = pdf.sort_values("ts"), [], "idle", 0
-        for r in pdf.itertuples(index=False):
+    def make():
+        state, run = "idle", 0
+
+        def step(r):
+            nonlocal state, run
             event = None
             if state == "idle":
                 if r.inside:
@@ -82,11 +84,11 @@ def episodes(rows: DataFrame, confirm: int, schema_key: str = "instrument") -> D
                     state, event = "confirmed", "confirmed"
                 elif run == -confirm:
                     state, run, event = "idle", 0, "rejected"
-            if event:
-                out.append((r[0], r.session, r.ts, event))
-        return pd.DataFrame(out, columns=[schema_key, "session", "ts", "event"])
+            return [(r[0], r.session, r.ts, event)] if event else []
+
+        return step
 
-    return rows.groupBy(schema_key, "session").applyInPandas(fold, f"{schema_key} string, session timestamp_ntz, ts timestamp_ntz, event string")
+    return sorted_fold(rows, [schema_key, "session"], ["ts"], f"{schema_key} string, session timestamp_ntz, ts timestamp_ntz, event string", make)
 
 
 ALLOWED = {"candidate": ("armed", "expired"), "armed": ("triggered", "invalidated", "expired"), "triggered": ("invalidated", "expired")}
@@ -102,17 +104,32 @@ def lifecycle_check(steps: DataFrame, key: str, order: str) -> DataFrame:
     return steps.withColumn("chained", F.coalesce(prev == F.col("from_status"), F.col("from_status") == "candidate")).withColumn("allowed", ok)
 
 
-def recency(gaps: DataFrame, key: str, order: str, value: str, decay: float = 0.95) -> DataFrame:
-    """Exponentially weighted mean and variance of arrival gaps: mean += a d; variance = decay (variance + a d d)."""
-    a = 1 - decay
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("v"))
-
-    def step(s: Column, x: Column) -> Column:
-        d = x["x"] - s["m"]
-        return F.when(s["m"].isNull(), F.struct(x["x"].alias("m"), F.lit(0.0).alias("v"))).otherwise(F.struct((s["m"] + a * d).alias("m"), (decay * (s["v"] + a * d * d)).alias("v")))
+def recency(gaps: DataFrame, key: str, order: str, value: str, decay: float = 0.95, chunk: int = 4096) -> DataFrame:
+    """Exponentially weighted mean and variance of arrival gaps: mean += a d; variance = decay (variance + a d d).
 
-    packed = gaps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("xs"))
-    return packed.withColumn("s", F.aggregate("xs", start, step)).select(key, F.size("xs").cast("long").alias("samples"), F.round("s.m", 6).alias("mean"), F.round("s.v", 6).alias("variance"))
+    A step is linear in the mean and, with it, quadratic in the variance, and such steps compose: the gaps whose ``order`` number lies
+    in one chunk fold to six coefficients, and only these pass from chunk to chunk."""
+    a = 1 - decay
+    names = ("A", "B", "C", "D", "E", "G")
+    start = F.struct(*(F.lit(x).alias(n) for n, x in zip(names, (1.0, 0.0, 1.0, 0.0, 0.0, 0.0), strict=True)))
+
+    def step(s: Column, x: Column) -> Column:  # mean = A m + B; variance = C v + D m m + E m + G
+        d = x["x"] - s["B"]
+        new = {
+            "A": s["A"] * (1 - a), "B": s["B"] + a * d, "C": decay * s["C"], "D": decay * (s["D"] + a * s["A"] * s["A"]),
+            "E": decay * (s["E"] - 2 * a * d * s["A"]), "G": decay * (s["G"] + a * d * d),
+        }
+        return F.struct(*(new[n].alias(n) for n in names))
+
+    item = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    packed = gaps.withColumn("_b", F.floor(F.col(order) / chunk)).groupBy(key, "_b").agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    folded = packed.withColumn("s", F.aggregate("xs", start, step)).select(key, "_b", F.size("xs").cast("long").alias("n"), F.col("xs")[0]["x"].alias("first"), "s.*")
+    after = lambda s, r: (s[0] + r[2], r[4] * s[1] + r[5], r[6] * s[2] + r[7] * s[1] * s[1] + r[8] * s[1] + r[9])
+    kind = f"{key} {gaps.schema[key].dataType.simpleString()}"
+    before = carried(folded, [key], "_b", f"{kind}, _b bigint, _n bigint, _m double, _v double", lambda r: (0, r[3], 0.0), after)
+    m, v = F.col("_m"), F.col("_v")
+    last = folded.join(before, [key, "_b"]).groupBy(key).agg(F.max_by(F.struct((F.col("_n") + F.col("n")).alias("samples"), F.round(F.col("A") * m + F.col("B"), 6).alias("mean"), F.round(F.col("C") * v + F.col("D") * m * m + F.col("E") * m + F.col("G"), 6).alias("variance")), "_b").alias("s"))
+    return last.select(key, "s.*")
 
 
 def adaptive_thresholds(profiles: DataFrame, ks: tuple[float, ...] = (2, 4, 8), floor: float = 1.0, most: float = 1e6) -> DataFrame:
@@ -131,22 +148,18 @@ def assess_evidence(age_seconds: Column, subscribed: Column, open_: Column, degr
     return F.when(~open_, "DORMANT").when(~subscribed, "UNAVAILABLE").when(age_seconds.isNull(), "NOT_EVALUATED").when(age_seconds <= degraded, "HEALTHY").when(age_seconds <= stale, "DEGRADED").when(age_seconds <= gone, "STALE").otherwise("UNAVAILABLE")
 
 
-def hysteresis(rows: DataFrame, key: str, order: str, value: str, high: float, low: float, confirm: int) -> DataFrame:
-    """Alarm after ``confirm`` consecutive values above ``high``, cleared by one below ``low``."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, on, run = pdf.sort_values(order), [], False, 0
-        for r in pdf[[key, order, value]].itertuples(index=False):
-            run = run + 1 if r[2] > high else 0
-            if not on and run >= confirm:
-                on = True
-                out.append((r[0], r[1], "raised"))
-            elif on and r[2] < low:
-                on = False
-                out.append((r[0], r[1], "cleared"))
-        return pd.DataFrame(out, columns=[key, order, "event"])
+def hysteresis(rows: DataFrame, key: str, order: list[str], value: str, high: float, low: float, confirm: int) -> DataFrame:
+    """Alarm after ``confirm`` consecutive values above ``high``, cleared by one below ``low``.
 
-    return rows.groupBy(key).applyInPandas(fold, f"{key} string, {order} timestamp_ntz, event string")
+    Both marks are known from the last ``confirm`` rows, so an event is a mark that differs from the mark before it."""
+    w = Window.partitionBy(key, "_b").orderBy(*order)
+    last = w.rowsBetween(-(confirm - 1), 0)
+    raised = (F.min(value).over(last) > high) & (F.count(F.lit(1)).over(last) == confirm)
+    mark = F.when(raised, "raised").when(F.col(value) < low, "cleared")
+    marks = without_halo(with_halo(rows, [key], order, confirm - 1).withColumn("event", mark)).where("event IS NOT NULL") if confirm > 1 else rows.withColumn("event", mark).where("event IS NOT NULL")
+    before = F.coalesce(F.lag("event").over(w), F.lit("cleared"))
+    changed = with_halo(marks, [key], order, 1).withColumn("_e", before)
+    return without_halo(changed).where(F.col("event") != F.col("_e")).select(key, *order, "event")
 
 
 def first_hit(episodes_: DataFrame, prices: DataFrame, points: float, window_seconds: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
+from tidemark.functions.carry import islands
 from tidemark.operators import bars as B
 from tidemark.operators import flow, normalize
 from tidemark.plans.catalog import BAR, SIDE, TR, dbl, doubles, query
@@ -153,7 +154,11 @@ def sequence_gaps(spark, sf):
     return flow.sequence_gaps(S.trades(spark, sf), ["instrument"])
 
 
-@query("large_trade_clusters")
+@query("large_trade_clusters", f"""WITH RECURSIVE {SIDE}, n AS (SELECT *, row_number() OVER w AS i, coalesce(lag(side) OVER w = side AND ts - lag(ts) OVER w <= INTERVAL 4 HOUR, false) AS goes_on FROM cl WINDOW w AS (PARTITION BY instrument ORDER BY ts, seq)),
+r AS (SELECT instrument, i, seq, side, seq AS first_seq, size::DOUBLE AS total, 1 AS prints, size >= 120 AS out FROM n WHERE i = 1
+ UNION ALL SELECT n.instrument, n.i, n.seq, n.side, CASE WHEN n.goes_on AND NOT r.out THEN r.first_seq ELSE n.seq END, CASE WHEN n.goes_on AND NOT r.out THEN r.total ELSE 0 END + n.size::DOUBLE, CASE WHEN n.goes_on AND NOT r.out THEN r.prints ELSE 0 END + 1,
+ CASE WHEN n.goes_on AND NOT r.out THEN r.total ELSE 0 END + n.size::DOUBLE >= 120 FROM r JOIN n ON n.instrument = r.instrument AND n.i = r.i + 1)
+SELECT instrument, first_seq, seq AS last_seq, side, total AS size, prints::BIGINT AS print_count FROM r WHERE out AND side <> 'UNKNOWN'""")
 def large_trade_clusters(spark, sf):
     return flow.large_trade_clusters(_classified(spark, sf), 4 * 3600 * 1000, 120.0)
 
@@ -170,11 +175,11 @@ w AS (SELECT instrument, open_ts, close, count(*) FILTER (close > open) OVER l A
 SELECT instrument, open_ts, up, down, CASE WHEN up > down THEN 'UPWARD' WHEN down > up THEN 'DOWNWARD' ELSE 'BALANCED' END AS direction,
  round(CASE WHEN h > lo THEN (close - lo)::DOUBLE / (h - lo)::DOUBLE ELSE 0.5 END, 6) AS close_location, round(CASE WHEN nb = 10 THEN v / m END, 6) AS pace FROM w WHERE n = 3""")
 def bar_pressure_proxy(spark, sf):
-    return flow.bar_pressure_proxy(T.islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts"))
+    return flow.bar_pressure_proxy(islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts"))
 
 
 @query("latest_contiguous_run", f"""WITH {BAR}, i AS (SELECT *, sum(nw) OVER (PARTITION BY instrument ORDER BY open_ts ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(close_ts) OVER (PARTITION BY instrument ORDER BY open_ts) = open_ts THEN 0 ELSE 1 END AS nw FROM bar))
 SELECT instrument, min(open_ts) AS first_open, max(close_ts) AS last_close, count(*) AS n FROM i WHERE true GROUP BY instrument, island QUALIFY island = max(island) OVER (PARTITION BY instrument)""")
 def latest_contiguous_run(spark, sf):
-    runs = T.islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts").groupBy("instrument", "island").agg(F.min("open_ts").alias("first_open"), F.max("close_ts").alias("last_close"), F.count(F.lit(1)).alias("n"))
+    runs = islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts").groupBy("instrument", "island").agg(F.min("open_ts").alias("first_open"), F.max("close_ts").alias("last_close"), F.count(F.lit(1)).alias("n"))
     return runs.withColumn("_m", F.max("island").over(Window.partitionBy("instrument"))).where("island = _m").drop("_m", "island")

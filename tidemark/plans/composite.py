@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
+from tidemark.functions.carry import islands
 from tidemark.operators import indicators as I
 from tidemark.operators import joins as J
 from tidemark.operators import machines as Z
@@ -146,7 +147,7 @@ w AS (SELECT instrument, open_ts, count(*) FILTER (close > open) OVER w AS up, c
 r AS (SELECT instrument, open_ts, round(up / n, 6)::DOUBLE AS directional_ratio, round(CASE WHEN h > l THEN (close - l)::DOUBLE / (h - l)::DOUBLE ELSE 0.5 END, 6) AS close_location FROM w WHERE n = 3)
 SELECT *, concat_ws(',', CASE WHEN directional_ratio < 0.66 THEN 'directional_bars' END, CASE WHEN close_location < 0.65 THEN 'close_location' END) AS failures FROM r""")
 def bar_impulse_confirmation(spark, sf):
-    b = T.islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts")
+    b = islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts")
     w = Window.partitionBy("instrument", "island").orderBy("open_ts").rowsBetween(-2, 0)
     h, lo = F.max("high").over(w), F.min("low").over(w)
     r = b.select("instrument", "open_ts", F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum((F.col("close") > F.col("open")).cast("int")).over(w) / F.count(F.lit(1)).over(w), 6).alias("directional_ratio"), F.round(F.when(h > lo, (F.col("close") - lo).cast("double") / (h - lo).cast("double")).otherwise(F.lit(0.5)), 6).alias("close_location")).where("n = 3").drop("n")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
+from tidemark.functions.carry import islands
 from tidemark.operators import indicators as I
 from tidemark.operators import measurements as M
 from tidemark.operators import signals as G
@@ -54,7 +55,7 @@ _SPLIT = f"""{BAR}, i AS (SELECT *, sum(nw) OVER (PARTITION BY instrument ORDER
 r AS (SELECT instrument, open_ts, round(CASE WHEN v <> 0 THEN (b + s) / v ELSE 0 END, 6) AS classified_ratio, round(CASE WHEN b + s <> 0 THEN (b - s) / (b + s) ELSE 0 END, 6) AS delta_ratio, round(CASE WHEN u <> 0 THEN (c - o) / u ELSE 0 END, 6) AS follow FROM w WHERE n = 3)
 SELECT *, concat_ws(',', CASE WHEN classified_ratio < 0.7 THEN 'classified_ratio' END, CASE WHEN delta_ratio < 0.1 THEN 'delta' END, CASE WHEN follow < 0.1 THEN 'follow_through' END) AS failures FROM r""")
 def aggression_confirmation(spark, sf):
-    bars = T.islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts")
+    bars = islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts")
     up = F.col("close") >= F.col("open")
     bars = bars.withColumn("buy_volume", F.when(up, F.col("volume")).otherwise(F.lit(0))).withColumn("sell_volume", F.when(~up & (F.col("n_trades") % 4 != 0), F.col("volume")).otherwise(F.lit(0)))
     return G.confirmation_window(bars, 3, 0.7, 0.1, 1).select("instrument", "open_ts", "classified_ratio", "delta_ratio", "follow", "failures")
@@ -73,13 +74,13 @@ def location_episodes(spark, sf):
     return G.episodes(rows, 2)
 
 
-@query("lifecycle_chain", """WITH s AS (SELECT user_id, event_id, ['candidate', 'armed', 'triggered'][event_id % 3 + 1] AS f, ['armed', 'triggered', 'invalidated', 'expired'][(event_id // 3) % 4 + 1] AS t FROM events WHERE event_type = 'click'),
+@query("lifecycle_chain", """WITH s AS (SELECT user_id, event_id, ['candidate', 'armed', 'triggered'][event_id % 3 + 1] AS f, ['armed', 'triggered', 'invalidated', 'expired'][(event_id // 3) % 4 + 1] AS t FROM events),
 c AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM s)
 SELECT user_id, event_id, coalesce(p = f, f = 'candidate') AS chained, (f = 'candidate' AND t IN ('armed', 'expired')) OR (f = 'armed' AND t IN ('triggered', 'invalidated', 'expired')) OR (f = 'triggered' AND t IN ('invalidated', 'expired')) AS allowed FROM c""")
 def lifecycle_chain(spark, sf):
     i = F.col("event_id")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
-    s = S.table(spark, sf, "events").where("event_type = 'click'").select("user_id", "event_id", pick(["candidate", "armed", "triggered"], i % 3).alias("from_status"), pick(["armed", "triggered", "invalidated", "expired"], F.floor(i / 3) % 4).alias("to_status"))
+    s = S.table(spark, sf, "events").select("user_id", "event_id", pick(["candidate", "armed", "triggered"], i % 3).alias("from_status"), pick(["armed", "triggered", "invalidated", "expired"], F.floor(i / 3) % 4).alias("to_status"))
     return G.lifecycle_check(s, "user_id", "event_id").select("user_id", "event_id", "chained", "allowed")
 
 
@@ -114,10 +115,11 @@ def evidence_assessment(spark, sf):
     return a.select("instrument", "ts", "seq", G.assess_evidence(F.col("age"), F.col("seq") % 17 != 0, F.hour("ts") >= 2, 600, 1800, 5400).alias("state"))
 
 
-@query("resource_health_hysteresis")
+@query("resource_health_hysteresis", f"""WITH {TR}, m AS (SELECT instrument, ts, seq, CASE WHEN price > 180 AND lag(price) OVER w > 180 THEN 'raised' WHEN price < 120 THEN 'cleared' END AS event FROM tr WINDOW w AS (PARTITION BY instrument ORDER BY ts, seq))
+SELECT instrument, ts, seq, event FROM m WHERE event IS NOT NULL QUALIFY event <> coalesce(lag(event) OVER (PARTITION BY instrument ORDER BY ts, seq), 'cleared')""")
 def resource_health_hysteresis(spark, sf):
-    t = S.trades(spark, sf).select("instrument", "ts", F.col("price").cast("double").alias("price"))
-    return G.hysteresis(t, "instrument", "ts", "price", 180.0, 120.0, 2)
+    t = S.trades(spark, sf).select("instrument", "ts", "seq", F.col("price").cast("double").alias("price"))
+    return G.hysteresis(t, "instrument", ["ts", "seq"], "price", 180.0, 120.0, 2)
 
 
 @query("aggression_first_hit", f"""WITH {FT}, e AS (SELECT seq AS id, instrument, ts, price, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS sign FROM ft WHERE size >= 60),
