@@ -210,18 +210,6 @@ def watchlist_state(spark, sf):
     return Z.monotone_latest(S.table(spark, sf, "events").select("user_id", "ts", ((F.col("event_id") * 7919) % 10007).alias("arrival")), "user_id", "ts", "arrival")
 
 
-@query("empty_recovery_confirmations", "SELECT user_id, count(*) AS attempts, count(*) >= 12 AS confirmed FROM events WHERE event_type = 'error' GROUP BY 1")
-def empty_recovery_confirmations(spark, sf):
-    n = F.count(F.lit(1))
-    return S.table(spark, sf, "events").where("event_type = 'error'").groupBy("user_id").agg(n.alias("attempts"), (n >= 12).alias("confirmed"))
-
-
-@query("historical_readiness", "SELECT o_custkey, count(*) AS received, CASE WHEN count(*) >= 12 THEN 'READY' WHEN count(*) >= 8 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS readiness FROM orders GROUP BY 1")
-def historical_readiness(spark, sf):
-    n = F.count(F.lit(1))
-    return S.table(spark, sf, "orders").groupBy("o_custkey").agg(n.alias("received"), F.when(n >= 12, "READY").when(n >= 8, "PARTIAL").otherwise("INSUFFICIENT").alias("readiness"))
-
-
 @query("market_data_plan", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'active' WHEN c_nationkey < 5 THEN 'context' ELSE 'watch' END AS role, unnest(CASE WHEN c_custkey = 1 THEN ['trades', 'quotes', 'bars'] WHEN c_nationkey < 5 THEN ['bars'] ELSE ['quotes'] END) AS feed FROM customer")
 def market_data_plan(spark, sf):
     role = F.when(F.col("c_custkey") == 1, "active").when(F.col("c_nationkey") < 5, "context").otherwise("watch")

@@ -215,11 +215,6 @@ def priority_dispatch(spark, sf):
     return X.dispatch(S.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 13).alias("priority")), 25)
 
 
-@query("outbox_backoff", "SELECT event_id, least(power(2.0::DOUBLE, user_id % 12), 300.0::DOUBLE) AS seconds FROM events WHERE event_type = 'error'")
-def outbox_backoff(spark, sf):
-    return S.table(spark, sf, "events").where("event_type = 'error'").select("event_id", X.backoff_seconds(F.col("user_id") % 12).alias("seconds"))
-
-
 @query("tick_gap_plan", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'replay_journal' WHEN user_id % 2 = 0 THEN 'best_effort_backfill' ELSE 'unrecoverable' END AS action FROM events")
 def tick_gap_plan(spark, sf):
     u = F.col("user_id")
