@@ -18,7 +18,7 @@ from tidemark.sources import adapters as S
 _B4 = "b4 AS (SELECT instrument, bucket, arg_max(close, open_ts)::DOUBLE AS close, bucket + INTERVAL 4 HOUR AS as_of FROM (SELECT *, date_trunc('day', open_ts) + INTERVAL 4 HOUR * (hour(open_ts) // 4) AS bucket FROM bar) GROUP BY ALL HAVING count(*) = 4)"
 
 
-@query("multi_timeframe_bundle", f"""WITH {BAR}, {_B4}, e AS (SELECT instrument, ts, seq FROM tr WHERE seq % 5 = 0)
+@query("multi_timeframe_bundle", f"""WITH {BAR}, {_B4}, e AS (SELECT instrument, ts, seq FROM tr)
 SELECT e.instrument, e.ts, e.seq, h.close_ts AS h1_as_of, h.close::DOUBLE AS h1_value, f.as_of AS h4_as_of, f.close AS h4_value
 FROM e ASOF LEFT JOIN bar h ON h.instrument = e.instrument AND e.ts >= h.close_ts ASOF LEFT JOIN b4 f ON f.instrument = e.instrument AND e.ts >= f.as_of""")
 def multi_timeframe_bundle(spark, sf):
@@ -27,16 +27,16 @@ def multi_timeframe_bundle(spark, sf):
     zero = F.lit(0).cast("long").alias("seq")
     feats = {"h1": bars.select("instrument", F.col("close_ts").alias("ts"), zero, F.col("close").cast("double").alias("value")),
              "h4": long_.select("instrument", (F.col("bucket") + F.expr("INTERVAL 4 HOURS")).alias("ts"), zero, F.col("close").cast("double").alias("value"))}
-    return J.point_in_time(S.trades(spark, sf).where("seq % 5 = 0").select("instrument", "ts", "seq"), feats)
+    return J.point_in_time(S.trades(spark, sf).select("instrument", "ts", "seq"), feats)
 
 
 @query("context_join_with_ties", f"""WITH {BAR}, f AS (SELECT instrument, close_ts AS as_of, count(*) AS n FROM (SELECT instrument, close_ts FROM bar WHERE hour(close_ts) % 3 = 0 UNION ALL SELECT instrument, close_ts FROM bar WHERE hour(close_ts) % 6 = 0) GROUP BY ALL),
-e AS (SELECT instrument, ts, seq FROM tr WHERE seq % 3 = 0)
+e AS (SELECT instrument, ts, seq FROM tr)
 SELECT e.instrument, e.ts, e.seq, f.as_of, coalesce(f.n, 0) AS n_matches, CASE WHEN f.as_of IS NULL THEN 'missing' WHEN e.ts - f.as_of > INTERVAL 3 HOUR THEN 'stale' WHEN f.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM e ASOF LEFT JOIN f ON f.instrument = e.instrument AND e.ts >= f.as_of""")
 def context_join_with_ties(spark, sf):
     bars = S.hourly_bars(spark, sf)
     f = bars.where(F.hour("close_ts") % 3 == 0).select("instrument", F.col("close_ts").alias("as_of"), F.lit("a").alias("id")).unionByName(bars.where(F.hour("close_ts") % 6 == 0).select("instrument", F.col("close_ts").alias("as_of"), F.lit("b").alias("id")))
-    return J.asof_with_ties(S.trades(spark, sf).where("seq % 3 = 0").select("instrument", "ts", "seq"), f, "instrument", 3 * 3600)
+    return J.asof_with_ties(S.trades(spark, sf).select("instrument", "ts", "seq"), f, "instrument", 3 * 3600)
 
 
 @query("annotation_interval_join", """SELECT a.event_id, b.event_id AS other_id, a.user_id, epoch(b.ts - a.ts)::DOUBLE AS seconds FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'view' AND b.ts BETWEEN a.ts - INTERVAL 2 HOUR AND a.ts + INTERVAL 6 HOUR""")
@@ -96,7 +96,7 @@ def best_confluence_cluster(spark, sf):
 
 
 _OUT = BAR + """, o AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS session, open_ts, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, row_number() OVER (PARTITION BY instrument, date_trunc('day', open_ts) ORDER BY open_ts) AS ordinal FROM bar),
-ev AS (SELECT instrument || '|' || strftime(open_ts, '%Y-%m-%d %H:%M:%S') AS event_id, instrument, session, ordinal, close AS reference, CASE WHEN ordinal % 2 = 0 THEN 1 ELSE -1 END AS sign FROM o WHERE ordinal % 5 = 0),
+ev AS (SELECT instrument || '|' || strftime(open_ts, '%Y-%m-%d %H:%M:%S') AS event_id, instrument, session, ordinal, close AS reference, CASE WHEN ordinal % 2 = 0 THEN 1 ELSE -1 END AS sign FROM o),
 h AS (SELECT ev.*, unnest([1, 3, 5]) AS horizon FROM ev),
 j AS (SELECT h.event_id, h.horizon, count(o.close) AS n, arg_max(h.sign * (o.close - h.reference), o.ordinal) AS ret, max(CASE WHEN h.sign > 0 THEN o.high - h.reference ELSE h.reference - o.low END) AS mfe, max(CASE WHEN h.sign > 0 THEN h.reference - o.low ELSE o.high - h.reference END) AS mae
  FROM h LEFT JOIN o ON o.instrument = h.instrument AND o.session = h.session AND o.ordinal > h.ordinal AND o.ordinal <= h.ordinal + h.horizon GROUP BY ALL),
@@ -105,7 +105,7 @@ outcome AS (SELECT event_id, horizon::BIGINT AS horizon, round(CASE WHEN n = hor
 
 def _outcomes(spark, sf):
     bars = M.with_utc_session(S.hourly_bars(spark, sf)).withColumn("ordinal", F.row_number().over(Window.partitionBy("instrument", "session").orderBy("open_ts")))
-    events = bars.where("ordinal % 5 = 0").select(F.concat_ws("|", "instrument", F.date_format("open_ts", "yyyy-MM-dd HH:mm:ss")).alias("event_id"), "instrument", "session", "ordinal", F.col("close").cast("double").alias("reference"), F.when(F.col("ordinal") % 2 == 0, 1).otherwise(-1).alias("sign"))
+    events = bars.select(F.concat_ws("|", "instrument", F.date_format("open_ts", "yyyy-MM-dd HH:mm:ss")).alias("event_id"), "instrument", "session", "ordinal", F.col("close").cast("double").alias("reference"), F.when(F.col("ordinal") % 2 == 0, 1).otherwise(-1).alias("sign"))
     return J.forward_outcome(events, bars, [1, 3, 5])
 
 
@@ -120,11 +120,11 @@ def outcome_report(spark, sf):
     return _outcomes(spark, sf).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.count("ret").alias("available"), F.round(100.0 * F.count_if(F.col("ret") > 0) / F.nullif(F.count("ret"), F.lit(0)), 4).alias("favourable_pct"), med("ret").alias("median_return"), med("mfe").alias("median_mfe"), med("mae").alias("median_mae"))
 
 
-@query("event_reference_price", f"""WITH {BAR}, e AS (SELECT instrument, ts, seq FROM tr WHERE seq % 4 = 1) SELECT e.instrument, e.ts, e.seq, CASE WHEN e.ts - b.close_ts <= INTERVAL 1 HOUR THEN b.close::DOUBLE END AS reference,
+@query("event_reference_price", f"""WITH {BAR}, e AS (SELECT instrument, ts, seq FROM tr) SELECT e.instrument, e.ts, e.seq, CASE WHEN e.ts - b.close_ts <= INTERVAL 1 HOUR THEN b.close::DOUBLE END AS reference,
  CASE WHEN b.close_ts IS NULL THEN 'no_bar' WHEN e.ts - b.close_ts > INTERVAL 1 HOUR THEN 'stale_bar' END AS reason FROM e ASOF LEFT JOIN bar b ON b.instrument = e.instrument AND e.ts >= b.close_ts""")
 def event_reference_price(spark, sf):
     bars = S.hourly_bars(spark, sf).select("instrument", F.col("close_ts").alias("ts"), F.lit(0).cast("long").alias("seq"), F.col("close").cast("double").alias("close"))
-    out = T.last_before(S.trades(spark, sf).where("seq % 4 = 1").select("instrument", "ts", "seq"), bars, "instrument", "ts", "seq", "b")
+    out = T.last_before(S.trades(spark, sf).select("instrument", "ts", "seq"), bars, "instrument", "ts", "seq", "b")
     fresh = T.micros(F.col("ts")) - T.micros(F.col("b.ts")) <= 3_600_000_000
     return out.select("instrument", "ts", "seq", F.when(fresh, F.col("b.close")).alias("reference"), F.when(F.col("b").isNull(), "no_bar").when(~fresh, "stale_bar").alias("reason"))
 
@@ -183,9 +183,9 @@ def identity_conflicts(spark, sf):
     return X.identity_conflicts(S.table(spark, sf, "lineitem").where("l_linenumber = 1"), "l_orderkey", ["l_partkey", "l_quantity"])
 
 
-@query("idempotent_batch", "WITH s AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) SELECT * FROM s WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+@query("idempotent_batch", "WITH s AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT * FROM s WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
 def idempotent_batch(spark, sf):
-    batch = S.table(spark, sf, "orders").where("o_custkey % 2 = 0").select("o_custkey", "o_orderkey")
+    batch = S.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     return X.new_only(batch, S.table(spark, sf, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "o_orderkey")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tidemark.plans.catalog import BAR, TR, dbl, doubles, query
 from tidemark.sources import adapters as S
@@ -13,10 +14,14 @@ from tidemark.streaming import bars as R
 
 
 def shared(spark, name: str) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder."""
+    """A fresh folder in the cluster's shared checkpoint folder; a temporary one only where a single machine runs everything."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,9 +62,9 @@ def feature_store_history(spark, sf):
     path = shared(spark, "features")
     f = _features(spark, sf)
     C.append_features(f, path)
-    stored = spark.read.schema(f.schema.add("day", "date")).parquet(path)
+    stored = spark.read.schema(StructType([*f.schema.fields, StructField("day", DateType())])).parquet(path)
     C.append_features(f, path, stored)  # a second append of the same features writes nothing
-    return C.feature_history(spark.read.schema(f.schema.add("day", "date")).parquet(path), "view", "4h").select("as_of", "version", "value")
+    return C.feature_history(stored, "view", "4h").select("as_of", "version", "value")
 
 
 @query("latest_feature_variants", f"WITH {_FEAT} SELECT instrument, timeframe, as_of, version, value FROM f QUALIFY rank() OVER (PARTITION BY instrument, timeframe ORDER BY as_of DESC) = 1")
@@ -83,10 +88,10 @@ def screenshot_names(spark, sf):
     return C.parse_names(n, known=["CLICK", "VIEW", "SIGNUP", "PURCHASE"]).select("event_id", "taken_ts", "instrument", "direction", "setup", "error")
 
 
-@query("operational_ledger", "SELECT user_id::VARCHAR AS run_id, event_type AS event_id, min(event_id) AS sequence FROM events WHERE user_id < 40 GROUP BY ALL")
+@query("operational_ledger", "SELECT user_id::VARCHAR AS run_id, event_type AS event_id, min(event_id) AS sequence FROM events GROUP BY ALL")
 def operational_ledger(spark, sf):
     path = shared(spark, "ledger")
-    rows = S.table(spark, sf, "events").where("user_id < 40").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("event_id"), F.col("event_id").alias("sequence"))
+    rows = S.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("event_id"), F.col("event_id").alias("sequence"))
     middle = rows.agg(F.max("sequence")).first()[0] // 2
     C.append_ledger(rows.where(F.col("sequence") <= middle), path, spark)
     C.append_ledger(rows, path, spark)
@@ -100,11 +105,11 @@ def stream_hourly_bars(spark, sf):
     return doubles(spark.read.parquet(path), "open", "high", "low", "close", "volume")
 
 
-@query("stream_ledger", """WITH s AS (SELECT event_type || '|' || user_id AS key, event_id AS seq, (event_id % 3)::VARCHAR AS payload FROM events WHERE user_id < 60), f AS (SELECT *, first(payload) OVER (PARTITION BY key ORDER BY seq) AS p, row_number() OVER (PARTITION BY key ORDER BY seq) AS r FROM s)
+@query("stream_ledger", """WITH s AS (SELECT event_type || '|' || user_id AS key, event_id AS seq, (event_id % 3)::VARCHAR AS payload FROM events), f AS (SELECT *, first(payload) OVER (PARTITION BY key ORDER BY seq) AS p, row_number() OVER (PARTITION BY key ORDER BY seq) AS r FROM s)
 SELECT key, seq, CASE WHEN r = 1 THEN 'ACCEPTED' WHEN payload = p THEN 'DUPLICATE' ELSE 'CONFLICT' END AS status FROM f""")
 def stream_ledger(spark, sf):
     path = shared(spark, "stream-ledger")
-    raw = spark.readStream.schema(R.EVENTS).parquet(f"{sf}/event*.parquet").where("user_id < 60")
+    raw = spark.readStream.schema(R.EVENTS).parquet(f"{sf}/event*.parquet")
     rows = raw.select(F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("string").alias("payload"))
     R.drain(R.ledger_stream(rows), path)
     return spark.read.parquet(path).select("key", "seq", "status")

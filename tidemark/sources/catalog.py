@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timeops import PRICE
+from tidemark.operators.intake import conflict_free
 
 
 def write_ticks(ticks: DataFrame, path: str, key: str = "dedupe_key") -> None:
@@ -49,8 +50,8 @@ def decode_bars(records: DataFrame) -> DataFrame:
 
 def append_features(features: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
     """Append ``features(feature_id, content_hash, instrument, timeframe, as_of, ..)`` that are not stored; the same id with
-    another hash fails the batch.  Returns what was written."""
-    fresh = features.dropDuplicates(["feature_id"])
+    another hash, stored or in the batch, fails the batch.  Returns what was written."""
+    fresh = conflict_free(features, "feature_id", F.col("content_hash"))
     if stored is not None:
         known = stored.select("feature_id", F.col("content_hash").alias("_h"))
         both = fresh.join(known, "feature_id", "left")
@@ -74,8 +75,8 @@ def latest_variants(features: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def event_bounds(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
-    """Smallest and largest time, from footers where Spark can push the aggregate down."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    """Smallest and largest time: a scan of the one column, reduced in the tasks.  (Spark pushes no aggregate of times into
+    Parquet footers, so none is asked for.)"""
     return spark.read.parquet(path).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
@@ -85,8 +86,17 @@ def read_reference(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
-    """Byte-stable: sorted columns and rows."""
-    df.select(*sorted(df.columns)).orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+    """Byte-stable: sorted columns and rows; the files in order of their names are the sorted table, so no task holds all of it."""
+    df.select(*sorted(df.columns)).orderBy(*order).write.mode("overwrite").json(path)
+
+
+def write_report(groups: DataFrame, path: str, title: str, columns: list[str]) -> None:
+    """A Markdown table of an aggregate's rows (a line each), written by Spark as text, heading first."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    body = groups.select(F.lit(1).alias("_k"), line.alias("value"))
+    head = groups.sparkSession.createDataFrame([(0, i, v) for i, v in enumerate([f"# {title}", "", f"| {' | '.join(columns)} |", "|" + " --- |" * len(columns)])], "_k int, _i int, value string")
+    body = body.withColumn("_i", F.lit(0))
+    head.unionByName(body).orderBy("_k", "_i", "value").select("value").write.mode("overwrite").text(path)
 
 
 _NAME = r"^(\d{4}-\d{2}-\d{2}T\d{6})_([A-Z0-9]+)_(\d+[mhd])_(long|short)_([a-z-]+)\.[a-z]+$"
@@ -103,15 +113,29 @@ def parse_names(names: DataFrame, col: str = "name", known: list[str] | None = N
 
 
 def append_ledger(batch: DataFrame, path: str, spark: SparkSession) -> DataFrame:
-    """Ledger rows (run_id, event_id, sequence, ..): the first row of each identity that the table does not hold."""
+    """Ledger rows (run_id, event_id, sequence, ..): the first row of each identity that the table does not hold.
+
+    An identity is written once; a row of the batch that has the identity and the sequence of a stored row but another content is a
+    collision and fails the batch."""
+    content = F.xxhash64(*(c for c in batch.columns if c not in ("run_id", "event_id")))
     first = batch.withColumn("_r", F.row_number().over(Window.partitionBy("run_id", "event_id").orderBy("sequence"))).where("_r = 1").drop("_r")
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        stored = spark.read.schema(batch.schema).parquet(path).select("run_id", "event_id")
-        first = first.join(stored, ["run_id", "event_id"], "left_anti")
+        stored = spark.read.schema(batch.schema).parquet(path).select("run_id", "event_id", F.col("sequence").alias("_s"), content.alias("_c"))
+        both = first.withColumn("_n", content).join(stored, ["run_id", "event_id"], "left")
+        collides = (F.col("_s") == F.col("sequence")) & (F.col("_c") != F.col("_n"))
+        stop = F.raise_error(F.concat(F.lit("identity collision of "), "run_id", F.lit("/"), "event_id")).cast("boolean")
+        first = both.where(F.when(collides, stop).otherwise(F.col("_s").isNull())).select(*batch.columns)
     first.write.mode("append").parquet(path)
     return first
 
 
+def upsert_profiles(stored: DataFrame, incoming: DataFrame, keys: list[str], guard: str) -> DataFrame:
+    """Recency profiles by key: the newest by ``guard``; what is stored wins a tie."""
+    both = stored.withColumn("_o", F.lit(1)).unionByName(incoming.withColumn("_o", F.lit(0)))
+    cols = [c for c in stored.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(guard, "_o")).alias("v")).select(*keys, "v.*")
+
+
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType, run_id: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id).orderBy("sequence")
