@@ -1,13 +1,15 @@
 """Personal data: exact base patterns, then a skip-chain conditional random field for what they miss.
 
 The field's nodes are the tokens that hold a digit or an ``@`` (all other tokens are known to be outside).  Chain edges join
-neighbouring nodes; skip edges join distant nodes whose cores are equal or differ in one character, linked in text
+neighbouring nodes; skip edges join distant nodes whose cores, of ``MIN_CORE`` characters at least and of any length beyond (shorter
+ones repeat by chance), are equal or differ in one character, linked in text
 order so that n equal tokens make n - 1 edges.  Loopy sum-product passes run per document; a token whose marginal for one
 kind reaches ``threshold`` and that no base span touches is added, neighbours of one kind as one span.
 
-The weights are trained here: node weights by softmax regression, chain and skip tables as smoothed log association of
-the labels on those edges (piecewise training), on tokens of about ``sample_docs`` documents with digits or ``@`` (chosen by
-hash of the row, a documented bound) that the base patterns label.  The base patterns run over every whole text.
+The weights are trained here, node weights and both edge tables together, by pseudo-likelihood: every node's label given the labels
+of its neighbours.  The base patterns give the labels; a token that they leave out is no example where an equal or similar one is
+labelled.  Training reads a bounded sample: about ``sample_docs`` documents with digits
+or ``@``, those of the smallest hash of the row, the first ``tokens_per_doc`` nodes of each.  The base patterns run over every whole text.
 
 Offsets are code points, ends exclusive.  Edge cases: null and empty texts have no spans; without any labelled
 token nothing is added; repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import textops as X
+
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Matches what ``[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`` matches, in one pass: a run of digits fails at its first digit or not at all.
@@ -93,8 +97,9 @@ def _bucket(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
-#: name -> number of values; a token has one value of each.
-_FEATURES = {"digits": 7, "letters": 4, "dots": 5, "at": 3, "plus": 2, "paren": 2, "hyphen": 3, "quote": 2, "equals": 2, "pure": 2, "luhn": 2, "octets": 2, "before": 4, "after": 4, "length": 6}
+#: name -> number of values; a token has one value of each.  What the base patterns compute (a check sum, the size of octets) is left out:
+#: it would decide the training labels alone, and the field is there for tokens that fail it.
+_FEATURES = {"digits": 7, "letters": 4, "dots": 5, "at": 3, "plus": 2, "paren": 2, "hyphen": 3, "quote": 2, "equals": 2, "pure": 2, "before": 4, "after": 4, "length": 6}
 _START = dict(zip(_FEATURES, np.concatenate(([0], np.cumsum(list(_FEATURES.values()))[:-1])).tolist(), strict=True))
 N_FEATURES = sum(_FEATURES.values()) + 1
 
@@ -102,13 +107,10 @@ N_FEATURES = sum(_FEATURES.values()) + 1
 def _values(core: str, token: str, before: int, after: int) -> list[int]:
     digits = sum(c in "0123456789" for c in core)
     at = core.find("@")
-    parts = core.split(".")
-    octets = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    flat = core.replace("-", "")
     got = {
         "digits": _bucket(digits, (1, 2, 4, 8, 12, 20)), "letters": _bucket(sum(c.isalpha() for c in core), (1, 3, 8)), "dots": min(core.count("."), 4),
         "at": 0 if at < 0 else 2 if "." in core[at:] else 1, "plus": int("+" in token), "paren": int("(" in token), "hyphen": min(core.count("-"), 2), "quote": int('"' in token),
-        "equals": int("=" in token), "pure": int(digits == len(core)), "luhn": int(12 <= digits <= 19 and flat.isascii() and flat.isdigit() and luhn(flat)), "octets": int(octets),
+        "equals": int("=" in token), "pure": int(digits == len(core)),
         "before": before, "after": after, "length": _bucket(len(core), (2, 4, 8, 14, 24)),
     }
     return [_START[k] + v for k, v in got.items()] + [N_FEATURES - 1]
@@ -118,6 +120,32 @@ def _kind_of_neighbour(token: str | None) -> int:
     return 0 if token is None or not _NODE.search(token) else 1 + ("+" in token) + 2 * ("(" in token and "+" not in token)
 
 
+#: Shortest core that takes part in skip edges.
+MIN_CORE = 6
+
+
+def one_apart(cores: list[str]) -> list[tuple[int, int]]:
+    """Of distinct cores, those that differ in one character: each with the next that agrees with it everywhere but at one place.
+
+    Places are compared by hashes of what is left and right of them, so the cost follows the cores' length."""
+    sizes = np.array([len(c) for c in cores])
+    kept = np.flatnonzero(np.bincount(sizes)[sizes] > 1) if len(cores) else sizes
+    if len(kept) < 2:
+        return []
+    size = sizes[kept]
+    codes = np.frombuffer("".join(cores[i] for i in kept).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    end = np.repeat(np.cumsum(size), size)
+    start, at = end - np.repeat(size, size), np.arange(len(codes))
+    up, down = X.powers(len(codes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(X.mix(codes + np.uint64(1)) * up[: len(codes)], dtype=np.uint64))
+    before, after = (sums[at] - sums[start]) * down[start], (sums[end] - sums[at + 1]) * down[at + 1]
+    key = X.mix(X.mix(before + (at - start).astype(np.uint64)) ^ (after + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    core = np.repeat(kept, size)
+    order = np.lexsort((core, key))
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    return [(int(a), int(b)) for a, b in zip(core[order][same], core[order][same + 1], strict=True)]
+
+
 class Field:
     """Nodes, features, chain and skip edges of one text."""
 
@@ -139,18 +167,12 @@ class Field:
             if last == i - 1 and node:
                 self.chain.append((node - 1, node))
             last = i
-            if len(core) >= 6:
+            if len(core) >= MIN_CORE:
                 groups[core.lower()].append(node)
-        cores = {k: v[0] for k, v in groups.items()}
-        wild: dict[tuple, int] = {}
-        for core, nodes in groups.items():
+        for nodes in groups.values():
             self.skip += zip(nodes, nodes[1:], strict=False)
-            if len(core) <= 40:
-                for j in range(len(core)):  # one differing character
-                    key = (len(core), j, core[:j] + core[j + 1 :])
-                    if key in wild:
-                        self.skip.append((wild[key], cores[core]))
-                    wild[key] = cores[core]
+        firsts = [nodes[0] for nodes in groups.values()]
+        self.skip += [(firsts[i], firsts[j]) for i, j in one_apart(list(groups))]
         self.skip = list(dict.fromkeys(self.skip))
 
     def labels(self, base: list[tuple[int, int, int]]) -> list[int]:
@@ -163,37 +185,52 @@ class Field:
         return out
 
 
-def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 300, most: int = 60_000) -> dict | None:
-    """Node weights and edge tables from (features, labels, chain, skip) of the sampled texts."""
-    feats = [f for r in rows for f in r[0]][:most]
-    y = np.array([v for r in rows for v in r[1]][:most], int)
-    if not len(y) or not (y > 0).any():
+def train(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 400) -> dict | None:
+    """Node weights and edge tables from (features, labels, chain, skip) of the sampled texts, by pseudo-likelihood.
+
+    Nodes with the same features and the same labels around them are one row with a weight, so all of the sample is used."""
+    packed = []
+    for features, y, chain, skip in rows:
+        near = [[0] * 15 for _ in y]  # labels of the node before, of the node after, and of the skip neighbours
+        for a, b in chain:
+            near[b][y[a]] += 1
+            near[a][5 + y[b]] += 1
+        for a, b in skip:
+            near[a][10 + y[b]] += 1
+            near[b][10 + y[a]] += 1
+        # an unlabelled near copy of a labelled token is a question, not an example of "outside"
+        packed += [(*f, *n, v) for f, n, v in zip(features, near, y, strict=True) if v or not sum(n[11:])]
+    if not any(r[-1] for r in packed):
         return None
-    x = np.zeros((len(y), N_FEATURES), np.float64)
-    x[np.arange(len(y))[:, None], np.array(feats)] = 1
-    w, m, v, k = np.zeros((N_FEATURES, 5)), np.zeros((N_FEATURES, 5)), np.zeros((N_FEATURES, 5)), np.eye(5)[y]
+    table, count = np.unique(np.array(packed, np.int32), axis=0, return_counts=True)
+    width = len(_FEATURES) + 1
+    x = np.zeros((len(table), N_FEATURES + 15))
+    x[np.arange(len(table))[:, None], table[:, :width]] = 1
+    x[:, N_FEATURES:] = table[:, width:-1]
+    k, share = np.eye(5)[table[:, -1]], (count / count.sum())[:, None]
+    w = np.zeros((N_FEATURES + 15, 5))
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         p = x @ w
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x.T @ (p - k) / len(y) + 1e-4 * w
+        g = x.T @ (share * (p - k))
+        # one table for both ends of a chain edge, a symmetric one for skip edges
+        before, after, skip = (g[N_FEATURES + 5 * i : N_FEATURES + 5 * i + 5].copy() for i in range(3))
+        g[N_FEATURES : N_FEATURES + 5], g[N_FEATURES + 5 : N_FEATURES + 10], g[N_FEATURES + 10 :] = before + after.T, after + before.T, skip + skip.T
+        g += 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    tables = {}
-    for name, at in (("chain", 2), ("skip", 3)):
-        n = np.ones((5, 5)) * 0.5
-        for r in rows:
-            for a, b in r[at]:
-                n[r[1][a], r[1][b]] += 1
-                n[r[1][b], r[1][a]] += 1
-        joint = n / n.sum()
-        tables[name] = np.clip(np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)), -4, 4)
-    return {"node": w, **tables}
-
-
-def marginals(field: Field, model: dict, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Loopy sum-product in log space; messages of all edges at once."""
+    return {"node": w[:N_FEATURES], "chain": w[N_FEATURES : N_FEATURES + 5], "skip": w[N_FEATURES + 10 :]}
+
+
+def marginals(field: Field, model: dict, known: list[int] | None = None, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+    """Loopy sum-product in log space; messages of all edges at once.  A node with a ``known`` kind is evidence, not a question."""
     node = model["node"][np.array(field.features)].sum(1)
+    if known:
+        sure = np.flatnonzero(np.array(known))
+        node[sure] = -30.0
+        node[sure, np.array(known)[sure]] = 0.0
     edges = np.array(field.chain + field.skip, int).reshape(-1, 2)
     if len(edges):
         table = np.concatenate((np.repeat(model["chain"][None], len(field.chain), 0), np.repeat(model["skip"][None], len(field.skip), 0)))
@@ -220,10 +257,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict | None,
     field = Field(text)
     if not field.spans:
         return []
-    p = marginals(field, model)
+    known = field.labels(base)
+    p = marginals(field, model, known)
     best = p.argmax(1)
     chained, out, covered = set(field.chain), [], -1
-    free = [not y for y in field.labels(base)]
+    free = [not y for y in known]
     for n, (a, b) in enumerate(field.spans):
         k = int(best[n])
         if not k or p[n, k] < threshold or not free[n]:
@@ -242,22 +280,23 @@ def fit(docs: DataFrame, sample_docs: int = 2000, tokens_per_doc: int = 200) ->
     n = some.count()
     if not n:
         return None
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    chosen = some.where(place < max(1, (sample_docs << 20) // n))
+    place = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))  # an even share of 2^62, whatever the number of rows
+    chosen = some.where(place < min(1 << 62, (sample_docs << 62) // n)).withColumn("place", place)
 
     def rows(batches):
         for b in batches:
             out: dict[str, list] = {"x": [], "y": [], "chain": [], "skip": []}
-            for text in b.column(1).to_pylist():
+            for text in b.column(0).to_pylist():
                 f = Field(text)
                 y = f.labels(base_spans(text))[:tokens_per_doc]
                 out["x"].append([v for fs in f.features[:tokens_per_doc] for v in fs])
                 out["y"].append(y)
                 for name in ("chain", "skip"):
                     out[name].append([v for e in getattr(f, name) if max(e) < tokens_per_doc for v in e])
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int32())) for v in out.values()], names=list(out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.list_(pa.int32())) for v in out.values()), b.column(1)], names=[*out, "place"])
 
-    got = chosen.select("doc_id", "text").mapInArrow(rows, "x array<int>, y array<int>, chain array<int>, skip array<int>").collect()
+    got = chosen.select("text", "place").mapInArrow(rows, "x array<int>, y array<int>, chain array<int>, skip array<int>, place bigint")
+    got = got.dropDuplicates(["place"]).collect()  # repeated rows have one hash and count once
     width = len(_FEATURES) + 1
     pairs = lambda v: list(zip(v[::2], v[1::2], strict=True))
     data = sorted(([r["x"][i : i + width] for i in range(0, len(r["x"]), width)], list(r["y"]), pairs(r["chain"]), pairs(r["skip"])) for r in got)
