@@ -584,3 +584,110 @@ def test_a_small_corpus_finds_what_all_pairs_find(spark, work):
                     want.add((i, j))
     rep = {(i, classes[dict(rows)[i]]) for i in texts if classes[dict(rows)[i]] != i and len(texts[i]) >= 30}
     assert {(x.doc_id, x.partner_id) for x in got} == want | rep
+
+
+# ---- 5: the field against planted mistakes
+
+
+def test_cores_one_character_apart_match_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        cores = list({"".join(r.choice("ab1") for _ in range(r.choice([6, 7, 300]))) for _ in range(12)})
+        for c in cores[:6]:
+            j = r.randrange(len(c))
+            cores.append(c[:j] + "z" + c[j + 1 :])
+        cores = list(dict.fromkeys(cores))
+        apart = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        want = {(i, j) for i in range(len(cores)) for j in range(i + 1, len(cores)) if apart(cores[i], cores[j])}
+        got = set(pii.one_apart(cores))
+        assert got <= want
+        reach = lambda edges: {frozenset(g) for g in groups(edges, len(cores))}
+        assert reach(got) == reach(want)
+
+
+def groups(edges, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    out = collections.defaultdict(set)
+    for i in range(n):
+        out[find(i)].add(i)
+    return out.values()
+
+
+def test_mistyped_repeats_of_personal_data_are_added(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+
+    def card():
+        while True:
+            d = "".join(r.choice("0123456789") for _ in range(16))
+            if pii.luhn(d):
+                return d
+
+    number = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    other = [n for n in (number(16) for _ in range(200)) if not pii.luhn(n)]
+    once = [card() for _ in range(150)]
+    rows = [(i, f"{say(20)} {c} {say(10)} {other[i]} {say(5)} {c if i % 3 == 0 else number(4)}") for i, c in enumerate(once)]
+    rows += [(200 + i, f"{say(20)} {number(9)} {say(10)} user{i}@mail.example.com") for i in range(60)]
+    typos = {}
+    for i in range(100):
+        c, j = card(), r.randrange(16)
+        bad = c[:j] + str((int(c[j]) + r.randint(1, 9)) % 10) + c[j + 1 :]
+        typos[1000 + i] = f"{say(30)} {c} {say(40)} "
+        rows.append((1000 + i, typos[1000 + i] + f"{bad} {say(9)}"))
+    got = {x.doc_id: x.spans for x in pii.find_personal_data(frame(spark, rows)).collect()}
+    caught = sum(f"card:{len(t)}:{len(t) + 16}" in got[i] for i, t in typos.items())
+    assert caught >= 90  # every base span stays, 9 of 10 mistyped repeats are added
+    assert sum(got[i].count("card") > 1 + (i % 3 == 0) for i in range(150)) <= 5  # other long numbers are left alone
+
+
+# ---- 2: the estimate against all subsets
+
+
+def test_concentration_reaches_the_exact_minimum_determinant(spark, work):
+    import itertools
+
+    import numpy as np
+
+    floor = np.diag((np.array(quality.FLOOR) * quality.UNIT) ** 2)
+
+    def logdet(x):
+        return np.linalg.slogdet(np.cov(x.T, bias=True) * quality.CONSISTENCY + floor)[1]
+
+    r = np.random.default_rng(3)
+    rows, exact, plain = [], {}, {}
+    for g in range(6):
+        x = np.rint(r.normal(0, [400, 300, 250, 250, 200], (15, 5)))
+        x[:3] += r.choice([-1, 1], (3, 5)) * (0 if g == 0 else 2500 if g < 4 else 900)
+        h = -(-3 * len(x) // 4)
+        exact[f"g{g}"] = min(logdet(x[list(c)]) for c in itertools.combinations(range(len(x)), h))
+        plain[f"g{g}"] = logdet(x)
+        rows += [(f"g{g}", *map(int, v)) for v in x]
+    rows += [("constant", 5, 5, 5, 5, 5)] * 20 + [("few", 1, 2, 3, 4, 5)] * 3
+    df = spark.createDataFrame(rows, "grp string, x1 bigint, x2 bigint, x3 bigint, x4 bigint, x5 bigint")
+    got = {x.grp: x for x in quality.fit_mcd(df, work, least=10).collect()}
+    assert set(got) == set(exact) | {"constant"}  # groups below the least size have no estimate
+    assert got["constant"].c0 == 5.0
+    for g, best in exact.items():
+        assert best - 1e-9 <= got[g].logdet  # no subset is better
+        assert got[g].logdet <= best + 0.25 * (plain[g] - best) + 0.3, g
+    assert quality.fit_mcd(df.limit(0), work, least=10).count() == 0
+
+
+def test_small_groups_are_pooled_and_a_small_pool_rejects_nothing_by_distance(spark, work):
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(80)), "en", f"s{i % 9}") for i in range(40)] + [(99, "#$%& " * 10 + " ".join(r.choice(words) for _ in range(80)), "en", "s1")]
+    got = {x.doc_id: x for x in quality.reject_outliers(frame(spark, rows), work).collect()}
+    assert all(x.kept and x.distance is None for x in got.values())
+    more = rows + [(1000 + i, " ".join(r.choice(words) for _ in range(80)), "en", f"t{i}") for i in range(60)]
+    got = {x.doc_id: x for x in quality.reject_outliers(frame(spark, more), work).collect()}
+    assert all(x.distance is not None for x in got.values()) and not got[99].kept and sum(not x.kept for x in got.values()) <= 3

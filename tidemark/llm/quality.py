@@ -2,8 +2,8 @@
 
 Five transformed statistics of a text (log mean word length, log symbol rate, square roots of the duplicate-line,
 repeated-word and capital shares) form a vector.  Concentration steps find, per (language, source) group, the mean
-and covariance of the ``support`` share of vectors with the smallest Mahalanobis distance; a text whose squared
-distance exceeds ``cutoff`` is rejected.
+and covariance of the ``support`` share of vectors with the smallest Mahalanobis distance, from three starts of which the
+smallest determinant wins; a text whose squared distance exceeds ``cutoff`` is rejected.
 
 A concentration step is one aggregation over all rows: moments per (group, distance bin), combined before the
 shuffle, then cumulated over the at most a few hundred bins of each group.  So the h-subset is exact up to the width of
@@ -104,11 +104,12 @@ def _distance(center: list[Column], inverse: dict[tuple[int, int], Column]) -> C
 
 
 def _estimates(moments: DataFrame, support: float) -> DataFrame:
-    """Cumulated moments of the smallest distances of every group -> center and inverse covariance."""
-    to_here = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    """Cumulated moments of the smallest distances of every (group, start) -> center, inverse covariance and determinant."""
+    own = Window.partitionBy("grp", "start")
+    to_here = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = ["n", *STATS, *(f"p{i}{j}" for i, j in PAIRS)]
-    run = moments.withColumns({c: F.sum(c).over(to_here) for c in sums} | {"all": F.sum("n").over(Window.partitionBy("grp"))})
-    chosen = run.where(F.col("n") >= F.ceil(F.col("all") * support)).groupBy("grp").agg(F.min_by(F.struct(*sums), "bin").alias("s")).select("grp", "s.*")
+    run = moments.withColumns({c: F.sum(c).over(to_here) for c in sums} | {"all": F.sum("n").over(own)})
+    chosen = run.where(F.col("n") >= F.ceil(F.col("all") * support)).groupBy("grp", "start").agg(F.min_by(F.struct(*sums), "bin").alias("s")).select("grp", "start", "s.*")
 
     def solve(batches):
         for b in batches:
@@ -120,40 +121,72 @@ def _estimates(moments: DataFrame, support: float) -> DataFrame:
                 cov[:, i, j] = cov[:, j, i] = p[f"p{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
             cov = cov * CONSISTENCY + np.diag((np.array(FLOOR) * UNIT) ** 2)
             inv = np.linalg.inv(cov)
-            yield pa.record_batch({"grp": pa.array(p["grp"], pa.string())} | {f"c{i}": pa.array(mean[:, i]) for i in range(5)} | {f"w{i}{j}": pa.array(inv[:, i, j]) for i, j in PAIRS})
+            made = {"grp": pa.array(p["grp"], pa.string()), "start": pa.array(p["start"], pa.int32()), "logdet": pa.array(np.linalg.slogdet(cov)[1])}
+            yield pa.record_batch(made | {f"c{i}": pa.array(mean[:, i]) for i in range(5)} | {f"w{i}{j}": pa.array(inv[:, i, j]) for i, j in PAIRS})
 
-    return chosen.mapInArrow(solve, "grp string, " + ", ".join(f"c{i} double" for i in range(5)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS))
+    return chosen.mapInArrow(solve, "grp string, start int, logdet double, " + ", ".join(f"c{i} double" for i in range(5)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in STATS), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in PAIRS))
+
+
+def _medians(cells: DataFrame, least: int) -> DataFrame:
+    """``cells(grp, stat, v, n)`` -> grp, stat and the (lower) median of every group of ``least`` rows at least."""
+    by = Window.partitionBy("grp", "stat")
+    run = cells.withColumn("run", F.sum("n").over(by.orderBy("v"))).withColumn("all", F.sum("n").over(by))
+    return run.where(f"2 * run >= all AND all >= {least}").groupBy("grp", "stat").agg(F.min("v").alias("m"))
+
+
+_MEMBERS = ["c0", "c1", "c2", "c3", "c4", *(f"w{i}{j}" for i, j in PAIRS)]
+
+
+def fit_mcd(vectors: DataFrame, work: Workspace, steps: int = 4, support: float = SUPPORT, least: int = MIN_GROUP) -> DataFrame:
+    """``vectors(grp, x1 .. x5)`` (integers) -> per group of ``least`` rows at least: center c, inverse covariance w and logdet.
+
+    Concentration runs from three starts at once - medians with fixed scales, medians with median absolute deviations, and mean and covariance of
+    all - and the one whose final covariance has the smallest determinant is taken."""
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.col(x).alias("v")) for i, x in enumerate(STATS)))).alias("e")
+    cells = work.save(vectors.select("grp", every).groupBy("grp", "e.stat", "e.v").agg(F.count(F.lit(1)).alias("n")), "cells")
+    median = work.save(_medians(cells, least), "medians")
+    n_groups = median.count() // 5
+    off = cells.join(maybe_broadcast(median, 5 * n_groups, 80), ["grp", "stat"]).groupBy("grp", "stat", F.abs(F.col("v") - F.col("m")).alias("v")).agg(F.sum("n").alias("n"))
+    spread = _medians(off, least).select("grp", "stat", F.col("m").alias("mad"))
+    wide = median.join(spread, ["grp", "stat"]).groupBy("grp").pivot("stat", list(range(5))).agg(F.first("m").alias("m"), F.first("mad").alias("mad"))
+
+    def diagonal(start, scale):
+        weights = (((1 / (scale(i) * scale(i))) if i == j else F.lit(0.0)).cast("double").alias(f"w{i}{j}") for i, j in PAIRS)
+        return wide.select("grp", F.lit(start).alias("start"), F.lit(0.0).alias("logdet"), *(F.col(f"{i}_m").cast("double").alias(f"c{i}") for i in range(5)), *weights)
+
+    fixed = diagonal(0, lambda i: F.lit(2.0 * FLOOR[i] * UNIT))
+    robust = diagonal(1, lambda i: F.greatest(1.4826 * F.col(f"{i}_mad"), F.lit(FLOOR[i] * UNIT)))
+    large = F.broadcast(median.select("grp").distinct()) if n_groups * 60 <= 24 << 20 else median.select("grp").distinct()
+    every_row = vectors.join(large, "grp", "left_semi").select("*", F.lit(2).alias("start"), F.lit(0).alias("bin"))
+    params = work.save(fixed.unionByName(robust).unionByName(_estimates(_moments(every_row), 1.0)), "params0")
+    distance = _distance([F.col(f"c{i}") for i in range(5)], {(i, j): F.col(f"w{i}{j}") for i, j in PAIRS})
+    for step in range(1, steps + 1):
+        near = vectors.join(maybe_broadcast(params, 3 * n_groups, 300), "grp").withColumn("bin", F.least(F.floor(16 * F.log2(1 + distance)), F.lit(400)).cast("int"))
+        params = work.save(_estimates(_moments(near), support), f"params{step}")
+    best = params.groupBy("grp").agg(F.min_by(F.struct("logdet", *_MEMBERS), F.struct("logdet", "start")).alias("b"))
+    return work.save(best.select("grp", "b.*"), "params")
 
 
 def reject_outliers(docs: DataFrame, work: Workspace, steps: int = 4, support: float = SUPPORT, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, keep_text: bool = False) -> DataFrame:
     """``docs(text, lang, source, ...)`` -> its columns (the text only with ``keep_text``), the base counts, ``distance`` (squared; null where no
     estimate applies), ``base_failed`` and ``kept``."""
-    made = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals base_failed kept distance own grp".split()
-    docs = docs.drop(*made, *STATS, *(f"c{i}" for i in range(5)), *(f"w{i}{j}" for i, j in PAIRS))
+    made = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals base_failed kept distance own grp logdet".split()
+    docs = docs.drop(*made, *STATS, *_MEMBERS)
     key = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     table = work.save(text_statistics(docs, keep_text=keep_text).withColumn("own", key), "statistics")
     vectors = table.where("NOT base_failed").select("own", *STATS)
     large = work.save(vectors.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select("own", F.col("own").alias("grp")), "groups")
     n_large = large.count()
     grouped = lambda df: df.join(maybe_broadcast(large, n_large, 120), "own", "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
-    cells = work.save(
-        grouped(vectors).select("grp", F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.col(x).alias("v")) for i, x in enumerate(STATS)))).alias("e"))
-        .groupBy("grp", "e.stat", "e.v").agg(F.count(F.lit(1)).alias("n")), "cells")
-    by = Window.partitionBy("grp", "stat")
-    median = cells.withColumn("run", F.sum("n").over(by.orderBy("v"))).withColumn("all", F.sum("n").over(by)).where("2 * run >= all AND all >= %d" % min_group).groupBy("grp", "stat").agg(F.min("v").cast("double").alias("c"))
-    start = median.groupBy("grp").pivot("stat", list(range(5))).agg(F.first("c"))
-    weights = {f"w{i}{j}": F.lit(1.0 / (2 * FLOOR[i] * UNIT) ** 2 if i == j else 0.0) for i, j in PAIRS}
-    params = work.save(start.select("grp", *(F.col(str(i)).alias(f"c{i}") for i in range(5)), *(v.alias(k) for k, v in weights.items())), "params0")
-    n_params = params.count()
+    params = fit_mcd(grouped(vectors).select("grp", *STATS), work, steps, support, min_group)
+    work.keep_only("statistics", "groups", "params")
     distance = _distance([F.col(f"c{i}") for i in range(5)], {(i, j): F.col(f"w{i}{j}") for i, j in PAIRS})
-    for step in range(1, steps + 1):
-        near = grouped(vectors).join(maybe_broadcast(params, n_params, 300), "grp").withColumn("bin", F.least(F.floor(16 * F.log2(1 + distance)), F.lit(400)).cast("int"))
-        moments = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in STATS), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in PAIRS))
-        params = work.save(_estimates(moments, support), f"params{step}")
-    work.keep_only("statistics", "groups", f"params{steps}")
-    judged = grouped(table).join(maybe_broadcast(params, n_params, 300), "grp", "left").withColumn("distance", distance)
-    drop = ["own", "grp", *STATS, *(f"c{i}" for i in range(5)), *(f"w{i}{j}" for i, j in PAIRS)]
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).drop(*drop)
+    judged = grouped(table).join(maybe_broadcast(params, n_large + 1, 300), "grp", "left").withColumn("distance", distance)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).drop("own", "grp", "logdet", *STATS, *_MEMBERS)
 
 
 def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
