@@ -234,12 +234,6 @@ def option_chain_pick(spark, sf):
     return c.groupBy("p_type").agg(F.max_by("p_brand", F.struct("strikes", "p_brand")).alias("p_brand"), F.max("strikes").alias("strikes"))
 
 
-@query("option_coverage_report", "SELECT p_brand, count(*) AS contracts, count(*) FILTER (p_size % 2 = 0) AS quoted, round(100.0 * count(*) FILTER (p_size % 2 = 0) / count(*), 4)::DOUBLE AS quoted_pct FROM part GROUP BY 1")
-def option_coverage_report(spark, sf):
-    q = F.count_if(F.col("p_size") % 2 == 0)
-    return S.table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("contracts"), q.alias("quoted"), F.round(100.0 * q / F.count(F.lit(1)), 4).alias("quoted_pct"))
-
-
 @query("input_lineage", f"WITH {BAR} SELECT instrument, min(open_ts) AS first_open, max(open_ts) AS last_open, count(*) AS n, sha256(string_agg(strftime(open_ts, '%Y-%m-%d %H') || '=' || close::VARCHAR, ';' ORDER BY open_ts)) AS content_hash FROM bar GROUP BY 1")
 def input_lineage(spark, sf):
     item = F.struct("open_ts", F.concat_ws("=", F.date_format("open_ts", "yyyy-MM-dd HH"), F.col("close").cast("string")).alias("t"))

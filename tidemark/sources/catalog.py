@@ -32,6 +32,11 @@ def scan_ticks(spark: SparkSession, path: str, schema: T.StructType, instrument:
     return df
 
 
+def identity(*parts: Column | str) -> Column:
+    """A content-addressed id: the hash of its parts in order."""
+    return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 256)
+
+
 def encode_bars(bars: DataFrame) -> DataFrame:
     """Prices as exact text with an identity that decoding checks again."""
     cols = ["open", "high", "low", "close", "volume"]
