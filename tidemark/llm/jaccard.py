@@ -30,6 +30,10 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.workspace import Workspace, maybe_broadcast
 
 
+#: Stands for "no key of its own" in the key of a group (ids are never so small in practice, and the prefix decides anyway).
+NO_KEY = -(1 << 63)
+
+
 def _sets(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, concatenated, and where each text begins."""
     h, at = X.grams(hashes, first, width)
@@ -108,26 +112,30 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 4, percent
         .withColumn("most", F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1), "index")
     sets = index.select("rep", "n", "hs")
     prefix = F.expr("slice(hs, 1, cast(most - alone as int))")
-    live = index.where("most > alone").select("rep", "n", "alone", prefix.alias("prefix"))
-    member = work.save(
-        live.withColumn("gkey", F.when(F.col("alone") > 0, F.col("rep"))).groupBy("n", "gkey", "prefix").agg(F.min("rep").alias("gid"), F.min("alone").alias("alone"), F.collect_set("rep").alias("reps")),
-        "groups")
+    live = index.where("most > alone").select("rep", "n", "alone", prefix.alias("prefix"), F.coalesce(F.when(F.col("alone") > 0, F.col("rep")), F.lit(NO_KEY)).alias("gkey"))
+    live = live.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
+    same_key = ["n", "gkey", "p1", "p2"]
+    groups = work.save(live.groupBy(*same_key).agg(F.min("rep").alias("gid"), F.min("alone").alias("alone"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("size")), "groups")
+    # membership is a table of its own: a group of any size is rows, never one row
+    several = groups.where("size > 1").select(*same_key, "gid")
+    in_many = live.select("rep", *same_key).join(several, same_key).select("gid", "rep")
+    member = work.save(in_many.unionByName(groups.where("size = 1").select("gid", F.col("gid").alias("rep"))), "members")
     # pivots: a linear number of pairs
-    posting = member.select("gid", "n", "alone", F.posexplode("prefix").alias("pos", "tok"))
+    posting = groups.select("gid", "n", "alone", F.posexplode("prefix").alias("pos", "tok"))
     scale = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     cells = posting.select("gid", "n", "alone", "tok", F.explode(F.array(scale, scale + 1)).alias("cell"))
     pivot = cells.groupBy("tok", "cell").agg(F.min_by("gid", F.struct("alone", "gid")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     star = cells.join(pivot, ["tok", "cell"]).where("gid <> pivot").select(F.col("gid").alias("u"), F.col("pivot").alias("v")).distinct()
-    inside = member.where(F.size("reps") > 1).select(F.explode("reps").alias("u"), F.col("gid").alias("v")).where("u <> v")
+    inside = member.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
     first_links = work.save(_verify(star.union(inside), sets, percent), "links1")
     part = connected_components(first_links, work, "cc1")
     comp = lambda col: F.coalesce(col, F.col("rep"))
     known = work.save(live.select("rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", comp(F.col("component")).alias("component")), "parts1")
     # what the pivots left open, group against group
-    spread = member.select("gid", F.explode("reps").alias("rep")).join(known, "rep").groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    spread = member.join(known, "rep").groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = work.save(posting.join(spread, "gid"), "postings")
     lone = open_.groupBy("tok").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo < thi").select("tok")
-    open_ = open_.join(lone, "tok", "left_semi").join(member.select("gid", "prefix"), "gid")
+    open_ = open_.join(lone, "tok", "left_semi").join(groups.select("gid", "prefix"), "gid")
     # a pair meets once, at the first shingle that both prefixes hold
     once = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.tok")
     a, b = open_.alias("a"), open_.alias("b")
@@ -142,7 +150,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 4, percent
         .where("most >= need").select("g1", "g2").distinct()
     )
     same = spread.where("lo < hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    grown = member.select("gid", F.explode("reps").alias("rep")).join(known, "rep")
+    grown = member.join(known, "rep")
     one, two = grown.select(F.col("gid").alias("g1"), F.col("rep").alias("u"), F.col("component").alias("c1")), grown.select(F.col("gid").alias("g2"), F.col("rep").alias("v"), F.col("component").alias("c2"))
     expanded = pairs.union(same).join(one, "g1").join(two, "g2").where("c1 <> c2").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     second_links = work.save(_verify(expanded, sets, percent), "links2")
