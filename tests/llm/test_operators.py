@@ -691,3 +691,15 @@ def test_small_groups_are_pooled_and_a_small_pool_rejects_nothing_by_distance(sp
     more = rows + [(1000 + i, " ".join(r.choice(words) for _ in range(80)), "en", f"t{i}") for i in range(60)]
     got = {x.doc_id: x for x in quality.reject_outliers(frame(spark, more), work).collect()}
     assert all(x.distance is not None for x in got.values()) and not got[99].kept and sum(not x.kept for x in got.values()) <= 3
+
+
+# ---- 4: more sources than queues
+
+
+def test_named_sources_keep_their_queue_among_many(spark, work):
+    r = random.Random(2)
+    rows = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(40)), "en", "big" if i % 2 else f"s{i}") for i in range(60)]
+    got = packing.pack(frame(spark, rows), work, length=64, window=64, packet=8, weights={"big": 0.5}, max_queues=8).collect()
+    assert {x.doc_id for x in got if x.queue == "big"} == {i for i in range(60) if i % 2} and len({x.queue for x in got}) <= 8
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, rows), work, weights={f"s{i}": 1.0 for i in range(8)}, max_queues=8)

@@ -122,12 +122,19 @@ def pack(docs: DataFrame, work: Workspace, length: int = 1024, window: int = 102
     """``docs(doc_id, source, text)`` -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     ``weights`` are target token shares by source; by default each source's own share of all tokens, so that every window
-    has the mixture of the corpus and all queues end together.  ``packet`` must divide ``length``."""
+    has the mixture of the corpus and all queues end together.  ``packet`` must divide ``length``.
+
+    With more than ``max_queues`` sources, those that ``weights`` does not name share queues by hash; a named one always has its own,
+    and more names than queues are refused.  (Every token is still placed; shares then hold per queue.)"""
     if length % packet:
         raise ValueError("packet must divide length")
     source = F.coalesce("source", F.lit("\x00"))
     n_sources = docs.select(source.alias("s")).distinct().count()
-    queue = source if n_sources <= max_queues else F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
+    named = sorted(weights or {})
+    if len(named) >= max_queues:
+        raise ValueError("weights names more sources than there can be queues")
+    shared = F.concat(F.lit("\x00#"), F.pmod(F.xxhash64(source), F.lit(max_queues - len(named))).cast("string"))
+    queue = source if n_sources <= max_queues else F.when(source.isin(*named), source).otherwise(shared) if named else shared
     tokens = work.save(tokenize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text"), vocabulary, ranks), "tokens")
     per = work.save(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "per_task")
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

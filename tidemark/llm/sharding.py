@@ -9,7 +9,8 @@ ends is within twice the tolerance, and is probed further by doc_id inside the g
 The exchange has several partitions per shard, sized by bytes (at most MOST_PARTS, beyond which they grow and their sorts spill), so a large shard is never one task; a slot is the exact count
 of rows in the shard's earlier partitions plus the place in its own.
 
-Edge cases: null and empty texts have size 1 and one common hash; repeated rows, ids included, each keep a slot;
+Edge cases: null and empty texts have size 1 and one common hash; repeated rows, ids included, each keep a slot, but nothing tells them
+apart, so one (text, id) pair that is repeated stays in one partition however often;
 null ids sort as the smallest; fewer rows than shards leave shards empty; an empty table gives an empty result; other
 columns travel along unless they have the name of one that is made here.
 """
