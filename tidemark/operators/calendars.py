@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import from_micros, micros
+from tidemark.operators.schedule import evaluate
 
 
 def phases(spark: SparkSession, first: str, last: str, opens: str = "13:30:00", closes: str = "20:00:00") -> DataFrame:
@@ -25,17 +26,8 @@ def session_of(rows: DataFrame, ts: str, calendar: DataFrame) -> DataFrame:
 
 
 def next_transition(rows: DataFrame, ts: str, calendar: DataFrame) -> DataFrame:
-    """The first boundary of the calendar after each time: an as-of step over the sorted boundaries, by date and carry."""
-    marks = calendar.select(F.explode(F.array("open_ts", "close_ts")).alias("m")).distinct().withColumn("_d", F.date_trunc("day", "m").cast("timestamp_ntz"))
-    w = Window.orderBy("_d")  # one row a day
-    per_day = marks.groupBy("_d").agg(F.sort_array(F.collect_list("m")).alias("ms")).withColumn("_next", F.lead(F.col("ms")[0]).over(w))
-    days = per_day.select("_d", "ms", "_next")
-    first = per_day.select(F.col("_d").alias("_k"), F.col("ms")[0].alias("_m0"))
-    r = rows.withColumn("_d", F.date_trunc("day", ts).cast("timestamp_ntz")).join(F.broadcast(days), "_d", "left")
-    here = F.get(F.filter("ms", lambda m: m > F.col(ts)), F.lit(0))
-    r = r.withColumn("next_transition", F.coalesce(here, F.col("_next"))).drop("ms", "_next")
-    ahead = F.broadcast(first.agg(F.sort_array(F.collect_list("_m0")).alias("_all")))
-    return r.join(ahead).withColumn("next_transition", F.coalesce("next_transition", F.get(F.filter("_all", lambda m: m > F.col(ts)), F.lit(0)))).drop("_all", "_d")
+    """The first boundary of the calendar after each time: the end of the window, or of the closed stretch, that holds it."""
+    return evaluate(rows, ts, calendar).select(*rows.columns, "next_transition")
 
 
 def expected_opens(calendar: DataFrame, seconds: int, phase: str = "REGULAR") -> DataFrame:

@@ -25,7 +25,7 @@ def round_robin(requests: DataFrame, key: str, order: str) -> DataFrame:
 
 def retention_plan(files: DataFrame, cutoffs: DataFrame, key: str) -> DataFrame:
     """Whole files ``files(key, path, max_ts)`` older than their stream's cutoff are to be dropped."""
-    return files.join(F.broadcast(cutoffs), key).withColumn("drop", F.col("max_ts") < F.col("cutoff"))
+    return files.join(cutoffs, key).withColumn("drop", F.col("max_ts") < F.col("cutoff"))
 
 
 def reconcile(desired: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:
@@ -79,5 +79,11 @@ def backoff_seconds(attempt: Column, base: float = 2.0, most: float = 300.0) ->
     return F.least(F.pow(F.lit(base), attempt), F.lit(most))
 
 
-def tick_gap_action(journal: Column, backfill: Column) -> Column:
-    return F.when(journal, "replay_journal").when(backfill, "best_effort_backfill").otherwise("unrecoverable")
+def tick_gap_plan(gaps: DataFrame, backfill_from: Column, journal_from: Column) -> DataFrame:
+    """``gaps(instrument, start_ts, end_ts)`` cut at the two horizons: what the journal holds is replayed, what a provider still
+    serves is backfilled as well as it can be, and the rest cannot be recovered."""
+    part = lambda lo, hi, action: F.struct(lo.alias("from_ts"), hi.alias("to_ts"), F.lit(action).alias("action"))
+    s, e = F.col("start_ts"), F.col("end_ts")
+    parts = F.array(
+        part(s, F.least(e, backfill_from), "unrecoverable"), part(F.greatest(s, backfill_from), F.least(e, journal_from), "best_effort_backfill"), part(F.greatest(s, journal_from), e, "replay_journal"))
+    return gaps.select("instrument", F.explode(parts).alias("p")).select("instrument", "p.*").where("from_ts < to_ts")

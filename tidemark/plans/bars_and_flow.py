@@ -78,11 +78,12 @@ def ledger_first_accepted(spark, sf):
     return B.first_accepted(feed).select("instrument", "open_ts", "arrival", "status")
 
 
-@query("history_live_union", f"""WITH {BAR} SELECT instrument, open_ts, (CASE WHEN open_ts >= TIMESTAMP '2024-01-15' AND hour(open_ts) % 2 = 0 THEN close + 1 ELSE close END)::DOUBLE AS close FROM bar""")
+@query("history_live_union", f"""WITH {BAR} SELECT instrument, open_ts, (CASE WHEN open_ts >= c AND hour(open_ts) % 2 = 0 THEN close + 1 ELSE close END)::DOUBLE AS close FROM bar, (SELECT date_trunc('day', max(ts)) - INTERVAL 14 DAY AS c FROM events)""")
 def history_live_union(spark, sf):
     bars = S.hourly_bars(spark, sf).select("instrument", "open_ts", "close").withColumn("arrival", F.lit(1))
     live = bars.where(F.hour("open_ts") % 2 == 0).withColumn("close", (F.col("close") + 1).cast(T.PRICE))
-    return doubles(B.history_live_union(bars, live, F.lit("2024-01-15").cast("timestamp_ntz")).select("instrument", "open_ts", "close"), "close")
+    last = F.broadcast(S.table(spark, sf, "events").agg((F.date_trunc("day", F.max("ts")) - F.expr("INTERVAL 14 DAYS")).cast("timestamp_ntz").alias("c")))  # one row
+    return doubles(B.history_live_union(bars.crossJoin(last), live.crossJoin(last), F.col("c")).select("instrument", "open_ts", "close"), "close")
 
 
 @query("trade_normalizer", """SELECT event_id::VARCHAR AS source_trade_id, event_type AS instrument, ts, (value - 5)::DECIMAL(18,6)::DOUBLE AS price, (CAST(json_extract(props, '$.k') AS BIGINT) % 10)::DOUBLE AS size,

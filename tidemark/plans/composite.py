@@ -58,9 +58,10 @@ def named_session_ranges(spark, sf):
     return out
 
 
-@query("closed_hours", f"""WITH {BAR}, a AS (SELECT unnest(range(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-05', INTERVAL 1 HOUR)) AS open_ts) SELECT open_ts FROM a WHERE hour(open_ts) NOT BETWEEN 8 AND 20""")
+@query("closed_hours", "WITH d AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS d FROM events), a AS (SELECT unnest(range(d, d + INTERVAL 1 DAY, INTERVAL 1 HOUR)) AS open_ts FROM d) SELECT open_ts FROM a WHERE hour(open_ts) NOT BETWEEN 8 AND 20")
 def closed_hours(spark, sf):
-    every = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-02 00:00:00', TIMESTAMP_NTZ '2024-01-04 23:00:00', INTERVAL 1 HOUR)) AS open_ts")
+    day = S.table(spark, sf, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d")).distinct()
+    every = day.select(F.explode(F.sequence(F.col("d"), F.col("d") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("open_ts"))
     return every.join(every.where(F.hour("open_ts").between(8, 20)), "open_ts", "left_anti")
 
 
@@ -264,13 +265,16 @@ def reference_sync(spark, sf):
     return f.join(k, "path", "full_outer").select("path", F.when(F.col("g").isNull(), "new").when(F.col("h").isNull(), "missing").when(F.col("h") != F.col("g"), "changed_content").otherwise("same").alias("status"))
 
 
-@query("json_messages", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS valid FROM events")
+@query("json_messages", """WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{"k": 1, "z": 2}' WHEN event_id % 5 = 0 THEN '{"x": 1}' WHEN event_id % 11 = 0 THEN '{"k": null}' ELSE props END AS msg FROM events)
+SELECT event_id, CAST(json_extract(msg, '$.k') AS BIGINT) AS k, json_keys(msg) = ['k'] AND json_extract_string(msg, '$.k') IS NOT NULL AS valid FROM m""")
 def json_messages(spark, sf):
     from pyspark.sql.types import StructType
 
-    parsed = F.from_json("props", StructType.fromDDL("k BIGINT"), {"mode": "PERMISSIVE"})
-    exact = F.json_object_keys("props") == F.array(F.lit("k"))
-    return S.table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), (exact & parsed["k"].isNotNull()).alias("valid"))
+    i = F.col("event_id")
+    message = F.when(i % 7 == 0, '{"k": 1, "z": 2}').when(i % 5 == 0, '{"x": 1}').when(i % 11 == 0, '{"k": null}').otherwise(F.col("props"))
+    parsed = F.from_json("msg", StructType.fromDDL("k BIGINT"), {"mode": "PERMISSIVE"})
+    exact = F.json_object_keys("msg") == F.array(F.lit("k"))
+    return S.table(spark, sf, "events").select("event_id", message.alias("msg")).select("event_id", parsed["k"].alias("k"), (exact & parsed["k"].isNotNull()).alias("valid"))
 
 
 @query("late_trade_counts", f"WITH {SIDE}, a AS (SELECT instrument, ts, (seq * 7919) % 10007 AS arrival FROM cl), l AS (SELECT instrument, date_trunc('hour', ts) < max(date_trunc('hour', ts)) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM a) SELECT instrument, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY 1")

@@ -143,9 +143,10 @@ def expected_opens(spark, sf):
     return K.expected_opens(_calendar(spark), 1800)
 
 
-@query("retention_cutoff", f"WITH {_CAL} SELECT o AS cutoff FROM cal WHERE phase = 'REGULAR' AND c <= TIMESTAMP '2024-01-25 12:00:00' ORDER BY o DESC LIMIT 1 OFFSET 4")
+@query("retention_cutoff", f"WITH {_CAL} SELECT o AS cutoff FROM cal, (SELECT max(ts) - INTERVAL 5 DAY AS t FROM events) WHERE phase = 'REGULAR' AND c <= t ORDER BY o DESC LIMIT 1 OFFSET 4")
 def retention_cutoff(spark, sf):
-    return K.retention_cutoff(_calendar(spark), F.lit("2024-01-25 12:00:00").cast("timestamp_ntz"), 5)
+    last = S.table(spark, sf, "events").agg((F.max("ts") - F.expr("INTERVAL 5 DAYS")).alias("t"))  # one row
+    return K.retention_cutoff(_calendar(spark).crossJoin(F.broadcast(last)), F.col("t"), 5)
 
 
 @query("session_minus_breaks", f"""WITH {_CAL}, w AS (SELECT trade_date AS id, o, c FROM cal WHERE phase = 'REGULAR')

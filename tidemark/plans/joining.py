@@ -215,10 +215,18 @@ def priority_dispatch(spark, sf):
     return X.dispatch(S.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 13).alias("priority")), 25)
 
 
-@query("tick_gap_plan", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'replay_journal' WHEN user_id % 2 = 0 THEN 'best_effort_backfill' ELSE 'unrecoverable' END AS action FROM events")
+@query("tick_gap_plan", f"""WITH {BAR}, g AS (SELECT instrument, lag(close_ts) OVER (PARTITION BY instrument ORDER BY open_ts) AS s, open_ts AS e FROM bar), h AS (SELECT date_trunc('day', max(ts)) - INTERVAL 20 DAY AS b, date_trunc('day', max(ts)) - INTERVAL 5 DAY AS j FROM events),
+x AS (SELECT instrument, unnest([{{'a': s, 'z': least(e, b), 'w': 'unrecoverable'}}, {{'a': greatest(s, b), 'z': least(e, j), 'w': 'best_effort_backfill'}}, {{'a': greatest(s, j), 'z': e, 'w': 'replay_journal'}}]) AS p FROM g, h WHERE s < e)
+SELECT instrument, p.a::TIMESTAMP AS from_ts, p.z::TIMESTAMP AS to_ts, p.w AS action FROM x WHERE p.a < p.z""")
 def tick_gap_plan(spark, sf):
-    u = F.col("user_id")
-    return S.table(spark, sf, "events").select("event_id", X.tick_gap_action(u % 3 == 0, u % 2 == 0).alias("action"))
+    from tidemark.functions.carry import with_halo, without_halo
+
+    bars = S.hourly_bars(spark, sf).select("instrument", "open_ts", "close_ts")
+    before = F.lag("close_ts").over(Window.partitionBy("instrument", "_b").orderBy("open_ts"))
+    gaps = without_halo(with_halo(bars, ["instrument"], ["open_ts"], 1).withColumn("start_ts", before)).where("start_ts < open_ts")
+    day = F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")
+    ends = S.table(spark, sf, "events").agg((day - F.expr("INTERVAL 20 DAYS")).alias("b"), (day - F.expr("INTERVAL 5 DAYS")).alias("j"))  # one row
+    return X.tick_gap_plan(gaps.withColumnRenamed("open_ts", "end_ts").crossJoin(F.broadcast(ends)), F.col("b"), F.col("j"))
 
 
 @query("option_strike_window", "WITH k AS (SELECT p_brand, p_retailprice AS strike, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part), s AS (SELECT p_brand, arg_min(i, (abs(strike - 1000), strike)) AS a, max(n) AS n FROM k GROUP BY 1), w AS (SELECT p_brand, greatest(1, least(a - 2, n - 4)) AS lo FROM s) SELECT p_brand, strike, i::BIGINT AS i FROM k JOIN w USING (p_brand) WHERE i BETWEEN lo AND lo + 4")

@@ -131,12 +131,14 @@ def aggression_first_hit(spark, sf):
     return G.first_hit(e, ft, 20.0, 4 * 3600)
 
 
-@query("analytics_readiness", f"""WITH {BAR}, l AS (SELECT instrument, max(close_ts) AS close_ts, count(*) AS depth FROM bar WHERE open_ts < TIMESTAMP '2024-01-20 12:30:00' - INTERVAL 1 HOUR * length(instrument) GROUP BY 1)
-SELECT *, ceil(epoch(TIMESTAMP '2024-01-20 12:30:00' - close_ts) / 3600)::BIGINT AS lag_intervals, CASE WHEN ceil(epoch(TIMESTAMP '2024-01-20 12:30:00' - close_ts) / 3600) <= 5 THEN 'current' ELSE 'lagging' END AS freshness, CASE WHEN depth >= 440 THEN 'full' WHEN depth >= 50 THEN 'partial' ELSE 'insufficient' END AS depth_status FROM l""")
+@query("analytics_readiness", f"""WITH {BAR}, t AS (SELECT date_trunc('day', max(ts)) - INTERVAL '227:30:00' AS n FROM events), l AS (SELECT instrument, max(close_ts) AS close_ts, count(*) AS depth FROM bar, t WHERE open_ts < n - INTERVAL 1 HOUR * length(instrument) GROUP BY 1)
+SELECT l.*, ceil(epoch(n - close_ts) / 3600)::BIGINT AS lag_intervals, CASE WHEN ceil(epoch(n - close_ts) / 3600) <= 5 THEN 'current' ELSE 'lagging' END AS freshness, CASE WHEN depth >= 440 THEN 'full' WHEN depth >= 50 THEN 'partial' ELSE 'insufficient' END AS depth_status FROM l, t""")
 def analytics_readiness(spark, sf):
-    as_of = F.to_timestamp_ntz(F.lit("2024-01-20 12:30:00"))
-    b = S.hourly_bars(spark, sf).where(T.micros(F.col("open_ts")) < T.micros(as_of) - 3_600_000_000 * F.length("instrument"))
-    return G.readiness(b.groupBy("instrument").agg(F.max("close_ts").alias("close_ts"), F.count(F.lit(1)).alias("depth")), as_of, 3600, 5, 440, 50)
+    day = F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")
+    now = F.broadcast(S.table(spark, sf, "events").agg(T.from_micros(T.micros(day) - 819_000_000_000).alias("n")))  # one row
+    b = S.hourly_bars(spark, sf).crossJoin(now).where(T.micros(F.col("open_ts")) < T.micros(F.col("n")) - 3_600_000_000 * F.length("instrument"))
+    latest = b.groupBy("instrument").agg(F.max("close_ts").alias("close_ts"), F.count(F.lit(1)).alias("depth"), F.first("n").alias("n"))
+    return G.readiness(latest, F.col("n"), 3600, 5, 440, 50).drop("n")
 
 
 @query("classified_hourly_split", f"""WITH {SIDE} SELECT instrument, date_trunc('hour', ts) AS open_ts, coalesce(sum(size) FILTER (side = 'BUY'), 0)::DOUBLE AS buy, coalesce(sum(size) FILTER (side = 'SELL'), 0)::DOUBLE AS sell, coalesce(sum(size) FILTER (side = 'UNKNOWN'), 0)::DOUBLE AS unknown FROM cl GROUP BY ALL""")
