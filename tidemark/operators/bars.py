@@ -58,13 +58,18 @@ def keep_last(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("_r", F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("open_ts")))).where(F.col("_r") <= n).drop("_r")
 
 
-def resolve_revisions(bars: DataFrame) -> DataFrame:
-    """One bar per (instrument, open_ts): the latest revision; ``conflict`` tells that values of one revision level differ."""
+def resolve_revisions(bars: DataFrame, strict: bool = False) -> DataFrame:
+    """One bar per (instrument, open_ts): the latest revision; ``conflict`` tells that values of one revision level differ, which
+    fails the batch if ``strict``."""
     sig = F.xxhash64("open", "high", "low", "close", "volume")
-    return bars.groupBy("instrument", "open_ts").agg(
+    out = bars.groupBy("instrument", "open_ts").agg(
         F.max_by(F.struct("open", "high", "low", "close", "volume"), F.struct("is_revision", "ts_init")).alias("b"),
         (F.countDistinct(F.when(~F.col("is_revision"), sig)) > 1).alias("conflict"),
     ).select("instrument", "open_ts", "b.*", "conflict")
+    if strict:
+        stop = F.raise_error(F.concat(F.lit("conflicting revisions of "), "instrument")).cast("boolean")
+        return out.where(F.when(F.col("conflict"), stop).otherwise(F.lit(True)))
+    return out
 
 
 def first_accepted(bars: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def execution(events: DataFrame) -> DataFrame:
     return out.withColumn("shared", shared)
 
 
+BATCH = {("new", "prepare"): "prepared", ("prepared", "write"): "written", ("written", "acknowledge"): "acknowledged", ("acknowledged", "commit"): "committed", ("committed", "prepare"): "prepared"}
+
+
+def batch_commits(events: DataFrame) -> DataFrame:
+    """``events(batch, seq, event)``: a batch is prepared, written, acknowledged and committed in this order; a step that is tried again or
+    comes out of turn changes nothing and is not legal, so a retried batch is written once."""
+    return _judged(events, "batch", "new", BATCH)
+
+
 def _judged(events: DataFrame, key: str, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
     legal = F.concat_ws("|", "from_state", "event").isin(*(f"{s}|{e}" for s, e in moves))
     return table_machine(events, key, "seq", "event", start, moves).withColumn("legal", legal)

@@ -53,9 +53,13 @@ def missing_required(required: DataFrame, available: DataFrame, key: str) -> Dat
     return required.join(available.select(key).distinct(), key, "left_anti")
 
 
-def unique_lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join that expects one candidate; ``candidates`` counts them and ``ambiguous`` flags more."""
-    return left.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.min("replacement").alias("replacement")), keys).withColumn("ambiguous", F.col("candidates") > 1)
+def unique_lookup(left: DataFrame, right: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """Join that expects one candidate; ``candidates`` counts them, and more are flagged as ``ambiguous`` or, if ``strict``, fail the batch."""
+    out = left.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.min("replacement").alias("replacement")), keys).withColumn("ambiguous", F.col("candidates") > 1)
+    if strict:
+        stop = F.raise_error(F.concat(F.lit("several candidates for "), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))).cast("boolean")
+        return out.where(F.when(F.col("ambiguous"), stop).otherwise(F.lit(True)))
+    return out
 
 
 def clusters(matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def transitions(rows: DataFrame, keys: list[str], order: str, value: str, ignore
     return seen.where(F.col("from_state").isNotNull() & (F.col("from_state") != F.col(value))).select(*keys, order, "from_state", F.col(value).alias("to_state"))
 
 
-def confirmation_window(bars: DataFrame, k: int, min_ratio: float, min_delta: float, side: int) -> DataFrame:
+def confirmation_window(bars: DataFrame, k: int, min_ratio: float, min_delta: float, side: int, most_adverse: float = 1.0) -> DataFrame:
     """Last k bars: classified ratio, signed delta share, follow-through and adverse move in units of the range mean; reasons failed."""
     w = Window.partitionBy("instrument", "island").orderBy("open_ts").rowsBetween(-(k - 1), 0)
     d = lambda c: F.col(c).cast("double")
@@ -51,8 +51,9 @@ def confirmation_window(bars: DataFrame, k: int, min_ratio: float, min_delta: fl
         "n": F.count(F.lit(1)).over(w), "classified_ratio": F.round(F.when(vol != 0, (buy + sell) / vol).otherwise(F.lit(0.0)), 6),
         "delta_ratio": F.round(F.when(buy + sell != 0, side * (buy - sell) / (buy + sell)).otherwise(F.lit(0.0)), 6),
         "follow": F.round(F.when(unit != 0, side * (d("close") - first) / unit).otherwise(F.lit(0.0)), 6),
+        "adverse": F.round(F.when(unit != 0, F.greatest(first - F.min(d("low")).over(w) if side > 0 else F.max(d("high")).over(w) - first, F.lit(0.0)) / unit).otherwise(F.lit(0.0)), 6),
     })
-    fails = F.array_compact(F.array(F.when(F.col("classified_ratio") < min_ratio, "classified_ratio"), F.when(F.col("delta_ratio") < min_delta, "delta"), F.when(F.col("follow") < 0.1, "follow_through")))
+    fails = F.array_compact(F.array(F.when(F.col("classified_ratio") < min_ratio, "classified_ratio"), F.when(F.col("delta_ratio") < min_delta, "delta"), F.when(F.col("follow") < 0.1, "follow_through"), F.when(F.col("adverse") > most_adverse, "adverse_move")))
     return rows.withColumn("failures", F.array_join(fails, ",")).where(F.col("n") == k)
 
 

@@ -41,16 +41,27 @@ def _with_quality(bars):
 _QUALITY = "CASE WHEN n_trades >= 3 THEN 0 WHEN n_trades = 2 THEN 2 ELSE 3 END"
 
 
-@query("utc_bars_lenient", f"""WITH {BAR}, b AS (SELECT *, CASE WHEN n_trades % 5 <> 0 THEN volume END AS v, {_QUALITY} AS rk, open_ts - INTERVAL 1 HOUR * (hour(open_ts) % 2) AS bucket FROM bar)
+_UTC_TWO = f"""WITH {BAR}, b AS (SELECT *, CASE WHEN n_trades % 5 <> 0 THEN volume END AS v, {_QUALITY} AS rk, open_ts - INTERVAL 1 HOUR * (hour(open_ts) % 2) AS bucket FROM bar)
 SELECT instrument, bucket, arg_min(open, open_ts)::DOUBLE AS open, max(high)::DOUBLE AS high, min(low)::DOUBLE AS low, arg_max(close, open_ts)::DOUBLE AS close,
  CASE WHEN count(v) = count(*) THEN sum(v)::DOUBLE END AS volume, ['READY','WARMING','DEGRADED','STALE'][max(rk) + 1] AS health,
  CASE WHEN count(v) = count(*) THEN 'DERIVED' ELSE 'PARTIAL' END AS fidelity,
  CASE WHEN first(n_trades ORDER BY open_ts) = last(n_trades ORDER BY open_ts) THEN 'n' || first(n_trades ORDER BY open_ts) ELSE 'n' || first(n_trades ORDER BY open_ts) || ',n' || last(n_trades ORDER BY open_ts) END AS evidence
-FROM b GROUP BY ALL HAVING count(*) = 2""")
+FROM b GROUP BY ALL HAVING count(*) = 2"""
+
+
+@query("utc_bars_lenient", _UTC_TWO)
 def utc_bars_lenient(spark, sf):
     return doubles(B.utc_aggregate(_with_quality(S.hourly_bars(spark, sf)), 3600, 7200), *OHLCV)
 
 
+@query("utc_bars_strict", _UTC_TWO)
+def utc_bars_strict(spark, sf):
+    """Only whole buckets go in: an incomplete one would fail the batch."""
+    bars = _with_quality(S.hourly_bars(spark, sf)).withColumn("_two", T.anchored_floor(F.col("open_ts"), 7200))
+    whole = bars.groupBy("instrument", "_two").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+    return doubles(B.utc_aggregate(bars.join(whole, ["instrument", "_two"], "left_semi").drop("_two"), 3600, 7200, strict=True), *OHLCV)
+
+
 @query("last_bars_per_instrument", f"WITH {BAR} SELECT instrument, open_ts, close::DOUBLE AS close FROM bar QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY open_ts DESC) <= 5")
 def last_bars_per_instrument(spark, sf):
     return doubles(B.keep_last(S.hourly_bars(spark, sf), 5).select("instrument", "open_ts", "close"), "close")

@@ -91,6 +91,21 @@ def historical_execution(spark, sf):
     return C.execution(_named_events(spark, sf, "request_key", _EXE)).withColumnRenamed("request_key", "key")
 
 
+_BAT = {"view": "prepare", "click": "write", "purchase": "acknowledge", "signup": "commit", "error": "prepare"}
+
+
+@query("batch_commit_order", _machine_sql(C.BATCH, "new", _cases(_BAT)))
+def batch_commit_order(spark, sf):
+    return C.batch_commits(_named_events(spark, sf, "batch", _BAT)).withColumnRenamed("batch", "key")
+
+
+@query("required_keys_present", "SELECT DISTINCT n_regionkey AS key FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)")
+def required_keys_present(spark, sf):
+    """No row, or the batch fails: every nation has its region."""
+    asked = S.table(spark, sf, "nation").select(F.col("n_regionkey").alias("key"))
+    return C.require_none(C.uncovered(asked, S.table(spark, sf, "region").select(F.col("r_regionkey").alias("key")), ["key"]), "missing: ")
+
+
 @query("empty_recovery_confirmations", """WITH a AS (SELECT user_id AS key, ts, event_id AS seq, event_type IN ('view', 'click') AS empty FROM events), r AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM a)
 SELECT key, run, count(*) AS attempts, min(ts) AS first_ts, max(ts) AS last_ts, count(*) >= 3 AS confirmed FROM r WHERE empty GROUP BY 1, 2""")
 def empty_recovery_confirmations(spark, sf):

@@ -50,15 +50,15 @@ def context_transitions(spark, sf):
 _SPLIT = f"""{BAR}, i AS (SELECT *, sum(nw) OVER (PARTITION BY instrument ORDER BY open_ts ROWS UNBOUNDED PRECEDING) AS island, CASE WHEN close >= open THEN volume ELSE 0 END AS b, CASE WHEN close < open AND n_trades % 4 <> 0 THEN volume ELSE 0 END AS s FROM (SELECT *, CASE WHEN lag(close_ts) OVER (PARTITION BY instrument ORDER BY open_ts) = open_ts THEN 0 ELSE 1 END AS nw FROM bar))"""
 
 
-@query("aggression_confirmation", f"""WITH {_SPLIT}, w AS (SELECT instrument, open_ts, close::DOUBLE AS c, first(open::DOUBLE) OVER w AS o, sum(b::DOUBLE) OVER w AS b, sum(s::DOUBLE) OVER w AS s, sum(volume::DOUBLE) OVER w AS v, avg(high::DOUBLE - low::DOUBLE) OVER w AS u, count(*) OVER w AS n FROM i
+@query("aggression_confirmation", f"""WITH {_SPLIT}, w AS (SELECT instrument, open_ts, close::DOUBLE AS c, first(open::DOUBLE) OVER w AS o, sum(b::DOUBLE) OVER w AS b, sum(s::DOUBLE) OVER w AS s, sum(volume::DOUBLE) OVER w AS v, avg(high::DOUBLE - low::DOUBLE) OVER w AS u, min(low::DOUBLE) OVER w AS lo, count(*) OVER w AS n FROM i
  WINDOW w AS (PARTITION BY instrument, island ORDER BY open_ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-r AS (SELECT instrument, open_ts, round(CASE WHEN v <> 0 THEN (b + s) / v ELSE 0 END, 6) AS classified_ratio, round(CASE WHEN b + s <> 0 THEN (b - s) / (b + s) ELSE 0 END, 6) AS delta_ratio, round(CASE WHEN u <> 0 THEN (c - o) / u ELSE 0 END, 6) AS follow FROM w WHERE n = 3)
-SELECT *, concat_ws(',', CASE WHEN classified_ratio < 0.7 THEN 'classified_ratio' END, CASE WHEN delta_ratio < 0.1 THEN 'delta' END, CASE WHEN follow < 0.1 THEN 'follow_through' END) AS failures FROM r""")
+r AS (SELECT instrument, open_ts, round(CASE WHEN v <> 0 THEN (b + s) / v ELSE 0 END, 6) AS classified_ratio, round(CASE WHEN b + s <> 0 THEN (b - s) / (b + s) ELSE 0 END, 6) AS delta_ratio, round(CASE WHEN u <> 0 THEN (c - o) / u ELSE 0 END, 6) AS follow, round(CASE WHEN u <> 0 THEN greatest(o - lo, 0) / u ELSE 0 END, 6) AS adverse FROM w WHERE n = 3)
+SELECT *, concat_ws(',', CASE WHEN classified_ratio < 0.7 THEN 'classified_ratio' END, CASE WHEN delta_ratio < 0.1 THEN 'delta' END, CASE WHEN follow < 0.1 THEN 'follow_through' END, CASE WHEN adverse > 1 THEN 'adverse_move' END) AS failures FROM r""")
 def aggression_confirmation(spark, sf):
     bars = islands(S.hourly_bars(spark, sf), ["instrument"], "open_ts", "close_ts")
     up = F.col("close") >= F.col("open")
     bars = bars.withColumn("buy_volume", F.when(up, F.col("volume")).otherwise(F.lit(0))).withColumn("sell_volume", F.when(~up & (F.col("n_trades") % 4 != 0), F.col("volume")).otherwise(F.lit(0)))
-    return G.confirmation_window(bars, 3, 0.7, 0.1, 1).select("instrument", "open_ts", "classified_ratio", "delta_ratio", "follow", "failures")
+    return G.confirmation_window(bars, 3, 0.7, 0.1, 1).select("instrument", "open_ts", "classified_ratio", "delta_ratio", "follow", "adverse", "failures")
 
 
 @query("pace_ratio", f"""WITH {BAR} SELECT instrument, open_ts, round(CASE WHEN count(*) OVER b = 10 THEN avg(volume::DOUBLE) OVER l / median(volume::DOUBLE) OVER b END, 6) AS pace FROM bar

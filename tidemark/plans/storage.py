@@ -34,6 +34,19 @@ def tick_catalog_scan(spark, sf):
     return doubles(C.scan_ticks(spark, path, schema, "click", "2024-01-10", "2024-01-12").select("instrument", "ts", "seq", "price"), "price")
 
 
+@query("consolidated_bar_catalog", f"WITH {BAR} SELECT instrument, open_ts, (CASE WHEN hour(open_ts) BETWEEN 8 AND 15 THEN close + 1 ELSE close END)::DOUBLE AS close FROM bar")
+def consolidated_bar_catalog(spark, sf):
+    """Two batches that overlap from 8 to 16 h, the second revised, and their consolidation."""
+    path, whole = shared(spark, "bar-batches"), shared(spark, "bar-catalog")
+    bars = S.hourly_bars(spark, sf).select("instrument", "open_ts", F.col("close").cast("double").alias("close"), F.to_date("open_ts").alias("day"))
+    first = bars.where(F.hour("open_ts") < 16).withColumn("batch", F.lit(1))
+    again = bars.where(F.hour("open_ts") >= 8).withColumns({"batch": F.lit(2), "close": F.when(F.hour("open_ts") < 16, F.col("close") + 1).otherwise(F.col("close"))})
+    for batch in (first, again):
+        C.write_batch(batch, path, ["instrument", "open_ts"], 100_000_000)
+    C.consolidate(spark.read.schema(first.schema).parquet(path), whole, ["instrument", "open_ts"], "batch")
+    return spark.read.schema(first.schema).parquet(whole).select("instrument", "open_ts", "close")
+
+
 @query("first_arrival_dedupe", f"WITH {TR} SELECT instrument, seq, price::DOUBLE AS price, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS ts_init FROM tr")
 def first_arrival_dedupe(spark, sf):
     t = S.trades(spark, sf).withColumn("ts_init", F.lit(1))

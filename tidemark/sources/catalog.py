@@ -17,6 +17,23 @@ def write_ticks(ticks: DataFrame, path: str, key: str = "dedupe_key") -> None:
     first_arrival(ticks, key).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("instrument", "day").option("compression", "zstd").parquet(path)
 
 
+def write_batch(rows: DataFrame, path: str, key: list[str], most: int) -> int:
+    """A guarded batch: refused when larger than ``most``; rows of a key count once.  Returns what was written."""
+    fresh = rows.dropDuplicates(key)
+    n = fresh.count()
+    if n > most:
+        raise ValueError(f"a batch of {n} rows is over the bound of {most}")
+    fresh.write.mode("append").partitionBy("day").option("compression", "zstd").parquet(path)
+    return n
+
+
+def consolidate(stored: DataFrame, path: str, key: list[str], newest: str) -> None:
+    """Batches that overlap, rewritten as one table: of each key the row that arrived last."""
+    rest = [c for c in stored.columns if c not in key]
+    one = stored.groupBy(*key).agg(F.max_by(F.struct(*rest), newest).alias("_r")).select(*key, "_r.*")
+    one.repartition("day").write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(path)
+
+
 def first_arrival(ticks: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("ts_init")
     return ticks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
