@@ -101,3 +101,17 @@ def test_calendar_clips_suppresses_and_overrides(spark):
     got = schedule.provider_calendar(plan, [schedule.Phase("RTH", "09:30", "16:00"), schedule.Phase("CURB", "16:15", "17:00")], over, "America/New_York").collect()
     assert sorted((r.trade_date.day, r.phase, r.open_ts.isoformat(), r.close_ts.isoformat()) for r in got) == [
         (4, "CURB", "2024-03-04T21:15:00", "2024-03-04T22:00:00"), (4, "RTH", "2024-03-04T14:30:00", "2024-03-04T21:00:00"), (5, "RTH", "2024-03-05T14:30:00", "2024-03-05T18:00:00"), (9, "RTH", "2024-03-09T15:00:00", "2024-03-09T17:00:00")]
+
+
+def test_guards_fail_only_on_what_was_asked(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import joins
+
+    left, right = spark.range(3).select(F.col("id").alias("k")), spark.createDataFrame([(0, 5), (1, 6), (9, 7), (9, 8)], "k bigint, replacement bigint")
+    assert joins.unique_lookup(left, right, ["k"], strict=True).count() == 2  # 9 is ambiguous, but nobody asks for it
+    with pytest.raises(Exception, match="several candidates"):
+        joins.unique_lookup(left.union(spark.range(9, 10)), right, ["k"], strict=True).count()
+    assert control.require_none(control.uncovered(spark.range(2), spark.range(5), ["id"]), "missing: ").count() == 0
+    with pytest.raises(Exception, match="missing: "):
+        control.require_none(control.uncovered(spark.range(6), spark.range(5), ["id"]), "missing: ").collect()

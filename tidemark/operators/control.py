@@ -21,8 +21,11 @@ def uncovered(requests: DataFrame, received: DataFrame, keys: list[str]) -> Data
 
 
 def require_none(missing: DataFrame, message: str) -> DataFrame:
-    """Fails when ``missing`` has a row; else an empty table of its columns."""
-    return missing.where(F.raise_error(F.concat(F.lit(message), F.to_json(F.struct(*missing.columns)))).cast("boolean"))
+    """Fails when ``missing`` has a row; else an empty table of its columns.
+
+    The condition is made indeterminate so that the optimizer does not move it below the join that found the rows."""
+    stop = F.raise_error(F.concat(F.lit(message), F.to_json(F.struct(*missing.columns)))).cast("boolean")
+    return missing.where(F.when(F.rand() >= 0, stop).otherwise(F.lit(False)))
 
 
 def control_state(parts: DataFrame) -> DataFrame:
