@@ -58,7 +58,7 @@ def unique_lookup(left: DataFrame, right: DataFrame, keys: list[str], strict: bo
     out = left.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.min("replacement").alias("replacement")), keys).withColumn("ambiguous", F.col("candidates") > 1)
     if strict:
         stop = F.raise_error(F.concat(F.lit("several candidates for "), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))).cast("boolean")
-        return out.where(F.when(F.col("ambiguous") & (F.rand() >= 0), stop).otherwise(F.lit(True)))  # kept above the join by rand
+        return out.where(F.when(F.col("ambiguous") & (F.monotonically_increasing_id() >= 0), stop).otherwise(F.lit(True)))  # kept above the join by a value of the row
     return out
 
 
