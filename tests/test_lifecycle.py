@@ -115,3 +115,41 @@ def test_guards_fail_only_on_what_was_asked(spark):
     assert control.require_none(control.uncovered(spark.range(2), spark.range(5), ["id"]), "missing: ").count() == 0
     with pytest.raises(Exception, match="missing: "):
         control.require_none(control.uncovered(spark.range(6), spark.range(5), ["id"]), "missing: ").collect()
+
+
+def test_recent_identities_are_renewed_and_forgotten(spark):
+    from tidemark.operators import reports
+
+    ids = [1, 2, 1, 3, 2, 4, 1]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(ids)], "stream string, seq bigint, identity bigint")
+    got = sorted(reports.recent_identities(df, "stream", "seq", "identity", 2, "stream string, seq bigint, identity bigint").collect(), key=lambda r: r.seq)
+    # 1 2 | 1 again | 3 pushes 2 out | 2 pushes 1 out | 4 pushes 3 out | 1 is forgotten
+    assert [r.duplicate for r in got] == [False, False, True, False, False, False, False]
+
+
+def test_interactions_keep_clusters_of_their_direction(spark):
+    decided = lifecycle.episodes(seen(spark, [("LONG", "r", "qualified", 105.0, ZONE), ("LONG", "r", "qualified", 106.0, ZONE)]), 1, 1)
+    clusters = [{"cluster_id": "c1", "direction": "LONG"}, {"cluster_id": "c2", "direction": "SHORT"}, {"cluster_id": "c0", "direction": "LONG"}]
+    q = spark.createDataFrame([("X", DAY, "LONG", "c1", clusters), ("X", DAY + dt.timedelta(minutes=1), "LONG", "c2", clusters)], "instrument string, ts timestamp_ntz, direction string, selected string, clusters array<struct<cluster_id: string, direction: string>>")
+    got = sorted(lifecycle.interactions(decided, q).collect(), key=lambda r: r.ts)
+    assert [(r.cluster_ids, r.selected_cluster, r.reason) for r in got] == [("c0,c1", "c1", "location_entered"), ("c0,c1", None, "location_active")]
+
+
+def test_halo_windows_equal_whole_windows(spark):
+    """Sparse and dense days, ties in time: the bucketed helpers give what a window over the whole key gives."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import carry
+
+    r = random.Random(1)
+    rows = [("AB"[r.randrange(2)], DAY + dt.timedelta(hours=r.choice([0, 1, 2, 30, 31, 200, 201, 202, 500]), minutes=r.randrange(3)), i, r.randrange(100)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, i bigint, v bigint")
+    w = Window.partitionBy("k").orderBy("ts", "i")
+    want = {x.i: (x.a, x.b, x.c) for x in df.select("i", F.lag("v", 3).over(w).alias("a"), F.sum("v").over(w).alias("b"), F.row_number().over(w).alias("c")).collect()}
+    b = Window.partitionBy("k", "_b").orderBy("ts", "i")
+    near = carry.with_halo(df, ["k"], ["ts", "i"], 3).withColumn("a", F.lag("v", 3).over(b)).withColumn("c", F.col("_before") + F.count_if(~F.col("_halo")).over(b))
+    got = carry.running(carry.without_halo(near), ["k"], ["ts", "i"], {"b": F.col("v")})
+    assert {x.i: (x.a, x.b, x.c) for x in got.collect()} == want

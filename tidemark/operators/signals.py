@@ -149,10 +149,11 @@ def assess_evidence(age_seconds: Column, subscribed: Column, open_: Column, degr
     return F.when(~open_, "DORMANT").when(~subscribed, "UNAVAILABLE").when(age_seconds.isNull(), "NOT_EVALUATED").when(age_seconds <= degraded, "HEALTHY").when(age_seconds <= stale, "DEGRADED").when(age_seconds <= gone, "STALE").otherwise("UNAVAILABLE")
 
 
-def hysteresis(rows: DataFrame, key: str, order: list[str], value: str, high: float, low: float, confirm: int) -> DataFrame:
+def hysteresis(rows: DataFrame, key: str, order: str | list[str], value: str, high: float, low: float, confirm: int) -> DataFrame:
     """Alarm after ``confirm`` consecutive values above ``high``, cleared by one below ``low``.
 
     Both marks are known from the last ``confirm`` rows, so an event is a mark that differs from the mark before it."""
+    order = [order] if isinstance(order, str) else order
     w = Window.partitionBy(key, "_b").orderBy(*order)
     last = w.rowsBetween(-(confirm - 1), 0)
     raised = (F.min(value).over(last) > high) & (F.count(F.lit(1)).over(last) == confirm)
