@@ -65,14 +65,14 @@ def without_halo(df: DataFrame) -> DataFrame:
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], seconds: int = DAY) -> DataFrame:
     """Running sums over the keys up to each row: inside the bucket, plus the total of the buckets before."""
-    rows = df.withColumns({"_b": bucket_of(order[0], seconds)} | {f"_{n}": c for n, c in sums.items()})
+    rows = df.withColumns({"_b": bucket_of(order[0], seconds)} | {f"_own_{n}": c for n, c in sums.items()})
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_b").agg(*(F.sum(f"_{n}").alias(f"_t{n}") for n in sums))
-    totals = totals.select(*keys, "_b", *(F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_t{n}") for n in sums))
-    out = rows.withColumns({n: F.sum(f"_{n}").over(inside) for n in sums}).join(totals, [*keys, "_b"])
-    out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_t{n}") for n in sums})
-    return out.drop("_b", *(f"_{n}" for n in sums), *(f"_t{n}" for n in sums))
+    totals = rows.groupBy(*keys, "_b").agg(*(F.sum(f"_own_{n}").alias(f"_all_{n}") for n in sums))
+    totals = totals.select(*keys, "_b", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_all_{n}") for n in sums))
+    out = rows.withColumns({n: F.sum(f"_own_{n}").over(inside) for n in sums}).join(totals, [*keys, "_b"])
+    out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_all_{n}") for n in sums})
+    return out.drop("_b", *(f"_own_{n}" for n in sums), *(f"_all_{n}" for n in sums))
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island") -> DataFrame:
