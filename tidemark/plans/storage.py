@@ -34,7 +34,7 @@ def tick_catalog_scan(spark, sf):
     return doubles(C.scan_ticks(spark, path, schema, "click", "2024-01-10", "2024-01-12").select("instrument", "ts", "seq", "price"), "price")
 
 
-@query("consolidated_bar_catalog", f"WITH {BAR} SELECT instrument, open_ts, (CASE WHEN hour(open_ts) BETWEEN 8 AND 15 THEN close + 1 ELSE close END)::DOUBLE AS close FROM bar")
+@query("consolidated_bar_catalog", f"WITH {BAR} SELECT instrument, open_ts, close::DOUBLE + CASE WHEN hour(open_ts) BETWEEN 8 AND 15 THEN 1 ELSE 0 END AS close FROM bar")
 def consolidated_bar_catalog(spark, sf):
     """Two batches that overlap from 8 to 16 h, the second revised, and their consolidation."""
     path, whole = shared(spark, "bar-batches"), shared(spark, "bar-catalog")
