@@ -58,7 +58,7 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.queries()[name](spark, DATA)
     rel = con.sql(registry.oracle_sql()[name])

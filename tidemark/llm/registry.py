@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chaining, decontamination, jaccard, packing, pii, preference, quality, sharding, suffixes, urls
+from tidemark.llm import audit, chaining, decontamination, exact, jaccard, packing, pii, preference, quality, sharding, suffixes, trie, urls
 
 
 def _pipeline(spark, sf_dir: str):
@@ -16,6 +16,9 @@ def queries() -> dict:
         "pipeline": _pipeline,
         "op1_preference_format": preference.op1_preference_format,
         "op10_collinear_chaining": chaining.op10_collinear_chaining,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_filter_audit": audit.op12_filter_audit,
+        "op13_golomb_exact_dedup": exact.op13_golomb_exact_dedup,
         "op2_mcd_quality": quality.op2_mcd_quality,
         "op3_winnowing_decontamination": decontamination.op3_winnowing_decontamination,
         "op4_mixture_packing": packing.op4_mixture_packing,
@@ -28,4 +31,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_preference_format": preference.ORACLE, "op3_winnowing_decontamination": decontamination.ORACLE, "op6_grouped_prefix_join": jaccard.ORACLE, "op9_redirect_filter": urls.ORACLE}
+    return {
+        "op1_preference_format": preference.ORACLE,
+        "op11_prefix_trie": trie.ORACLE,
+        "op12_filter_audit": audit.ORACLE,
+        "op13_golomb_exact_dedup": exact.ORACLE,
+        "op3_winnowing_decontamination": decontamination.ORACLE,
+        "op6_grouped_prefix_join": jaccard.ORACLE,
+        "op9_redirect_filter": urls.ORACLE,
+    }
