@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,30 +69,36 @@ def seeded_aggregate(warm: DataFrame, live: DataFrame, base_seconds: int, second
     return out.where((F.col("n") == n) & (F.col("_live") == 1)).drop("n", "_live")
 
 
+class NewestHeld:
+    """The newest ``most`` (time, payload) of one key; ``held`` is all that it remembers."""
+
+    def __init__(self, most: int, held: dict | None = None):
+        self.most, self.held = most, dict(held or {})
+        self.order = list(self.held)
+        heapq.heapify(self.order)
+
+    def admit(self, at, payload) -> tuple:
+        """(status, evicted time or None) of one arrival."""
+        if at in self.held:
+            return "DUPLICATE" if self.held[at] == payload else "CONFLICT", None
+        self.held[at] = payload
+        heapq.heappush(self.order, at)
+        if len(self.held) <= self.most:
+            return "ACCEPTED", None
+        gone = heapq.heappop(self.order)
+        del self.held[gone]
+        return "ACCEPTED", gone
+
+
 def bounded_store(rows: DataFrame, keys: list[str], most: int, schema: str) -> DataFrame:
     """Admission of ``rows(keys, arrival, open_ts, payload)`` to a store of the newest ``most`` bars of each key: ACCEPTED, DUPLICATE or
     CONFLICT against what is held, and which bar each acceptance evicts (the oldest; possibly itself).
 
     ``schema`` names the keys' types.  The fold keeps ``most`` bars at a time."""
-    import heapq
 
     def make():
-        held: dict = {}
-        order: list = []
-
-        def step(r):
-            at, payload = r.open_ts, r.payload
-            if at in held:
-                return [(*r[: len(keys)], r.arrival, at, "DUPLICATE" if held[at] == payload else "CONFLICT", None)]
-            held[at] = payload
-            heapq.heappush(order, at)
-            gone = None
-            if len(held) > most:
-                gone = heapq.heappop(order)
-                del held[gone]
-            return [(*r[: len(keys)], r.arrival, at, "ACCEPTED", gone)]
-
-        return step
+        store = NewestHeld(most)
+        return lambda r: [(*r[: len(keys)], r.arrival, r.open_ts, *store.admit(r.open_ts, r.payload))]
 
     return sorted_fold(rows.select(*keys, "arrival", "open_ts", "payload"), keys, ["arrival"], f"{schema}, arrival bigint, open_ts timestamp_ntz, status string, evicted_ts timestamp_ntz", make)
 

@@ -12,76 +12,71 @@ ALLOWED = {"candidate": ("armed", "invalidated", "expired"), "armed": ("triggere
 FIDELITY = ("reported", "inferred", "partial", "unavailable")
 
 
+#: (an episode is open, it is of this side and regime, the observation is qualified, it shares a zone) -> what happens.
+MOVES = {
+    (False, False, True, False): "entered", (False, False, False, False): "no_episode",
+    (True, False, True, False): "replaced", (True, False, True, True): "replaced", (True, False, False, False): "exited", (True, False, False, True): "exited",
+    (True, True, True, False): "replaced", (True, True, True, True): "engaged", (True, True, False, False): "apart", (True, True, False, True): "apart",
+}
+
+
 def episodes(observations: DataFrame, exit_bars: int, rejection_bars: int) -> DataFrame:
     """Location episodes of ``observations(instrument, ts, direction, regime, status, price, zones array<struct<zone_id, lower, upper,
     tolerance>>)``, one decision per observation: instrument, ts, event, episode_id, ended_episode_id, adverse, favourable, changed.
 
     Events: no_episode, evidence_gap, entered, active, departure_unresolved, favorable_departure, rejected, exit_pending, exited,
-    replaced.  An observation that is repeated as it was gets the same decision; another one at the same time fails.  What is
-    remembered of an instrument is its episode's edges and two counts."""
+    replaced.  An observation that is repeated as it was gets the same decision; another one at the same time fails.
+
+    Prices and edges are multiplied by the sign of the side, so that there is one case: price lies beyond the zones, inside, or
+    against them.  ``exit_bars`` observations in a row against the zones end an episode, ``rejection_bars`` beyond them reject it.  What is
+    remembered of an instrument is its episode's edges and zone names and the two counts."""
+    sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
+    near = lambda z: F.when(sign > 0, z["lower"] - z["tolerance"]).otherwise(-z["upper"] - z["tolerance"])
+    far = lambda z: F.when(sign > 0, z["upper"] + z["tolerance"]).otherwise(-z["lower"] + z["tolerance"])
+    names = F.array_sort(F.transform("zones", lambda z: z["zone_id"]))
+    start = F.concat_ws("|", "instrument", "direction", "regime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    setting = F.concat_ws("|", "direction", "regime")
+    rows = observations.select("instrument", "ts", F.struct(setting.alias("setting"), start.alias("name"), F.col("status"), (sign * F.col("price")).alias("price"), F.array_min(F.transform("zones", near)).alias("against"), F.array_max(F.transform("zones", far)).alias("along"), names.alias("zones")).alias("o"))
+    once = rows.groupBy("instrument", "ts").agg(F.min("o").alias("o"), F.max("o").alias("_o"), F.count(F.lit(1)).alias("n"))
+    stop = F.raise_error(F.concat_ws(" ", F.lit("conflicting observations of"), "instrument", F.lit("at"), F.col("ts").cast("string"))).cast("boolean")
+    once = once.where(F.when(~F.col("o").eqNullSafe(F.col("_o")), stop).otherwise(F.lit(True))).select("instrument", "ts", "o.*", "n")
 
     def make():
-        active, adverse, favourable, before, last, decided = None, 0, 0, None, None, None
-
-        def begin(r):
-            long = r.direction == "LONG"
-            low = [(z["lower"] - z["tolerance"], z["upper"] + z["tolerance"]) for z in r.zones]
-            against = min(a for a, _ in low) if long else max(b for _, b in low)
-            along = max(b for _, b in low) if long else min(a for a, _ in low)
-            name = f"{r.instrument}|{r.direction}|{r.regime}|{r.ts.isoformat(sep=' ')}"
-            return {"id": name, "direction": r.direction, "regime": r.regime, "zones": {z["zone_id"] for z in r.zones}, "against": against, "along": along}
-
-        def close(r, engaged):
-            nonlocal active, adverse, favourable
-            long = active["direction"] == "LONG"
-            if (r.price > active["along"]) if long else (r.price < active["along"]):
-                adverse, favourable = 0, min(favourable + 1, rejection_bars)
-                return ("rejected" if favourable >= rejection_bars else "favorable_departure"), active["id"], None, 0
-            if not ((r.price < active["against"]) if long else (r.price > active["against"])):
-                adverse = favourable = 0
-                return ("active" if engaged else "departure_unresolved"), active["id"], None, 0
-            favourable, adverse = 0, adverse + 1
-            if adverse < exit_bars:
-                return "exit_pending", active["id"], None, adverse
-            ended, active, adverse = active["id"], None, 0
-            return "exited", ended, ended, exit_bars
-
-        def decide(r):
-            nonlocal active, adverse, favourable
-            qualified = r.status == "qualified"
-            if active and (active["direction"], active["regime"]) != (r.direction, r.regime):
-                ended, adverse, favourable = active["id"], 0, 0
-                active = begin(r) if qualified else None
-                return ("replaced", active["id"], ended, 0) if active else ("exited", ended, ended, 0)
-            if r.status == "missing_evidence":
-                adverse = favourable = 0
-                return "evidence_gap", active["id"] if active else None, None, 0
-            if qualified:
-                if active and active["zones"] & {z["zone_id"] for z in r.zones}:
-                    return close(r, True)
-                ended, active = active["id"] if active else None, begin(r)
-                adverse = favourable = 0
-                return ("replaced" if ended else "entered"), active["id"], ended, 0
-            if active is None:
-                adverse = favourable = 0
-                return "no_episode", None, None, 0
-            return close(r, False)
+        held, against, beyond, before = None, 0, 0, None  # held: (setting, name, zones, edge against, edge along)
 
         def step(r):
-            nonlocal before, last, decided
-            if last is not None and r.ts == last.ts:
-                if repr(r) != repr(last):
-                    raise ValueError(f"conflicting observation of {r.instrument} at {r.ts}")
-                return [decided]
-            event, episode, ended, count = decide(r)
-            last, decided = r, (r.instrument, r.ts, event, episode, ended, count, favourable, event != before)
-            before = event
-            return [decided]
+            nonlocal held, against, beyond, before
+            same = held is not None and held[0] == r.setting
+            shares = held is not None and not held[2].isdisjoint(r.zones)
+            gap = r.status == "missing_evidence" and (same or held is None)
+            event = "evidence_gap" if gap else MOVES[held is not None, same, r.status == "qualified", shares]
+            ended, run = None, 0
+            if event in ("engaged", "apart"):
+                where = (r.price > held[4]) - (r.price < held[3])
+                beyond = min(beyond + 1, rejection_bars) if where > 0 else 0
+                against = against + 1 if where < 0 else 0
+                run = against
+                if where > 0:
+                    event = "rejected" if beyond == rejection_bars else "favorable_departure"
+                elif where < 0:
+                    event = "exited" if against == exit_bars else "exit_pending"
+                else:
+                    event = "active" if event == "engaged" else "departure_unresolved"
+            else:
+                against = beyond = 0
+            name = held and held[1]
+            if event in ("exited", "replaced"):
+                ended, against = name, 0
+                held = None
+            if event in ("entered", "replaced"):
+                held = (r.setting, r.name, frozenset(r.zones), r.against, r.along)
+                name = r.name
+            changed, before = event != before, event
+            return [(r.instrument, r.ts, event, name, ended, run, beyond, changed)] * r.n
 
         return step
 
-    names = ["instrument", "ts", "direction", "regime", "status", "price", "zones"]
-    return sorted_fold(observations.select(*names), ["instrument"], ["ts"], "instrument string, ts timestamp_ntz, event string, episode_id string, ended_episode_id string, adverse int, favourable int, changed boolean", make)
+    return sorted_fold(once, ["instrument"], ["ts"], "instrument string, ts timestamp_ntz, event string, episode_id string, ended_episode_id string, adverse int, favourable int, changed boolean", make)
 
 
 def content(signal: str, status: str, at: str, reasons: str) -> Column:

@@ -70,10 +70,14 @@ def seeded_restart_bars(spark, sf):
 x AS (SELECT instrument, open_ts, ar AS arrival, v, 'ACCEPTED' AS status FROM a UNION ALL SELECT instrument, open_ts, ar + 1, v, 'DUPLICATE' FROM a WHERE n_trades % 2 = 0 UNION ALL SELECT instrument, open_ts, ar + 2, v + 1, 'CONFLICT' FROM a WHERE n_trades % 3 = 0)
 SELECT x.instrument, arrival, x.open_ts, status, CASE WHEN status = 'ACCEPTED' THEN g END AS evicted_ts FROM x JOIN (SELECT instrument, open_ts, lag(open_ts, 48) OVER (PARTITION BY instrument ORDER BY open_ts) AS g FROM a) USING (instrument, open_ts)""")
 def bounded_observations(spark, sf):
+    return A.bounded_store(bounded_rows(spark, sf), ["instrument"], 48, "instrument string")
+
+
+def bounded_rows(spark, sf):
     a = _arrivals(spark, sf).select("instrument", "open_ts", F.col("close").cast("double").alias("v"), (F.floor(T.micros(F.col("open_ts")) / 3_600_000_000) * 10).alias("arrival"), "n_trades")
     at = F.col("arrival")
     rows = a.unionByName(a.where("n_trades % 2 = 0").withColumn("arrival", at + 1)).unionByName(a.where("n_trades % 3 = 0").withColumns({"arrival": at + 2, "v": F.col("v") + 1}))
-    return A.bounded_store(rows.select("instrument", "arrival", "open_ts", F.col("v").cast("string").alias("payload")), ["instrument"], 48, "instrument string")
+    return rows.select("instrument", "arrival", "open_ts", F.col("v").cast("string").alias("payload"))
 
 
 @query("session_book", f"""WITH {BAR}, s AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS session, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in [('open', 'arg_min(open, open_ts)'), ('high', 'max(high)'), ('low', 'min(low)'), ('close', 'arg_max(close, open_ts)'), ('volume', 'sum(volume)')])}, count(*) AS n_bars, max(close_ts) AS last_ts FROM bar GROUP BY 1, 2)

@@ -6,30 +6,69 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
 from tidemark.operators import lifecycle as L
-from tidemark.plans.catalog import BAR, query
+from tidemark.operators import location
+from tidemark.plans.catalog import query
+from tidemark.plans.locations import _Q, POLICY, context
 from tidemark.sources import adapters as S
 
-#: Observations at hourly closes: bands of 15 are zones, the regime is the day, and the direction the parity of the day and instrument.
-_OBS = BAR + """, ob AS (SELECT instrument, close_ts AS ts, CASE WHEN (day(close_ts) + length(instrument)) % 3 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, strftime(close_ts, '%Y-%m-%d') AS regime, close::DOUBLE AS price, n_trades FROM bar)"""
+#: Observations at hourly closes: the selected locations of one side, which is the parity of the day and the instrument; the regime is the day.
+_OBS = _Q + """,
+dr AS (SELECT bar.instrument, close_ts AS ts, CASE WHEN (day(close_ts) + length(bar.instrument)) % 3 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, strftime(close_ts, '%Y-%m-%d') AS regime, close::DOUBLE AS price, n_trades FROM bar),
+zs AS (SELECT c.instrument, c.ts, c.direction, list(c.zone_id) AS zones, min(CASE c.direction WHEN 'LONG' THEN c.lower - coalesce(tol, 0) ELSE -c.upper - coalesce(tol, 0) END) AS lo, max(CASE c.direction WHEN 'LONG' THEN c.upper + coalesce(tol, 0) ELSE -c.lower + coalesce(tol, 0) END) AS hi, max(b.sources) AS sources
+       FROM c JOIN b ON b.instrument = c.instrument AND b.ts = c.ts AND b.direction = c.direction AND b.c = c.c GROUP BY ALL),
+ob AS MATERIALIZED (
+  SELECT dr.instrument, ts, dr.direction, regime, concat_ws('|', dr.instrument, dr.direction, regime, strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS name, dr.direction || '|' || regime AS setting,
+    CASE WHEN n_trades % 11 = 0 THEN 'missing_evidence' WHEN sources >= 1 THEN 'qualified' ELSE 'not_at_location' END AS status, CASE dr.direction WHEN 'LONG' THEN price ELSE -price END AS price,
+    coalesce(zones, []) AS zones, lo, hi, row_number() OVER (PARTITION BY dr.instrument ORDER BY ts) AS i FROM dr LEFT JOIN zs USING (instrument, ts, direction)),
+ep AS (
+  SELECT instrument, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS event, NULL::VARCHAR AS episode_id, NULL::VARCHAR AS ended, 0 AS run, 0 AS beyond, 0 AS against,
+    NULL::VARCHAR AS held, NULL::VARCHAR AS held_setting, []::VARCHAR[] AS held_zones, NULL::DOUBLE AS held_lo, NULL::DOUBLE AS held_hi FROM ob GROUP BY 1
+  UNION ALL
+  SELECT instrument, i, ts, act, CASE WHEN act IN ('entered', 'replaced') THEN name WHEN act = 'no_episode' THEN NULL ELSE held END, CASE WHEN act IN ('replaced', 'exited') THEN held END,
+    CASE WHEN NOT tracked THEN 0 WHEN act IN ('exit_pending', 'exited') THEN against + 1 ELSE 0 END, CASE WHEN act IN ('favorable_departure', 'rejected') THEN least(beyond + 1, 3) ELSE 0 END, CASE WHEN act = 'exit_pending' THEN against + 1 ELSE 0 END,
+    CASE WHEN act IN ('entered', 'replaced') THEN name WHEN act <> 'exited' THEN held END, CASE WHEN act IN ('entered', 'replaced') THEN setting ELSE held_setting END, CASE WHEN act IN ('entered', 'replaced') THEN zones ELSE held_zones END,
+    CASE WHEN act IN ('entered', 'replaced') THEN lo ELSE held_lo END, CASE WHEN act IN ('entered', 'replaced') THEN hi ELSE held_hi END
+  FROM (SELECT *, CASE
+      WHEN held IS NOT NULL AND held_setting <> setting THEN CASE WHEN status = 'qualified' THEN 'replaced' ELSE 'exited' END
+      WHEN status = 'missing_evidence' THEN 'evidence_gap'
+      WHEN held IS NULL THEN CASE WHEN status = 'qualified' THEN 'entered' ELSE 'no_episode' END
+      WHEN NOT tracked THEN 'replaced'
+      WHEN price > held_hi THEN CASE WHEN beyond + 1 >= 3 THEN 'rejected' ELSE 'favorable_departure' END
+      WHEN price < held_lo THEN CASE WHEN against + 1 >= 2 THEN 'exited' ELSE 'exit_pending' END
+      WHEN status = 'qualified' THEN 'active' ELSE 'departure_unresolved' END AS act
+    FROM (SELECT ob.*, ep.run, ep.beyond, ep.against, ep.held, ep.held_setting, ep.held_zones, ep.held_lo, ep.held_hi,
+            ep.held IS NOT NULL AND ep.held_setting = ob.setting AND ob.status <> 'missing_evidence' AND (ob.status <> 'qualified' OR list_has_any(ep.held_zones, ob.zones)) AS tracked
+          FROM ep JOIN ob ON ob.instrument = ep.instrument AND ob.i = ep.i + 1))),
+de AS (SELECT instrument, i, ts, event, episode_id, ended AS ended_episode_id, run AS adverse, beyond AS favourable, event IS DISTINCT FROM lag(event) OVER (PARTITION BY instrument ORDER BY i) AS changed FROM ep WHERE i > 0)"""
 
 
 def observations(spark, sf):
     b = S.hourly_bars(spark, sf)
-    price, ts, n = F.col("close").cast("double"), F.col("close_ts"), F.col("n_trades")
-    band = F.floor(price / 15)
-    zone = F.struct(F.concat(F.lit("z"), band.cast("string")).alias("zone_id"), (band * 15.0 + 3).alias("lower"), (band * 15.0 + 12).alias("upper"), F.lit(1.5).alias("tolerance"))
-    inside = (price >= zone["lower"] - 1.5) & (price <= zone["upper"] + 1.5)
-    status = F.when(n % 11 == 0, "missing_evidence").when(inside, "qualified").otherwise("not_at_location")
+    price, ts = F.col("close").cast("double"), F.col("close_ts")
     direction = F.when((F.dayofmonth(ts) + F.length("instrument")) % 3 == 0, "SHORT").otherwise("LONG")
-    return b.select("instrument", ts.alias("ts"), direction.alias("direction"), F.date_format(ts, "yyyy-MM-dd").alias("regime"), status.alias("status"), price.alias("price"), F.array(zone).alias("zones"))
+    rows = b.select("instrument", ts.alias("ts"), direction.alias("direction"), F.date_format(ts, "yyyy-MM-dd").alias("regime"), price.alias("price"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "n_trades")
+    found = location.qualify_locations(rows.select("instrument", "ts", "direction", "low", "high"), context(spark, sf), POLICY, 1)
+    status = F.when(F.col("n_trades") % 11 == 0, "missing_evidence").otherwise(F.col("status"))
+    return rows.drop("low", "high").join(found.select("instrument", "ts", "direction", "status", "zones"), ["instrument", "ts", "direction"]).withColumn("status", status).drop("n_trades")
 
 
-@query("location_episode_machine")
+@query("location_episode_machine", f"WITH RECURSIVE {_OBS} SELECT instrument, ts, event, episode_id, ended_episode_id, adverse, favourable, changed FROM de")
 def location_episode_machine(spark, sf):
     return L.episodes(observations(spark, sf), 2, 3)
 
 
-@query("signal_runtime_actions")
+@query("signal_runtime_actions", f"""WITH RECURSIVE {_OBS}, mk AS (SELECT min(ts) + INTERVAL 2 DAY AS mark FROM ob), dm AS MATERIALIZED (SELECT de.*, ts <= mark AS stale FROM de, mk),
+ru AS (
+  SELECT instrument, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, []::STRUCT(action VARCHAR, episode_id VARCHAR)[] AS made, NULL::VARCHAR AS signal, NULL::TIMESTAMP AS since, NULL::VARCHAR AS muted FROM dm GROUP BY 1
+  UNION ALL
+  SELECT instrument, i, ts, CASE WHEN stale THEN [{{'action': 'stale', 'episode_id': NULL::VARCHAR}}] ELSE list_filter([
+      CASE WHEN late THEN {{'action': 'expired', 'episode_id': signal}} END, CASE WHEN ended_episode_id = s1 THEN {{'action': 'invalidated', 'episode_id': s1}} WHEN ended_episode_id = m1 THEN {{'action': 'released', 'episode_id': m1}} END,
+      CASE WHEN event IN ('entered', 'replaced') THEN {{'action': 'armed', 'episode_id': episode_id}} WHEN m2 = episode_id THEN {{'action': 'suppressed', 'episode_id': m2}} END], lambda x: x IS NOT NULL) END,
+    CASE WHEN stale THEN signal WHEN event IN ('entered', 'replaced') THEN episode_id WHEN ended_episode_id = s1 THEN NULL ELSE s1 END, CASE WHEN NOT stale AND event IN ('entered', 'replaced') THEN ts ELSE since END, CASE WHEN stale THEN muted ELSE m2 END
+  FROM (SELECT *, CASE WHEN coalesce(ended_episode_id = s1, false) THEN m1 WHEN ended_episode_id = m1 THEN NULL ELSE m1 END AS m2
+        FROM (SELECT *, CASE WHEN late THEN NULL ELSE signal END AS s1, CASE WHEN late THEN signal ELSE muted END AS m1
+              FROM (SELECT dm.*, ru.signal, ru.since, ru.muted, coalesce(NOT stale AND ru.signal IS NOT NULL AND dm.ts - ru.since > INTERVAL 6 HOUR, false) AS late FROM ru JOIN dm ON dm.instrument = ru.instrument AND dm.i = ru.i + 1)))),
+ua AS (SELECT instrument, ts, unnest(made) AS u FROM ru WHERE i > 0) SELECT instrument, ts, u.action AS action, u.episode_id AS episode_id FROM ua""")
 def signal_runtime_actions(spark, sf):
     rows = observations(spark, sf)
     first = rows.agg((F.min("ts") + F.expr("INTERVAL 2 DAYS")).alias("mark"))  # one row
@@ -37,7 +76,8 @@ def signal_runtime_actions(spark, sf):
     return L.runtime(decided, F.col("mark"), 6 * 3600)
 
 
-@query("location_interactions")
+@query("location_interactions", f"""WITH RECURSIVE {_OBS} SELECT de.instrument, de.ts, event, episode_id, ended_episode_id, adverse, favourable, changed, ob.direction, de.instrument || '|own' AS cluster_ids,
+  CASE WHEN hour(de.ts) % 2 = 0 THEN de.instrument || '|own' END AS selected_cluster, 'location_' || event AS reason FROM de JOIN ob USING (instrument, ts) WHERE episode_id IS NOT NULL""")
 def location_interactions(spark, sf):
     rows = observations(spark, sf)
     other = F.when(F.col("direction") == "LONG", "SHORT").otherwise("LONG")

@@ -109,30 +109,3 @@ def operational_ledger(spark, sf):
     C.append_ledger(rows.where(F.col("sequence") <= middle), path, spark)
     C.append_ledger(rows, path, spark)
     return spark.read.schema(rows.schema).parquet(path)
-
-
-@query("stream_hourly_bars", f"WITH {BAR} SELECT instrument, open_ts, {dbl('open', 'high', 'low', 'close', 'volume')}, n_trades FROM bar")
-def stream_hourly_bars(spark, sf):
-    path = shared(spark, "stream-bars")
-    R.drain(R.bar_stream(R.event_stream(spark, f"{sf}/event*.parquet"), 3600, "1 hour"), path, "complete")
-    return doubles(spark.read.parquet(path), "open", "high", "low", "close", "volume")
-
-
-@query("stream_ledger", """WITH s AS (SELECT event_type || '|' || user_id AS key, event_id AS seq, (event_id % 3)::VARCHAR AS payload FROM events), f AS (SELECT *, first(payload) OVER (PARTITION BY key ORDER BY seq) AS p, row_number() OVER (PARTITION BY key ORDER BY seq) AS r FROM s)
-SELECT key, seq, CASE WHEN r = 1 THEN 'ACCEPTED' WHEN payload = p THEN 'DUPLICATE' ELSE 'CONFLICT' END AS status FROM f""")
-def stream_ledger(spark, sf):
-    path = shared(spark, "stream-ledger")
-    raw = spark.readStream.schema(R.EVENTS).parquet(f"{sf}/event*.parquet")
-    rows = raw.select(F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("string").alias("payload"))
-    R.drain(R.ledger_stream(rows), path)
-    return spark.read.parquet(path).select("key", "seq", "status")
-
-
-@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
-def stream_dedupe(spark, sf):
-    path = shared(spark, "stream-dedupe")
-    raw = spark.readStream.schema(R.EVENTS).parquet(f"{sf}/event*.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    R.drain(R.dedupe_stream(raw, ["user_id", "event_type"], "ts", "60 days"), path)
-    return spark.read.parquet(path).select("user_id", "event_type")
-
-
