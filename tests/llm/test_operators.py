@@ -703,3 +703,31 @@ def test_named_sources_keep_their_queue_among_many(spark, work):
     assert {x.doc_id for x in got if x.queue == "big"} == {i for i in range(60) if i % 2} and len({x.queue for x in got}) <= 8
     with pytest.raises(ValueError):
         packing.pack(frame(spark, rows), work, weights={f"s{i}": 1.0 for i in range(8)}, max_queues=8)
+
+
+@pytest.mark.parametrize(("values", "documents"), [(3, 600), (4, 600)])
+def test_variants_of_a_form_letter_meet(spark, work, values, documents):
+    """Every seed is in dozens of texts, and two variants differ every eight words: no link is lost for that."""
+    import numpy as np
+
+    r = random.Random(values)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    fixed, letters = say(64), []
+    for f in range(documents // 2):
+        one = [r.randrange(values) if i % 2 == 0 else -1 for i in range(64)]
+        two = [(v + 1) % values if i % 8 == 6 else v for i, v in enumerate(one)]
+        letters += [one, two]
+    body = lambda slots: [fixed[i] if v < 0 else f"s{i}v{v}" for i, v in enumerate(slots)]
+    rows = [(d, " ".join(say(30) + body(slots) + say(30))) for d, slots in enumerate(letters)]
+    x = np.array(letters)
+    want = set()
+    for d in range(documents):
+        agree = np.cumsum(np.concatenate((np.zeros((d, 1), int), (x[:d] == x[d]).astype(int)), 1), 1)
+        want |= {(d, p) for p in np.flatnonzero((agree[:, 50:] - agree[:, :-50]).max(1) >= 40).tolist()} if d else set()
+    found = {(g.doc_id, g.partner_id) for g in chaining.fuzzy_passages(frame(spark, rows).repartition(3), work).collect()}
+    named = {d for p in want for d in p}
+    assert named <= {d for p in found for d in p}
+    assert {(2 * f + 1, 2 * f) for f in range(documents // 2)} <= want
+    recall = len(want & found) / len(want)
+    print(values, len(want), recall)
+    assert recall >= 0.9
