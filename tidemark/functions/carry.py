@@ -4,7 +4,7 @@ Market keys are few and large, so a window or a fold by instrument alone would p
 here work inside (key, time bucket) and pass only a bounded summary from bucket to bucket:
 
 * ``with_halo``: windows that look back a bounded number of rows see copies of the last rows of earlier buckets;
-* ``running``: running sums and last known values are completed by one carried row per bucket;
+* ``running``, ``previous``, ``peak_before``: running sums, the row before and running maxima are completed by one carried row per bucket;
 * ``carried``: a fold over the one summary row per bucket, with the state as its only memory;
 * ``sorted_fold``: a general fold in one pass over sorted rows, for rules that neither of the others can express.
 """
@@ -75,6 +75,29 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return out.drop("_b", *(f"_own_{n}" for n in sums), *(f"_all_{n}" for n in sums))
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], bucket: Column | None = None) -> DataFrame:
+    """``df`` with the ``values`` of the key's row before (null for the first one): a lag inside the bucket, and for its first row the last row of
+    the buckets before.  The input is planned twice, once for one row a bucket.  ``bucket`` must not fall along the order; a day of order[0] by default."""
+    rows = df.withColumns({"_b": bucket_of(order[0]) if bucket is None else bucket, "_own": F.struct(*(c.alias(n) for n, c in values.items()))})
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by("_own", F.struct(*order)).alias("_end"))
+    past = Window.partitionBy(*keys).orderBy("_b")
+    ends = ends.select(*keys, "_b", F.lag("_end").over(past).alias("_end"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    out = rows.withColumns({"_before": F.lag("_own").over(inside), "_first": F.row_number().over(inside) == 1}).join(ends, [*keys, "_b"])
+    last = F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_before"))
+    return out.withColumns({n: last[n] for n in values}).drop("_b", "_own", "_before", "_first", "_end")
+
+
+def peak_before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column) -> DataFrame:
+    """``df`` with the largest ``value`` of the key's rows before each: inside the bucket, or of the buckets before."""
+    rows = df.withColumns({"_b": bucket_of(order[0]), "_own": value})
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_b").agg(F.max("_own").alias("_top")).select(*keys, "_b", F.max("_top").over(past).alias("_top"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.max("_own").over(inside)).join(tops, [*keys, "_b"])
+    return out.withColumn(name, F.greatest(name, "_top")).drop("_b", "_own", "_top")
+
+
 def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island") -> DataFrame:
     """Number the runs of rows whose start equals the previous row's end."""
     w = Window.partitionBy(*keys, "_b").orderBy(start)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.carry import running, sorted_fold, with_halo, without_halo
+from tidemark.functions.carry import peak_before, previous, running, sorted_fold, with_halo, without_halo
 from tidemark.functions.timeops import PRICE, last_before, micros
 
 
 def classify_trades(trades: DataFrame, quotes: DataFrame, max_age_seconds: int) -> DataFrame:
     """Side of each trade against the latest quote at or before it, else by the tick rule; every miss has a reason."""
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    seen = last_before(trades.withColumn("prev", F.lag("price").over(w)), quotes.select("instrument", "ts", "seq", "bid", "ask"), "instrument", "ts", "seq", "quote")
+    seen = last_before(previous(trades, ["instrument"], ["ts", "seq"], {"prev": F.col("price")}), quotes.select("instrument", "ts", "seq", "bid", "ask"), "instrument", "ts", "seq", "quote")
     age = micros(F.col("ts")) - micros(F.col("quote.ts"))
     fresh = F.col("quote").isNotNull() & (age <= max_age_seconds * 1_000_000)
     reason = (
@@ -52,9 +51,8 @@ def cumulative_delta(classified: DataFrame, session: Column) -> DataFrame:
 
 def sequence_gaps(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Missing sequence numbers: those between the highest seen so far and a jump above it."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    top = F.max("seq").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return trades.withColumn("gap", F.when(F.col("seq") > top + 1, F.col("seq") - top - 1).otherwise(F.lit(0))).groupBy(*keys).agg(F.sum("gap").alias("missing"), F.sum((F.col("gap") > 0).cast("long")).alias("jumps"))
+    top = F.col("_top_seq")
+    return peak_before(trades, keys, ["ts", "seq"], "_top_seq", F.col("seq")).withColumn("gap", F.when(F.col("seq") > top + 1, F.col("seq") - top - 1).otherwise(F.lit(0))).groupBy(*keys).agg(F.sum("gap").alias("missing"), F.sum((F.col("gap") > 0).cast("long")).alias("jumps"))
 
 
 def large_trade_clusters(classified: DataFrame, window_ms: int, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.carry import running, sorted_fold, with_halo, with_time_halo, without_halo
+from tidemark.functions.carry import previous, running, sorted_fold, with_halo, with_time_halo, without_halo
 from tidemark.functions.timeops import merged_intervals, micros
 
 
@@ -200,10 +200,10 @@ def rate_suppressed(quotes: DataFrame, min_ms: int) -> DataFrame:
 
 
 def changed_only(df: DataFrame, key: str, order: str, signature: list[str]) -> DataFrame:
-    """Rows whose signature differs from the row before (nulls are values)."""
+    """Rows whose signature differs from the row before (nulls are values); ``order`` is a time."""
     sig = F.struct(*signature)
-    w = Window.partitionBy(key).orderBy(order)
-    return df.where(F.lit(True)).withColumn("_s", F.lag(sig).over(w)).withColumn("_first", F.row_number().over(w) == 1).where(F.col("_first") | ~sig.eqNullSafe(F.col("_s"))).drop("_s", "_first")
+    rows = previous(df, [key], [order], {"_s": sig, "_seen": F.lit(True)})
+    return rows.where(F.col("_seen").isNull() | ~sig.eqNullSafe(F.col("_s"))).drop("_s", "_seen")
 
 
 def with_utc_session(bars: DataFrame) -> DataFrame:

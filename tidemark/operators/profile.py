@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def profile_bins(bars: DataFrame, keys: list[str], bin_size: int) -> DataFrame:
-    """Each bar's volume spread evenly over the bins from its low to its high; the last bin takes the rounding rest."""
+    """Each bar's volume spread evenly over the bins from the floor of its low to the ceiling of its high, both included; the last bin takes the rounding rest."""
     lo = F.floor(F.col("low") / bin_size).cast("long")
-    hi = F.greatest(F.ceil(F.col("high") / bin_size).cast("long") - 1, lo)
+    hi = F.ceil(F.col("high") / bin_size).cast("long")
     n = (hi - lo + 1).cast("int")
     share = F.round(F.col("volume").cast("double") / n, 6).cast("decimal(18,6)")
     rows = bars.select(*keys, n.alias("_n"), share.alias("_s"), F.col("volume").alias("_v"), F.posexplode(F.sequence(lo, hi)).alias("_i", "bin"))
@@ -32,7 +32,10 @@ def value_area(bins: DataFrame, keys: list[str], share: float = 0.7) -> DataFram
 
 
 def profile_location(closes: DataFrame, bin_size: int) -> DataFrame:
-    """Region of a close against its profile and its score."""
-    c, hi = F.col("close").cast("double"), F.col("value_area_high") + bin_size
-    region = F.when(c > hi, "above_value").when(c < F.col("value_area_low"), "below_value").when(c >= F.col("poc"), "upper_value").otherwise("lower_value")
-    return closes.withColumn("region", region).withColumn("score", F.when(region == "above_value", 2).when(region == "upper_value", 1).when(region == "lower_value", -1).otherwise(-2))
+    """Region of a close against its profile and its score: outside the value area, within half a bin of the point of control, or either part between."""
+    c = F.col("close").cast("double")
+    region = (
+        F.when(c < F.col("value_area_low"), "below_value").when(c > F.col("value_area_high"), "above_value").when(F.abs(c - F.col("poc")) <= bin_size / 2, "at_poc")
+        .when(c < F.col("poc"), "lower_value").otherwise("upper_value"))
+    score = F.when(region == "above_value", 2).when(region == "upper_value", 1).when(region == "at_poc", 0).when(region == "lower_value", -1).otherwise(-2)
+    return closes.withColumn("region", region).withColumn("score", score)

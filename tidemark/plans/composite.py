@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
-from tidemark.functions.carry import islands
+from tidemark.functions.carry import islands, peak_before, previous, running, with_halo, without_halo
 from tidemark.operators import indicators as I
 from tidemark.operators import joins as J
 from tidemark.operators import machines as Z
@@ -157,16 +157,20 @@ def bar_impulse_confirmation(spark, sf):
 
 @query("resource_cpu_percent", f"WITH {TR}, c AS (SELECT instrument, ts, sum(size::DOUBLE) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS cpu, seq FROM tr), p AS (SELECT *, lag(cpu) OVER w AS pc, lag(ts) OVER w AS pt FROM c WINDOW w AS (PARTITION BY instrument ORDER BY ts, seq)) SELECT instrument, seq, round(CASE WHEN pt IS NOT NULL AND ts > pt THEN 100 * (cpu - pc) / (epoch_us(ts) - epoch_us(pt)) * 1e6 END, 4) AS cpu_percent FROM p")
 def resource_cpu_percent(spark, sf):
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    c = S.trades(spark, sf).withColumn("cpu", F.sum(F.col("size").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    dt = T.micros(F.col("ts")) - T.micros(F.lag("ts").over(w))
-    return c.select("instrument", "seq", F.round(F.when(dt > 0, 100 * (F.col("cpu") - F.lag("cpu").over(w)) / dt * 1e6), 4).alias("cpu_percent"))
+    key, order = ["instrument"], ["ts", "seq"]
+    c = running(S.trades(spark, sf), key, order, {"cpu": F.col("size")}).withColumn("cpu", F.col("cpu").cast("double"))
+    c = previous(c, key, order, {"cpu_before": F.col("cpu"), "before": F.col("ts")})
+    dt = T.micros(F.col("ts")) - T.micros(F.col("before"))
+    return c.select("instrument", "seq", F.round(F.when(dt > 0, 100 * (F.col("cpu") - F.col("cpu_before")) / dt * 1e6), 4).alias("cpu_percent"))
 
 
 @query("rss_growth_window", f"WITH {TR} SELECT instrument, seq, (price - first(price) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))::DOUBLE AS growth, max(price) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS peak FROM tr")
 def rss_growth_window(spark, sf):
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    return S.trades(spark, sf).select("instrument", "seq", (F.col("price") - F.first("price").over(w.rowsBetween(-4, 0))).cast("double").alias("growth"), F.max("price").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("peak"))
+    key, order = ["instrument"], ["ts", "seq"]
+    t = peak_before(S.trades(spark, sf).select("instrument", "ts", "seq", "price"), key, order, "top", F.col("price"))
+    w = Window.partitionBy("instrument", "_b").orderBy("ts", "seq")
+    t = without_halo(with_halo(t, key, order, 4).withColumn("oldest", F.first("price").over(w.rowsBetween(-4, 0))))
+    return t.select("instrument", "seq", (F.col("price") - F.col("oldest")).cast("double").alias("growth"), F.greatest("price", "top").cast("double").alias("peak"))
 
 
 _HEALTH = {("starting", "click"): "ready", ("ready", "error"): "degraded", ("degraded", "error"): "failed", ("degraded", "view"): "ready", ("failed", "signup"): "starting"}

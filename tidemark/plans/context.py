@@ -79,7 +79,7 @@ def range_position(spark, sf):
     return I.range_position(_bars(spark, sf)).select("instrument", "open_ts", "range_position")
 
 
-_PROF = BAR + """, sp AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS session, volume AS v, floor(low / 5)::BIGINT AS lo, greatest(ceil(high / 5)::BIGINT - 1, floor(low / 5)::BIGINT) AS hi FROM bar {where}),
+_PROF = BAR + """, sp AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS session, volume AS v, floor(low / 5)::BIGINT AS lo, ceil(high / 5)::BIGINT AS hi FROM bar {where}),
 ex AS (SELECT instrument, session, v, hi - lo + 1 AS n, unnest(range(lo, hi + 1)) AS bin, hi FROM sp),
 bins AS (SELECT {keys}, bin * 5 AS price, sum(CASE WHEN bin = hi THEN v - CAST(round(v::DOUBLE / n, 6) AS DECIMAL(18,6)) * (n - 1) ELSE CAST(round(v::DOUBLE / n, 6) AS DECIMAL(18,6)) END)::DOUBLE AS volume FROM ex GROUP BY ALL)"""
 _AREA = """, pk AS (SELECT {keys}, list(price ORDER BY price) AS ps, list(volume ORDER BY price) AS vs, sum(volume::DECIMAL(18,6))::DOUBLE AS total, arg_max(price, (volume, price)) AS poc FROM bins GROUP BY ALL),
@@ -106,8 +106,8 @@ def composite_value_area(spark, sf):
 
 
 @query("profile_location", f"""WITH RECURSIVE {_PROF.format(keys='instrument, session', where='')}{_AREA.format(keys='instrument, session')}, c AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS session, arg_max(close, open_ts)::DOUBLE AS close FROM bar GROUP BY ALL),
-r AS (SELECT instrument, session, close, CASE WHEN close > value_area_high + 5 THEN 'above_value' WHEN close < value_area_low THEN 'below_value' WHEN close >= poc THEN 'upper_value' ELSE 'lower_value' END AS region FROM c JOIN area USING (instrument, session))
-SELECT *, CASE region WHEN 'above_value' THEN 2 WHEN 'upper_value' THEN 1 WHEN 'lower_value' THEN -1 ELSE -2 END AS score FROM r""")
+r AS (SELECT instrument, session, close, CASE WHEN close < value_area_low THEN 'below_value' WHEN close > value_area_high THEN 'above_value' WHEN abs(close - poc) <= 2.5 THEN 'at_poc' WHEN close < poc THEN 'lower_value' ELSE 'upper_value' END AS region FROM c JOIN area USING (instrument, session))
+SELECT *, CASE region WHEN 'above_value' THEN 2 WHEN 'upper_value' THEN 1 WHEN 'at_poc' THEN 0 WHEN 'lower_value' THEN -1 ELSE -2 END AS score FROM r""")
 def profile_location(spark, sf):
     bars, keys = _bars(spark, sf), ["instrument", "session"]
     closes = bars.groupBy(*keys).agg(F.max_by("close", "open_ts").cast("double").alias("close"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeops as T
-from tidemark.functions.carry import islands
+from tidemark.functions.carry import islands, previous
 from tidemark.operators import indicators as I
 from tidemark.operators import measurements as M
 from tidemark.operators import signals as G
@@ -90,8 +90,8 @@ _GAP = f"WITH RECURSIVE {TR}, g AS (SELECT instrument, seq, epoch(ts - lag(ts) O
 
 
 def _profiles(spark, sf):
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    g = S.trades(spark, sf).select("instrument", "seq", ((T.micros(F.col("ts")) - T.micros(F.lag("ts").over(w))) / 1e6).alias("x")).where("x IS NOT NULL")
+    t = previous(S.trades(spark, sf), ["instrument"], ["ts", "seq"], {"before": F.col("ts")})
+    g = t.select("instrument", "seq", ((T.micros(F.col("ts")) - T.micros(F.col("before"))) / 1e6).alias("x")).where("x IS NOT NULL")
     return G.recency(g, "instrument", "seq", "x").withColumn("mean", F.round("mean", 3)).withColumn("variance", F.round("variance", 2))
 
 
@@ -109,9 +109,8 @@ def evidence_thresholds(spark, sf):
 @query("evidence_assessment", f"""WITH {TR}, a AS (SELECT instrument, ts, seq, epoch(ts - lag(ts) OVER (PARTITION BY instrument ORDER BY ts, seq)) AS age FROM tr)
 SELECT instrument, ts, seq, CASE WHEN hour(ts) < 2 THEN 'DORMANT' WHEN seq % 17 = 0 THEN 'UNAVAILABLE' WHEN age IS NULL THEN 'NOT_EVALUATED' WHEN age <= 600 THEN 'HEALTHY' WHEN age <= 1800 THEN 'DEGRADED' WHEN age <= 5400 THEN 'STALE' ELSE 'UNAVAILABLE' END AS state FROM a""")
 def evidence_assessment(spark, sf):
-    w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    age = (T.micros(F.col("ts")) - T.micros(F.lag("ts").over(w))) / 1e6
-    a = S.trades(spark, sf).withColumn("age", age)
+    age = (T.micros(F.col("ts")) - T.micros(F.col("before"))) / 1e6
+    a = previous(S.trades(spark, sf), ["instrument"], ["ts", "seq"], {"before": F.col("ts")}).withColumn("age", age)
     return a.select("instrument", "ts", "seq", G.assess_evidence(F.col("age"), F.col("seq") % 17 != 0, F.hour("ts") >= 2, 600, 1800, 5400).alias("state"))
 
 

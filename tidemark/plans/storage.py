@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 from tidemark.plans.catalog import BAR, TR, dbl, doubles, query
 from tidemark.sources import adapters as S
 from tidemark.sources import catalog as C
-from tidemark.streaming import bars as R
+from tidemark.sources import commits, footers
 
 
 def shared(spark, name: str) -> str:
@@ -87,7 +87,38 @@ def latest_feature_variants(spark, sf):
 
 @query("event_bounds", "SELECT min(ts) AS first, max(ts) AS last FROM events")
 def event_bounds(spark, sf):
-    return C.event_bounds(spark, f"{sf}/events.parquet")
+    """Out of the footers; no column is read where they have bounds."""
+    return footers.file_bounds(spark, f"{sf}/events.parquet", "ts").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+@query("committed_units", """SELECT 'orders' AS tbl, o_orderstatus AS unit, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL
+UNION ALL SELECT 'customers', o_orderstatus, count(DISTINCT o_custkey), NULL FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL""")
+def committed_units(spark, sf):
+    """Two tables in one unit per order status.  The unit of P is written but never committed, that of F is written twice."""
+    orders = S.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    customers = orders.groupBy("o_custkey", "o_orderstatus").agg(F.max("ts").alias("ts"))
+    ddl = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    log = commits.CommitLog(spark, shared(spark, "units"), {"orders": (ddl(orders), "ts"), "customers": (ddl(customers), "ts")})
+    for unit in ("F", "O", "P"):
+        mine = F.col("o_orderstatus") == unit
+        log.stage(unit, {"orders": orders.where(mine).limit(1), "customers": customers.where(mine)})  # a try that stops here
+        if unit != "P":
+            log.write(unit, {"orders": orders.where(mine), "customers": customers.where(mine)})
+    log.write("F", {"orders": orders, "customers": customers})  # committed already: nothing
+    count = F.count(F.lit(1)).alias("n")
+    sums = log.read("orders").groupBy(F.lit("orders").alias("tbl"), F.col("o_orderstatus").alias("unit")).agg(count, F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("total"))
+    return sums.unionByName(log.read("customers").groupBy(F.lit("customers").alias("tbl"), F.col("o_orderstatus").alias("unit")).agg(count, F.lit(None).cast("double").alias("total")))
+
+
+@query("overlapping_appends", f"WITH {BAR} SELECT instrument, open_ts, close::DOUBLE AS close FROM bar")
+def overlapping_appends(spark, sf):
+    """Bars in four batches, each of which begins before the one before ends; a row that is stored is not written again."""
+    bars = S.hourly_bars(spark, sf).select("instrument", "open_ts", F.col("close").cast("double").alias("close"))
+    log = commits.CommitLog(spark, shared(spark, "appends"), {"bars": ("instrument string, open_ts timestamp_ntz, close double", "open_ts")})
+    day = F.dayofmonth("open_ts")
+    for i in range(4):
+        log.append_new(str(i), "bars", bars.where((day >= 8 * i - 2) & ((day < 8 * (i + 1)) | F.lit(i == 3))), ["instrument", "open_ts"])
+    return log.read("bars")
 
 
 @query("screenshot_names", """WITH n AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H%M%S') || '_' || upper(event_type) || '_5m_' || CASE WHEN user_id % 2 = 0 THEN 'long' WHEN user_id % 3 = 0 THEN 'flat' ELSE 'short' END || '_break-out.png' AS name, ts, event_type, user_id FROM events),
