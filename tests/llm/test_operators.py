@@ -731,3 +731,22 @@ def test_variants_of_a_form_letter_meet(spark, work, values, documents):
     recall = len(want & found) / len(want)
     print(values, len(want), recall)
     assert recall >= 0.9
+
+
+def test_the_url_sql_resolves_and_votes_like_the_code(spark, tmp_path):
+    import duckdb
+
+    link = lambda to: f"<link rel=canonical href='{to}'>"
+    refresh = lambda to: f'<META http-equiv="refresh" content="0; URL={to}">'
+    targets = ["/fr/a", "../fr/./b", "./c?x=1&amp;y=2", "d/../../e/..", "..", ".", "?q=1", "#top", "//cdn.NET/es/z", "http://other.org/es/k#f", "HTTP://a.net/fr/1", "mailto:x", "a//b/../c", "/../../x/.", "e.html", "javascript:void(0)"]
+    rows = [(i, f"http://site{i % 3}.org/dir/sub/page{i}.html", "<p>" + (link if i % 2 else refresh)(t)) for i, t in enumerate(targets)]
+    rows += [(100, "http://a.org/x", link("http://hidden.org/1")), (101, "http://b.org/x", link("http://hidden.org/1") + refresh("http://gone.net/es/1")), (102, "http://c.org/y", link("http://gone.net/es/2") + link("http://www.example.com/en/1")), (103, None, link("/a")), (104, "no scheme", None), (105, "http://d.org/dir/sub/page.html?a=1", refresh("?a=2")), (106, "http://d.org/dir/sub/page.html?a=2", link("http://x.net/fr/9"))]
+    rows += [(200 + i, f"http://site{i % 3}.org/{p}", None) for i, p in enumerate(["fr/a", "dir/fr/b", "dir/sub/c?x=1&y=2", "dir/", "dir/sub/", "dir", "e/", "dir/sub/a/c", "x/"])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(map(repr, (tuple(r) for r in urls.filter_urls(df, urls.rule_table(spark)).select(*columns).collect())))
+    assert got == sorted(map(repr, con.sql(urls.ORACLE).select(", ".join(columns)).fetchall()))
+    assert sum("'block'" in g for g in got) > 3

@@ -141,17 +141,25 @@ b AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url
 p AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
 n AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node FROM p),
-k AS (SELECT DISTINCT host, path, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(verdict, (length(rh || rp), length(rh))) AS verdict
-      FROM (SELECT DISTINCT host, path FROM n), r
-      WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
-tag AS (SELECT node AS u, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM n WHERE node IS NOT NULL),
-tgt AS (SELECT u, host, CASE WHEN regexp_matches(t, '(?is)^<link') AND regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+tag AS (SELECT node AS u, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM n WHERE node IS NOT NULL),
+tgt AS (SELECT u, host, path, CASE WHEN regexp_matches(t, '(?is)^<link') AND regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
                         WHEN regexp_matches(t, '(?is)^<meta') AND regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS x FROM tag),
-ab AS (SELECT u, CASE WHEN starts_with(x, '//') THEN substr(x, 3) WHEN starts_with(x, '/') THEN host || x WHEN instr(x, '://') > 0 THEN substr(x, instr(x, '://') + 3) END AS y FROM tgt WHERE x IS NOT NULL AND x <> ''),
+ref AS (SELECT u, host, path, x, regexp_extract(x, '^([^?#]*)', 1) AS xp, regexp_extract(regexp_extract(x, '^([^#]*)', 1), '^[^?]*(.*)$', 1) AS xq
+        FROM (SELECT u, host, path, regexp_replace(x, '(?i)&(amp|#38|#x26);', '&', 'g') AS x FROM tgt) WHERE x IS NOT NULL AND x <> ''),
+raw AS (SELECT *, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN CASE WHEN instr(x, '://') > 0 THEN substr(x, instr(x, '://') + 3) END WHEN starts_with(x, '//') THEN substr(x, 3) END AS far,
+          regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:') OR starts_with(x, '//') AS is_far,
+          CASE WHEN starts_with(xp, '/') THEN xp WHEN xp <> '' THEN '/' || regexp_extract(path, '^/(.*/)?[^/]*$', 1) || xp WHEN xq <> '' THEN path END AS near, xp = '' AS same_path FROM ref),
+dot AS (SELECT *, list_reduce(list_prepend('', string_split(near, '/')[2:]), lambda acc, s: CASE s WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || s END) AS bare,
+          string_split(near, '/')[-1] IN ('.', '..') AS ends_in_dots FROM raw),
+ab AS (SELECT u, CASE WHEN is_far THEN far WHEN near IS NOT NULL THEN host || CASE WHEN same_path OR instr(near, '/.') = 0 THEN near WHEN bare = '' THEN '/' ELSE bare || CASE WHEN ends_in_dots THEN '/' ELSE '' END END || xq END AS y FROM dot),
 e AS (SELECT u, translate(regexp_extract(y, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(y, '^[^/?#]*([^#]*)', 1) AS v FROM ab WHERE y IS NOT NULL AND regexp_extract(y, '^([^/?#]*)', 1) <> ''),
 e2 AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+place AS (SELECT DISTINCT u AS node, regexp_extract(u, '^([^/?#]*)', 1) AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM e2),
+k AS (SELECT host, path, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(verdict, (length(rh || rp), length(rh))) AS verdict
+      FROM (SELECT host, path FROM n UNION SELECT host, path FROM place), r
+      WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
 reach AS (SELECT u AS a, u AS b FROM e2 UNION SELECT reach.a, e2.v FROM reach JOIN e2 ON reach.b = e2.u),
-votes AS (SELECT reach.a, bool_or(k.verdict = 'allow') AS allowed FROM reach JOIN n ON n.node = reach.b JOIN k ON k.host = n.host AND k.path = n.path GROUP BY reach.a)
+votes AS (SELECT reach.a, bool_or(k.verdict = 'allow') AS allowed FROM reach JOIN place ON place.node = reach.b JOIN k ON k.host = place.host AND k.path = place.path GROUP BY reach.a)
 SELECT n.page_id, n.host, n.path, k.rule, coalesce(k.verdict, CASE WHEN v.allowed THEN 'allow' WHEN NOT v.allowed THEN 'block' END, 'allow') AS verdict
 FROM n LEFT JOIN k ON k.host = n.host AND k.path = n.path LEFT JOIN votes v ON v.a = n.node
 """
