@@ -66,3 +66,19 @@ def test_queries_match_their_sql(spark, name):
     assert order == sorted(rel.columns)
     want = sorted(map(repr, rel.select(*(f'"{c}"' for c in order)).fetchall()))
     assert sorted(map(repr, (tuple(r) for r in df.select(*order).collect()))) == want
+
+
+def test_near_duplicates_keep_every_text_of_an_id(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    a, b, c, d = (say(120) for _ in range(4))
+    near = c.split(" ")
+    near[60] = "changed"
+    rows = [(5, a), (5, b), (5, a), (6, c), (7, " ".join(near)), (8, b), (9, d), (9, d), (9, " ".join(near)), (None, a), (None, None), (10, None), (10, ""), (11, "")]
+    clash = spark.createDataFrame([(i, t, "en", f"s{k % 2}", k, k, "x", 1.0) for k, (i, t) in enumerate(rows)], COLUMNS + ", node bigint, count string, r double").repartition(3)
+    for _ in range(2):
+        got = corpus_pipeline.near_duplicates(spark, clash, "").collect()
+        kept = sorted(((x.doc_id is None, x.doc_id or 0), x.text or "") for x in got)
+        assert kept == sorted(((i is None, i or 0), t or "") for i, t in [(5, a), (6, c), (8, b), (9, d), (None, a), (None, None), (10, None), (10, ""), (11, "")])
+        assert next(x.n_chars for x in got if x.doc_id == 9) == 6  # of equal rows the least
+        assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
