@@ -12,33 +12,25 @@ from tidemark.functions.timeops import micros
 def ema(bars: DataFrame, periods: list[int], bucket_seconds: int = 86_400) -> DataFrame:
     """Exponential averages of the close, seeded by the first close, published from the period-th bar on.
 
-    The recurrence is linear, so each (instrument, time bucket) folds to a decay and an offset, a fold over these summaries
-    carries the averages from bucket to bucket, and a second fold inside the bucket gives every bar's value: no task holds an
-    instrument's history."""
+    The recurrence is linear.  Inside an (instrument, time bucket) the i-th value is d**i times a running sum of close * d**-i, with d the decay,
+    plus d**i times the value before the bucket; a fold over one row a bucket carries these, so no task holds an instrument's history.  A
+    bucket may hold some thousands of bars (a day of minutes is 1,440) before d**-i leaves the range of a double."""
+    inside = Window.partitionBy("instrument", "_b").orderBy("open_ts")
     rows = bars.select("instrument", "open_ts", F.col("close").cast("double").alias("close")).withColumn("_b", bucket_of("open_ts", bucket_seconds))
-    packs = rows.groupBy("instrument", "_b").agg(F.sort_array(F.collect_list(F.struct("open_ts", "close"))).alias("_x"))
-
-    def offset(a: float) -> Column:
-        return F.aggregate("_x", F.lit(0.0), lambda e, x: x["close"] * a + e * (1 - a))
-
-    alphas = [2.0 / (p + 1) for p in periods]
-    sums = packs.select("instrument", "_b", F.size("_x").alias("n"), F.col("_x")[0]["close"].alias("seed"), *(offset(a).alias(f"o{p}") for a, p in zip(alphas, periods, strict=True)))
+    rows = rows.withColumn("_i", F.row_number().over(inside))
+    decay = {p: 1 - 2.0 / (p + 1) for p in periods}
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_o{p}": (1 - d) * F.pow(F.lit(d), F.col("_i")) * F.sum(F.col("close") * F.pow(F.lit(d), -F.col("_i"))).over(so_far) for p, d in decay.items()})
+    sums = rows.groupBy("instrument", "_b").agg(F.count(F.lit(1)).alias("n"), F.min_by("close", "_i").alias("seed"), *(F.max_by(f"_o{p}", "_i").alias(f"o{p}") for p in periods))
     state = ", ".join(["_n bigint", *(f"_e{p} double" for p in periods)])
     carry = carried(
         sums, ["instrument"], "_b", f"instrument string, _b bigint, {state}",
-        lambda r: (0, *(r[3] for _ in alphas)),
-        lambda s, r: (s[0] + r[2], *(r[4 + i] + s[1 + i] * (1 - a) ** r[2] for i, a in enumerate(alphas))),
+        lambda r: (0, *(r[3] for _ in periods)),
+        lambda s, r: (s[0] + r[2], *(r[4 + k] + s[1 + k] * decay[p] ** r[2] for k, p in enumerate(periods))),
     )
-    packs = packs.join(carry, ["instrument", "_b"])
-    start = F.struct(*(F.col(f"_e{p}").alias(f"e{p}") for p in periods), F.array().cast("array<struct<" + ",".join(f"ema{p}:double" for p in periods) + ">>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = {p: x["close"] * (2.0 / (p + 1)) + acc[f"e{p}"] * (1 - 2.0 / (p + 1)) for p in periods}
-        return F.struct(*(new[p].alias(f"e{p}") for p in periods), F.concat(acc["out"], F.array(F.struct(*(new[p].alias(f"ema{p}") for p in periods)))).alias("out"))
-
-    out = packs.withColumn("_r", F.aggregate("_x", start, step)["out"]).select("instrument", "_n", F.posexplode(F.arrays_zip("_x", "_r")).alias("_i", "_v"))
-    count = F.col("_n") + F.col("_i") + 1
-    return out.select("instrument", F.col("_v._x.open_ts").alias("open_ts"), F.col("_v._x.close").alias("close"), *(F.round(F.when(count >= p, F.col(f"_v._r.ema{p}")), 6).alias(f"ema{p}") for p in periods))
+    value = lambda p: F.col(f"_o{p}") + F.col(f"_e{p}") * F.pow(F.lit(decay[p]), F.col("_i"))
+    out, count = rows.join(carry, ["instrument", "_b"]), F.col("_n") + F.col("_i")
+    return out.select("instrument", "open_ts", "close", *(F.round(F.when(count >= p, value(p)), 6).alias(f"ema{p}") for p in periods))
 
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:

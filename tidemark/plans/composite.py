@@ -72,9 +72,13 @@ def chart_dataset(spark, sf):
     return doubles(I.atr(bars).join(F.broadcast(best), "instrument", "left_semi").orderBy(F.desc("open_ts")).limit(120).select("instrument", "open_ts", "open", "high", "low", "close", "atr"), "open", "high", "low", "close")
 
 
-@query("eligible_bars", f"""WITH {BAR} SELECT instrument, open_ts, close::DOUBLE AS close FROM bar WHERE instrument = 'view' AND n_trades > 1 AND open_ts >= TIMESTAMP '2024-01-05' AND close_ts <= TIMESTAMP '2024-01-06'""")
+@query("eligible_bars", f"""WITH {BAR}, l AS (SELECT date_trunc('day', max(ts))::TIMESTAMP AS day FROM events)
+SELECT instrument, open_ts, close::DOUBLE AS close FROM bar, l WHERE n_trades > 1 AND open_ts >= day - INTERVAL 2 DAY AND close_ts <= day""")
 def eligible_bars(spark, sf):
-    b = S.hourly_bars(spark, sf).where("instrument = 'view' AND n_trades > 1 AND open_ts >= timestamp_ntz '2024-01-05 00:00:00' AND close_ts <= timestamp_ntz '2024-01-06 00:00:00'")
+    """Bars of more than one trade in the two whole days before the last one."""
+    last = S.table(spark, sf, "events").agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("day"))  # one row
+    inside = (F.col("open_ts") >= F.col("day") - F.expr("INTERVAL 2 DAYS")) & (F.col("close_ts") <= F.col("day"))
+    b = S.hourly_bars(spark, sf).where("n_trades > 1").crossJoin(F.broadcast(last)).where(inside)
     return doubles(b.select("instrument", "open_ts", "close"), "close")
 
 
@@ -299,6 +303,12 @@ def transition_notices(spark, sf):
     return J.point_in_time(t, {"c": ctx}).select("instrument", "ts", "from_state", "to_state", F.col("c_value").alias("context_close"))
 
 
-@query("metric_catalog")
+_METRICS = sorted((m.metric_id, m.version, m.unit) for m in default_registry().metrics.values())
+
+
+@query("metric_catalog", f"SELECT instrument, metric_id, version::BIGINT AS version, unit FROM (SELECT DISTINCT event_type AS instrument FROM events), (VALUES {', '.join(map(str, _METRICS))}) m(metric_id, version, unit)")
 def metric_catalog(spark, sf):
-    return default_registry().table(spark)
+    """The metrics that each instrument of the table is measured by."""
+    metric = F.explode(F.array(*(F.struct(F.lit(i).alias("metric_id"), F.lit(v).cast("long").alias("version"), F.lit(u).alias("unit")) for i, v, u in _METRICS)))
+    return S.trades(spark, sf).select("instrument").distinct().select("instrument", metric.alias("m")).select("instrument", "m.*")
+

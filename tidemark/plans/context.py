@@ -114,45 +114,47 @@ def profile_location(spark, sf):
     return P.profile_location(closes.join(P.value_area(P.profile_bins(bars, keys, 5), keys), keys), 5).select("instrument", "session", "close", "region", "score")
 
 
-_CAL = """d AS (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY)) AS trade_date),
+_CAL = """d AS (SELECT unnest(range((SELECT min(ts) FROM events)::DATE::TIMESTAMP, (SELECT max(ts) FROM events)::DATE::TIMESTAMP + INTERVAL 8 DAY, INTERVAL 1 DAY)) AS trade_date),
 cal AS (SELECT trade_date, 'PRE' AS phase, trade_date + INTERVAL 8 HOUR AS o, trade_date + INTERVAL '13:30:00' AS c FROM d WHERE isodow(trade_date) <= 5 UNION ALL SELECT trade_date, 'REGULAR', trade_date + INTERVAL '13:30:00', trade_date + INTERVAL 20 HOUR FROM d WHERE isodow(trade_date) <= 5
  UNION ALL SELECT trade_date, 'POST', trade_date + INTERVAL 20 HOUR, trade_date + INTERVAL '23:59:59' FROM d WHERE isodow(trade_date) <= 5)"""
 
 
-def _calendar(spark):
-    return K.phases(spark, "2024-01-01", "2024-01-31")
+def _calendar(spark, sf):
+    """Phases of the days that the events cover and of the week after."""
+    first, last = S.table(spark, sf, "events").agg(F.to_date(F.min("ts")), F.date_add(F.to_date(F.max("ts")), 7)).first()
+    return K.phases(spark, str(first), str(last))
 
 
 @query("session_calendar", f"WITH {_CAL} SELECT trade_date, phase, o AS open_ts, c AS close_ts FROM cal")
 def session_calendar(spark, sf):
-    return _calendar(spark)
+    return _calendar(spark, sf)
 
 
 @query("session_phase_of_events", f"WITH {_CAL} SELECT event_id, ts, trade_date, coalesce(phase, 'CLOSED') AS phase FROM events LEFT JOIN cal ON ts >= o AND ts < c")
 def session_phase_of_events(spark, sf):
-    return K.session_of(S.table(spark, sf, "events").select("event_id", "ts"), "ts", _calendar(spark))
+    return K.session_of(S.table(spark, sf, "events").select("event_id", "ts"), "ts", _calendar(spark, sf))
 
 
 @query("next_session_transition", f"WITH {_CAL}, m AS (SELECT DISTINCT unnest([o, c]) AS m FROM cal), e AS (SELECT event_id, ts FROM events) SELECT event_id, ts, m AS next_transition FROM e ASOF LEFT JOIN m ON e.ts < m.m")
 def next_session_transition(spark, sf):
-    return K.next_transition(S.table(spark, sf, "events").select("event_id", "ts"), "ts", _calendar(spark))
+    return K.next_transition(S.table(spark, sf, "events").select("event_id", "ts"), "ts", _calendar(spark, sf))
 
 
 @query("expected_opens", f"WITH {_CAL}, x AS (SELECT trade_date, unnest(range(o, c, INTERVAL 30 MINUTE)) AS open_ts FROM cal WHERE phase = 'REGULAR') SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY open_ts) AS ordinal FROM x")
 def expected_opens(spark, sf):
-    return K.expected_opens(_calendar(spark), 1800)
+    return K.expected_opens(_calendar(spark, sf), 1800)
 
 
 @query("retention_cutoff", f"WITH {_CAL} SELECT o AS cutoff FROM cal, (SELECT max(ts) - INTERVAL 5 DAY AS t FROM events) WHERE phase = 'REGULAR' AND c <= t ORDER BY o DESC LIMIT 1 OFFSET 4")
 def retention_cutoff(spark, sf):
     last = S.table(spark, sf, "events").agg((F.max("ts") - F.expr("INTERVAL 5 DAYS")).alias("t"))  # one row
-    return K.retention_cutoff(_calendar(spark).crossJoin(F.broadcast(last)), F.col("t"), 5)
+    return K.retention_cutoff(_calendar(spark, sf).crossJoin(F.broadcast(last)), F.col("t"), 5)
 
 
 @query("session_minus_breaks", f"""WITH {_CAL}, w AS (SELECT trade_date AS id, o, c FROM cal WHERE phase = 'REGULAR')
 SELECT id, o AS open_ts, id + INTERVAL 16 HOUR AS close_ts FROM w WHERE day(id) % 2 = 0 UNION ALL SELECT id, id + INTERVAL 17 HOUR, c FROM w WHERE day(id) % 2 = 0 UNION ALL SELECT id, o, c FROM w WHERE day(id) % 2 = 1""")
 def session_minus_breaks(spark, sf):
-    w = _calendar(spark).where("phase = 'REGULAR'").select(F.col("trade_date").alias("id"), "open_ts", "close_ts")
+    w = _calendar(spark, sf).where("phase = 'REGULAR'").select(F.col("trade_date").alias("id"), "open_ts", "close_ts")
     b = w.where(F.dayofmonth("id") % 2 == 0).select("id", (F.col("id") + F.expr("INTERVAL 16 HOURS")).alias("open_ts"), (F.col("id") + F.expr("INTERVAL 17 HOURS")).alias("close_ts"))
     return K.subtract(w, b)
 
@@ -162,7 +164,7 @@ k AS (SELECT trade_date, 'current_session' AS kind, o AS b, least(c, f) AS e FRO
  UNION ALL SELECT trade_date, 'to_close', c - INTERVAL 1 HOUR, least(c, f) FROM u UNION ALL SELECT trade_date, 'trailing', f - INTERVAL 1 HOUR, f FROM u)
 SELECT trade_date, kind, CASE WHEN e > b THEN b END AS start_ts, CASE WHEN e > b THEN e - INTERVAL 1 MICROSECOND END AS end_ts FROM k""")
 def historical_windows(spark, sf):
-    c = _calendar(spark).where("phase = 'REGULAR'")
+    c = _calendar(spark, sf).where("phase = 'REGULAR'")
     as_of = F.col("trade_date") + F.expr("INTERVAL '18:07' HOUR TO MINUTE")
     args = {"current_session": (0, 0), "whole_session": (0, 0), "from_open": (0, 900), "to_close": (0, 3600), "trailing": (0, 3600)}
     out = []

@@ -47,12 +47,12 @@ def annotation_interval_join(spark, sf):
     return J.interval_join(left, right, "user_id", 7200, 21600).select("event_id", "other_id", "user_id", ((T.micros(F.col("rts")) - T.micros(F.col("ts"))) / 1e6).alias("seconds"))
 
 
-@query("zone_overlap_join", f"""WITH {_SWING}, z AS (SELECT instrument, price - 60 AS lower, price + 60 AS upper, price FROM levels WHERE kind = 'support'), y AS (SELECT instrument, price - 2 AS rl, price AS ru, price AS rprice FROM levels WHERE kind = 'resistance' AND price < 170)
+@query("zone_overlap_join", f"""WITH {_SWING}, z AS (SELECT instrument, price - 60 AS lower, price + 60 AS upper, price FROM levels WHERE kind = 'support'), y AS (SELECT instrument, price - 2 AS rl, price AS ru, price AS rprice FROM levels WHERE kind = 'resistance')
 SELECT instrument, price::DOUBLE AS price, rprice::DOUBLE AS rprice FROM z JOIN y USING (instrument) WHERE lower <= ru AND upper >= rl""")
 def zone_overlap_join(spark, sf):
     levels = I.swing_levels(S.hourly_bars(spark, sf))
     z = levels.where("kind = 'support'").select("instrument", "price", (F.col("price") - 60).alias("lower"), (F.col("price") + 60).alias("upper"))
-    y = levels.where("kind = 'resistance' AND price < 170").select("instrument", F.col("price").alias("rprice"), (F.col("price") - 2).alias("rlower"), F.col("price").alias("rupper"))
+    y = levels.where("kind = 'resistance'").select("instrument", F.col("price").alias("rprice"), (F.col("price") - 2).alias("rlower"), F.col("price").alias("rupper"))
     return doubles(J.overlap_join(z, y, "instrument", 4.0).select("instrument", "price", "rprice"), "price", "rprice")
 
 
@@ -129,12 +129,15 @@ def event_reference_price(spark, sf):
     return out.select("instrument", "ts", "seq", F.when(fresh, F.col("b.close")).alias("reference"), F.when(F.col("b").isNull(), "no_bar").when(~fresh, "stale_bar").alias("reason"))
 
 
-_EXP = "ex AS (SELECT instrument, unnest(range(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-29', INTERVAL 1 HOUR)) AS open_ts FROM (SELECT DISTINCT instrument FROM bar))"
+_EXP = "ex AS (SELECT instrument, unnest(range((SELECT min(open_ts) FROM bar), (SELECT max(open_ts) FROM bar) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS open_ts FROM (SELECT DISTINCT instrument FROM bar))"
 
 
 def _expected(spark, sf):
-    hours = F.explode(F.sequence(F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-28 23:00:00")), F.expr("INTERVAL 1 HOUR")))
-    return S.trades(spark, sf).select("instrument").distinct().select("instrument", hours.alias("open_ts"))
+    """Every hour of every instrument between the first and the last bar of any."""
+    bars = S.hourly_bars(spark, sf)
+    bounds = F.broadcast(bars.agg(F.min("open_ts").alias("_lo"), F.max("open_ts").alias("_hi")))  # one row
+    hours = F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr("INTERVAL 1 HOUR")))
+    return bars.select("instrument").distinct().crossJoin(bounds).select("instrument", hours.alias("open_ts"))
 
 
 _GAPS = BAR + ", " + _EXP + """, ms AS (SELECT ex.* FROM ex ANTI JOIN bar USING (instrument, open_ts)), r AS (SELECT *, CASE WHEN open_ts - lag(open_ts) OVER (PARTITION BY instrument ORDER BY open_ts) = INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM ms),
@@ -157,11 +160,11 @@ def observed_of_expected(spark, sf):
     return _expected(spark, sf).join(S.hourly_bars(spark, sf).select("instrument", "open_ts"), ["instrument", "open_ts"], "left_semi")
 
 
-@query("stream_gap_severity", f"WITH {_GAPS}, d AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS day, count(*) AS missing FROM ms GROUP BY ALL) SELECT *, CASE WHEN missing >= 5 THEN 'critical' WHEN missing >= 2 THEN 'warning' ELSE 'minor' END AS severity FROM d")
+@query("stream_gap_severity", f"WITH {_GAPS}, d AS (SELECT instrument, date_trunc('day', open_ts)::TIMESTAMP AS day, count(*) AS missing FROM ms GROUP BY ALL) SELECT *, CASE WHEN missing >= 5 THEN 'critical' WHEN missing >= 2 THEN 'degraded' ELSE 'warning' END AS severity FROM d")
 def stream_gap_severity(spark, sf):
     ms = _expected(spark, sf).join(S.hourly_bars(spark, sf).select("instrument", "open_ts"), ["instrument", "open_ts"], "left_anti")
     n = F.col("missing")
-    return ms.groupBy("instrument", F.date_trunc("day", "open_ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("missing")).withColumn("severity", F.when(n >= 5, "critical").when(n >= 2, "warning").otherwise("minor"))
+    return ms.groupBy("instrument", F.date_trunc("day", "open_ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("missing")).withColumn("severity", F.when(n >= 5, "critical").when(n >= 2, "degraded").otherwise("warning"))
 
 
 @query("retention_plan", f"WITH {TR}, f AS (SELECT instrument, date_trunc('day', ts)::TIMESTAMP AS path, max(ts) AS max_ts FROM tr GROUP BY ALL), c AS (SELECT instrument, max(ts) - INTERVAL 5 DAY AS cutoff FROM tr GROUP BY 1) SELECT *, max_ts < cutoff AS \"drop\" FROM f JOIN c USING (instrument)")
@@ -178,9 +181,9 @@ def subscription_reconcile(spark, sf):
     return X.reconcile(c.where("k % 3 <> 0"), c.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 10 == 0, "OTHER").otherwise(F.col("v"))), "k", "v")
 
 
-@query("identity_conflicts", "SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_partkey, l_quantity)) AS fingerprints, count(DISTINCT (l_partkey, l_quantity)) > 1 AS conflict FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("identity_conflicts", "SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_partkey, l_quantity)) AS fingerprints, count(DISTINCT (l_partkey, l_quantity)) > 1 AS conflict FROM lineitem GROUP BY 1")
 def identity_conflicts(spark, sf):
-    return X.identity_conflicts(S.table(spark, sf, "lineitem").where("l_linenumber = 1"), "l_orderkey", ["l_partkey", "l_quantity"])
+    return X.identity_conflicts(S.table(spark, sf, "lineitem"), "l_orderkey", ["l_partkey", "l_quantity"])
 
 
 @query("idempotent_batch", "WITH s AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT * FROM s WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")

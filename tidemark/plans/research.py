@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import timeops as T
 from tidemark.functions.carry import running
 from tidemark.operators import acquisition as Q
+from tidemark.operators import direction as D
+from tidemark.operators import joins as J
 from tidemark.operators import research as R
 from tidemark.plans.catalog import BAR, FT, query
 from tidemark.sources import adapters as S
@@ -106,3 +108,62 @@ def timed_historical_execution(spark, sf):
         F.concat(F.lit("lane"), (user % 50).cast("string")).alias("lane"), F.floor(T.micros(F.col("ts")) / 1_000_000).alias("at"), i.alias("seq"), command.alias("command"), F.concat_ws(":", user.cast("string"), (i % 3).cast("string")).alias("request_id"),
         (i % 100).cast("int").alias("priority"), F.concat(F.lit("metric:"), (i % 4).cast("string")).alias("consumer"), (i % 5).alias("minimum"), F.when(i % 7 == 0, 1).otherwise(0).alias("refused"), (i % 6).alias("observed"), (i % 2 == 0).alias("retry"), F.lit(True).alias("last"))
     return Q.execute_requests(rows, Q.Policy(capacity=32, in_flight=2, attempts=3, timeout=4 * 3600, backoff=1800))
+
+
+#: definition, minimum score, minimum confirmations, what an opposing context does; and the roles of the timeframes.
+_DEFINITIONS = [("trend", 1, 1, "degrade"), ("strict", 2, 0, "veto"), ("loose", 1, 0, "ignore")]
+_ROLES = [("trend", "1h", "evaluation"), ("trend", "4h", "primary"), ("trend", "1h", "confirmation"), ("trend", "1d", "context"), ("strict", "1h", "evaluation"), ("strict", "1h", "primary"), ("strict", "4h", "primary"),
+          ("strict", "1d", "context"), ("loose", "1h", "evaluation"), ("loose", "1d", "primary"), ("loose", "4h", "context"), ("loose", "1h", "context")]
+
+
+@query("policy_directions", f"""WITH {BAR}, sc AS (SELECT '1h' AS tf, instrument, close_ts AS as_of, (sign(close - open) * (n_trades % 3))::INT AS score FROM bar
+  UNION ALL SELECT '4h', instrument, time_bucket(INTERVAL 4 HOUR, open_ts) + INTERVAL 4 HOUR, (2 * sign(arg_max(close, open_ts) - arg_min(open, open_ts)))::INT FROM bar GROUP BY instrument, time_bucket(INTERVAL 4 HOUR, open_ts)
+  UNION ALL SELECT '1d', instrument, date_trunc('day', open_ts) + INTERVAL 1 DAY, (2 * sign(arg_max(close, open_ts) - arg_min(open, open_ts)))::INT FROM bar GROUP BY instrument, date_trunc('day', open_ts)),
+ev AS (SELECT instrument, close_ts AS ts, unnest(['1h', '4h', '1d']) AS tf FROM bar),
+en AS (SELECT ev.instrument, ev.ts, ev.tf, sc.score FROM ev ASOF JOIN sc ON sc.tf = ev.tf AND sc.instrument = ev.instrument AND ev.ts >= sc.as_of),
+df(definition, least_score, least_confirmed, opposing) AS (VALUES {', '.join(map(str, _DEFINITIONS))}), ro(definition, tf, role) AS (VALUES {', '.join(map(str, _ROLES))}),
+g AS (SELECT bar.instrument, close_ts AS ts, df.*, ro.role, ro.tf, score, CASE WHEN abs(score) >= least_score THEN sign(score) WHEN score IS NOT NULL THEN 0 END AS side FROM bar, df JOIN ro USING (definition) LEFT JOIN en ON en.instrument = bar.instrument AND en.ts = bar.close_ts AND en.tf = ro.tf),
+h AS (SELECT instrument, ts, definition, least_confirmed, opposing, bool_or(role = 'primary' AND side IS NULL) AS lost, bool_or(role = 'primary' AND side = 0) AS flat, max(side) FILTER (role = 'primary') AS d, min(side) FILTER (role = 'primary') AS e,
+        list(side) FILTER (role = 'confirmation') AS cs, list(coalesce(side, 9)) FILTER (role = 'context') AS xs FROM g GROUP BY ALL),
+s AS (SELECT *, CASE WHEN lost THEN 'missing_evidence' WHEN flat THEN 'neutral' WHEN d <> e THEN 'conflicted'
+    WHEN coalesce(len(list_filter(cs, lambda c: c = d)), 0) < least_confirmed THEN CASE WHEN list_contains(cs, -d) THEN 'conflicted' WHEN list_contains(cs, 0) THEN 'neutral' ELSE 'missing_evidence' END
+    WHEN opposing = 'veto' AND list_contains(xs, -d) THEN 'vetoed' ELSE 'qualified' END AS status FROM h)
+SELECT instrument, ts, definition, status, CASE WHEN status = 'qualified' THEN CASE WHEN d > 0 THEN 'LONG' ELSE 'SHORT' END END AS direction,
+  status = 'qualified' AND (coalesce(list_contains(xs, 9), false) OR (opposing = 'degrade' AND coalesce(list_contains(xs, -d), false))) AS is_degraded FROM s""")
+def policy_directions(spark, sf):
+    """Three definitions judge the same evidence at every hourly close."""
+    bars = S.hourly_bars(spark, sf)
+    sign = lambda c: F.signum(c.cast("double"))
+
+    def longer(start, seconds):
+        g = bars.groupBy("instrument", start.alias("o")).agg((2 * sign(F.max_by("close", "open_ts") - F.min_by("open", "open_ts"))).cast("int").alias("value"))
+        return g.select("instrument", T.from_micros(T.micros(F.col("o")) + seconds * 1_000_000).alias("ts"), F.lit(0).cast("long").alias("seq"), "value")
+
+    at = bars.select("instrument", F.col("close_ts").alias("ts"), F.lit(0).cast("long").alias("seq"))
+    one = bars.select("instrument", F.col("close_ts").alias("ts"), F.lit(0).cast("long").alias("seq"), (sign(F.col("close") - F.col("open")) * (F.col("n_trades") % 3)).cast("int").alias("value"))
+    known = J.point_in_time(at, {"1h": one, "4h": longer(T.anchored_floor(F.col("open_ts"), 14_400), 14_400), "1d": longer(T.anchored_floor(F.col("open_ts"), 86_400), 86_400)})
+    item = F.explode(F.array(*(F.struct(F.lit(tf).alias("timeframe"), F.col(f"{tf}_value").alias("score")) for tf in ("1h", "4h", "1d"))))
+    evidence = known.select("instrument", "ts", item.alias("e")).select("instrument", "ts", "e.*")
+    definitions = spark.createDataFrame(_DEFINITIONS, "definition string, minimum_score int, minimum_confirmations int, opposing string")
+    return D.qualify_by_policy(evidence, definitions, spark.createDataFrame(_ROLES, "definition string, timeframe string, role string"))
+
+
+@query("coherent_chart_snapshot", f"""WITH {BAR}, f AS (
+  SELECT instrument, '1h' AS timeframe, close_ts AS as_of, CASE WHEN n_trades % 2 = 0 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN n_trades % 3 = 0 THEN 'live' ELSE 'history' END AS source FROM bar
+  UNION ALL SELECT instrument, '4h', o + INTERVAL 4 HOUR, CASE WHEN hour(o) % 8 = 0 THEN 'v2' ELSE 'v1' END, 'history' FROM (SELECT DISTINCT instrument, time_bucket(INTERVAL 4 HOUR, open_ts) AS o FROM bar)),
+i AS (SELECT *, concat_ws('|', instrument, timeframe, strftime(as_of, '%Y-%m-%d %H:%M:%S'), version) AS feature_id FROM f),
+a AS (SELECT * FROM i WHERE timeframe = '1h' QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY as_of DESC, feature_id DESC) = 1),
+s AS (SELECT i.*, a.as_of AS anchor_ts FROM i JOIN a ON a.instrument = i.instrument AND a.version = i.version AND i.as_of <= a.as_of),
+l AS (SELECT instrument, timeframe, max(as_of) AS as_of, arg_max(feature_id, (as_of, feature_id)) AS feature_id, max(anchor_ts) AS anchor_ts, max(version) AS version FROM s GROUP BY 1, 2),
+h AS (SELECT instrument, least(count(*), 60) AS n_history FROM s WHERE timeframe = '1h' AND as_of > anchor_ts - INTERVAL 120 HOUR GROUP BY 1),
+b AS (SELECT bar.instrument, CASE WHEN n_trades % 3 = 0 THEN 'live' ELSE 'history' END AS bar_source, count(*) AS n, max(a.source) AS own FROM bar JOIN a ON a.instrument = bar.instrument AND bar.close_ts > a.as_of - INTERVAL 120 HOUR AND bar.close_ts <= a.as_of GROUP BY 1, 2
+      QUALIFY row_number() OVER (PARTITION BY bar.instrument ORDER BY count(*) DESC, (bar_source = max(a.source)) DESC, bar_source DESC) = 1)
+SELECT l.*, bar_source, least(n, 60) AS n_bars, n_history FROM l JOIN h USING (instrument) JOIN b USING (instrument)""")
+def coherent_chart_snapshot(spark, sf):
+    """Features in two versions, so the newest of the longer timeframe is not always the one that fits the anchor."""
+    bars = S.hourly_bars(spark, sf).withColumn("source", F.when(F.col("n_trades") % 3 == 0, "live").otherwise("history"))
+    one = bars.select("instrument", F.lit("1h").alias("timeframe"), F.col("close_ts").alias("as_of"), F.when(F.col("n_trades") % 2 == 0, "v2").otherwise("v1").alias("version"), "source")
+    start = T.anchored_floor(F.col("open_ts"), 14_400)
+    four = bars.select("instrument", start.alias("o")).distinct().select("instrument", F.lit("4h").alias("timeframe"), T.from_micros(T.micros(F.col("o")) + 14_400_000_000).alias("as_of"), F.when(F.hour("o") % 8 == 0, "v2").otherwise("v1").alias("version"), F.lit("history").alias("source"))
+    f = one.unionByName(four).withColumns({"configuration": F.lit("c"), "feature_id": F.concat_ws("|", "instrument", "timeframe", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"), "version")})
+    return D.coherent_snapshot(f, bars.select("instrument", "source", "close_ts"), "1h", 120 * 3600, 60)

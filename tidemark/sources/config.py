@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The names of the metrics are the output contract, in natural order.
 QUOTE = ["midpoint", "spread.absolute", "spread.relative"]
 COMPLETED_BAR = ["open", "high", "low", "close", "volume", "simple_return", "true_range"]
 SESSION = {
