@@ -29,7 +29,7 @@ o AS (SELECT e.id, e.instrument, e.ts, e.seq, coalesce(terminal, CASE WHEN newes
         coalesce(ended, e.ts + INTERVAL 6 HOUR) AS end_ts, coalesce(ended_seq, -1) AS end_seq, coalesce(favourable, 0) AS favourable, coalesce(adverse, 0) AS adverse, coalesce(n_trades, 0) AS n_trades,
         row_number() OVER (PARTITION BY e.instrument ORDER BY e.ts, e.seq) AS i FROM e JOIN n USING (instrument) LEFT JOIN x USING (id)),
 q AS (SELECT instrument, 0::BIGINT AS i, NULL::TIMESTAMP AS gone_at, []::STRUCT(id BIGINT, t TIMESTAMP, s BIGINT)[] AS held, []::BIGINT[] AS gone FROM o GROUP BY 1
-      UNION ALL SELECT instrument, i, ts, list_append(live[greatest(len(live) - 6, 1):], {{'id': id, 't': end_ts, 's': end_seq}}), list_transform(live[1:len(live) - 7], lambda x: x.id)
+      UNION ALL SELECT instrument, i, ts, list_append(live[greatest(len(live) - 6, 1):], {{'id': id, 't': end_ts, 's': end_seq}}), list_transform(live[1:greatest(len(live) - 7, 0)], lambda x: x.id)
       FROM (SELECT o.*, list_filter(q.held, lambda x: x.t > o.ts OR (x.t = o.ts AND x.s > o.seq)) AS live FROM q JOIN o ON o.instrument = q.instrument AND o.i = q.i + 1)),
 v AS (SELECT gone_at, unnest(gone) AS id FROM q)
 SELECT o.id, o.instrument, CASE WHEN gone_at IS NOT NULL THEN 'evicted' ELSE natural_end END AS outcome, CASE WHEN gone_at IS NOT NULL THEN gone_at WHEN natural_end <> 'pending' THEN end_ts END AS ended_ts,
