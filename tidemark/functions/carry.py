@@ -88,9 +88,9 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     return out.withColumns({n: last[n] for n in values}).drop("_b", "_own", "_before", "_first", "_end")
 
 
-def peak_before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column) -> DataFrame:
-    """``df`` with the largest ``value`` of the key's rows before each: inside the bucket, or of the buckets before."""
-    rows = df.withColumns({"_b": bucket_of(order[0]), "_own": value})
+def peak_before(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column, bucket: Column | None = None) -> DataFrame:
+    """``df`` with the largest ``value`` of the key's rows before each: inside the bucket, or of the buckets before (``bucket`` as in ``previous``)."""
+    rows = df.withColumns({"_b": bucket_of(order[0]) if bucket is None else bucket, "_own": value})
     past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy(*keys, "_b").agg(F.max("_own").alias("_top")).select(*keys, "_b", F.max("_top").over(past).alias("_top"))
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

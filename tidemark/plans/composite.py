@@ -288,8 +288,8 @@ def json_messages(spark, sf):
 @query("late_trade_counts", f"WITH {SIDE}, a AS (SELECT instrument, ts, (seq * 7919) % 10007 AS arrival FROM cl), l AS (SELECT instrument, date_trunc('hour', ts) < max(date_trunc('hour', ts)) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM a) SELECT instrument, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY 1")
 def late_trade_counts(spark, sf):
     a = _classified(spark, sf).select("instrument", F.date_trunc("hour", "ts").alias("h"), ((F.col("seq") * 7919) % 10007).alias("arrival"))
-    w = Window.partitionBy("instrument").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    return a.withColumn("l", F.col("h") < F.max("h").over(w)).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if("l").alias("late"))
+    a = peak_before(a, ["instrument"], ["arrival"], "top", F.col("h"), F.floor(F.col("arrival") / 512))
+    return a.withColumn("l", F.col("h") < F.col("top")).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if("l").alias("late"))
 
 
 @query("transition_notices", f"WITH {BAR}, d AS (SELECT instrument, close_ts AS ts, CASE WHEN close > open THEN 'up' ELSE 'down' END AS s FROM bar), x AS (SELECT *, lag(s) OVER (PARTITION BY instrument ORDER BY ts) AS p FROM d), t AS (SELECT * FROM x WHERE p <> s AND hour(ts) % 4 = 0) SELECT t.instrument, t.ts, t.p AS from_state, t.s AS to_state, b.close::DOUBLE AS context_close FROM t ASOF LEFT JOIN (SELECT * FROM bar WHERE hour(close_ts) % 6 = 0) b ON b.instrument = t.instrument AND t.ts >= b.close_ts")
