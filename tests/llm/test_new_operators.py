@@ -214,7 +214,7 @@ def _conversations(rng, n):
 def test_trie_against_brute_force(spark, local):
     """With few turns a task, buckets are dealt in many rounds; the nodes are the same."""
     rng = random.Random(11)
-    turns = _conversations(rng, 400)
+    turns = _conversations(rng, 200)
     turns += [(5000 + c, t, "user", "deep") for c in range(60) for t in range(40)]  # equal, and long
     turns += [(6000 + c, t, "user", "deep" if t < 30 else f"{c % 7} {t}") for c in range(60) for t in range(33)]  # part late
     turns += turns[:50] + [(None, 1, "user", "nobody's")]
