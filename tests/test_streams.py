@@ -117,3 +117,21 @@ def test_final_bars_are_appended_once(spark, tmp_path):
     bars.drain_final_bars(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3600, 3600, str(tmp_path / "bars"))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "bars")).select(F.hour("open_ts"), "n_trades").collect()))
     assert got == [(0, 3), (1, 1), (3, 1)]
+
+
+def test_processors_bring_their_state_store(spark, tmp_path):
+    """A session with Spark's default store, as a cluster's may be: five queries failed in it."""
+    from tidemark.plans import streams
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before, plain = spark.conf.get(name), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        got = run(spark, tmp_path, [bar(0, 0), bar(1, 1), bar(2, 1)], lambda r: state.accumulated_stream(r, 3600, 14_400, 2), 2)
+        assert sorted(r.status for r in got.collect()) == ["DUPLICATE", "HELD", "HELD"]
+        events = spark.createDataFrame([(i, START, 1, "view", 1.0, "{}") for i in range(3)], bars.EVENTS)
+        events.write.parquet(str(tmp_path / "sf" / "events.parquet"))
+        assert sorted(r.status for r in streams.stream_ledger(spark, str(tmp_path / "sf")).collect()) == ["ACCEPTED", "CONFLICT", "CONFLICT"]
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)

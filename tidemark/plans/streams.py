@@ -30,7 +30,7 @@ def stream_ledger(spark, sf):
     path = shared(spark, "stream-ledger")
     raw = spark.readStream.schema(R.EVENTS).parquet(f"{sf}/event*.parquet")
     key, payload = F.concat_ws("|", "event_type", "user_id").alias("key"), (F.col("event_id") % 3).cast("string").alias("payload")
-    R.drain(K.ledger_stream(raw.select(key, F.col("event_id").alias("seq"), payload)), path, idle_batches=False)
+    R.drain(K.ledger_stream(raw.select(key, F.col("event_id").alias("seq"), payload)), path, idle_batches=False, store=R.ROCKS)
     return spark.read.parquet(path).select("key", "seq", "status")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.timeops import PRICE
 
+#: The state store that processors with several states need; Spark's default store has one column family only.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -32,33 +34,41 @@ def dedupe_stream(rows: DataFrame, keys: list[str], ts: str, lateness: str) -> D
     return rows.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append", idle_batches: bool = True) -> StreamingQuery:
+def drain(stream: DataFrame, path: str, mode: str = "append", idle_batches: bool = True, store: str | None = None) -> StreamingQuery:
     """Run over what is there and stop; the finished query is returned.  Without ``idle_batches`` it stops with the last batch that has data, as
     operators in processing time must, which would ask for another batch for ever.  Complete mode rewrites the table each batch; append adds each batch once, under its id,
-    so a batch that is tried again replaces itself."""
+    so a batch that is tried again replaces itself.  ``store`` is the state store's provider, the session's by default: streams of
+    ``state.py`` need ``ROCKS``, whatever the session says."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         target = path if mode == "complete" else f"{path}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(target)
 
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, str(idle_batches).lower())
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    conf.set(name, before)  # a query keeps the settings that it started with
+    conf, settings = stream.sparkSession.conf, {"spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    if store:
+        settings["spark.sql.streaming.stateStore.providerClass"] = store
+    before = {name: conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            conf.set(name, value)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)  # a query keeps the settings that it started with
     query.awaitTermination()
     return query
 
 
 def drain_in_parts(rows: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, order: str, parts: int, mode: str = "append") -> None:
-    """``rows`` in ``parts`` runs by ``order`` (a number): each run writes its rows as files, restarts the query from its checkpoint and drains it."""
+    """``rows`` in ``parts`` runs by ``order`` (a number): each run writes its rows as files, restarts the query from its checkpoint and drains it.
+    The keyed state of such queries is in RocksDB."""
     spark = rows.sparkSession
     shares = [(i + 1) / parts for i in range(parts - 1)]
     cuts = rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or [] if shares else []
     part = F.lit(0) + sum((F.col(order) > c).cast("int") for c in cuts)
     for i in range(parts):
         rows.where(part == i).write.mode("overwrite").parquet(f"{path}-in/part={i}")
-        drain(build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{path}-in")), path, mode)
+        drain(build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{path}-in")), path, mode, store=ROCKS)
 
 
 def drain_final_bars(trades: DataFrame, seconds: int, lateness_seconds: int, path: str) -> None:
