@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions import carry
+from tidemark.functions import ahead, carry
 from tidemark.operators import direction, location, research
 
 START = dt.datetime(2024, 1, 1)
@@ -50,3 +52,44 @@ def test_value_area_grows_to_the_heavier_side_and_down_on_ties():
     assert location.value_area_of({0: 10, 1: 10, 2: 100, 3: 10, 4: 10}) == (2, 2, 2)
     assert location.value_area_of({0: 10, 1: 20, 2: 40, 3: 20, 4: 10}) == (2, 1, 3)
     assert location.value_area_of({0: 5, 3: 5}) == (3, 0, 3) and location.value_area_of({7: 0}) == (7, 7, 7)
+
+
+def test_first_rows_above_match_a_scan():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 64, 65, 300):
+        x, y, start = r.integers(0, 12, n), r.integers(0, 12, n), r.integers(0, n + 1, 40)
+        least, beyond, stop = r.integers(-1, 14, 40), r.integers(-1, 14, 40), np.minimum(start + r.integers(0, n + 1, 40), n)
+        want = [next((i for i in range(s, n) if x[i] >= a and y[i] > b), n) for s, a, b in zip(start, least, beyond)]
+        assert ahead.FirstAbove(x, y).find(start, least, beyond).tolist() == want
+        assert ahead.range_max(x, start, stop, -9).tolist() == [max(x[i:j], default=-9) for i, j in zip(start, stop)]
+
+
+def test_outcomes_of_aggression_match_a_scan(spark):
+    r = random.Random(5)
+    at = lambda s: START + dt.timedelta(seconds=s)
+    times = sorted(r.randrange(3_000) for _ in range(400))
+    rows, cvd = [], 0
+    for i, s in enumerate(times):
+        cvd += r.choice((-3, 1, 2))
+        rows.append(("X", at(s), i, Decimal(r.randrange(50, 75)), Decimal(cvd)))
+    trades = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz, seq bigint, price decimal(18,6), cvd decimal(38,6)")
+    side = lambda i: 1 if i % 2 else -1
+    opened = trades.where("seq % 3 = 0").select(F.col("seq").alias("id"), "instrument", "ts", "seq", "price", F.when(F.col("seq") % 2 == 1, 1).otherwise(-1).alias("side"))
+    got = {g.id: g for g in research.aggression_outcomes(opened, trades, 600, 20.0, 15.0, 4.0, 1000).collect()}
+    assert sorted(got) == list(range(0, 400, 3))
+    for i, g in got.items():
+        seen, end = {}, None
+        for x in rows[i + 1 :]:
+            if rows[i][1] < x[1] <= rows[i][1] + dt.timedelta(seconds=600):
+                seen.setdefault(x[1], x)
+        moves = []
+        for x in seen.values():
+            move, flow = side(i) * (x[3] - rows[i][3]), side(i) * (x[4] - rows[i][4])
+            moves.append(move)
+            end = "with_flow" if move >= 20 and flow > 0 else "trapped" if move <= -15 and flow < 0 else None
+            if end:
+                break
+        best, worst = max([0, *moves]), max([0, *(-m for m in moves)])
+        over = "pending" if rows[-1][1] < rows[i][1] + dt.timedelta(seconds=600) else "absorbed" if max(best, worst) <= 4 else "unresolved"
+        assert (g.outcome, g.favourable, g.adverse, g.n_trades) == (end or over, best, worst, len(moves))
+        assert g.ended_ts == (x[1] if end else None if over == "pending" else rows[i][1] + dt.timedelta(seconds=600))

@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ahead import first_ahead, millionths, points_up
 from tidemark.functions.carry import sorted_fold
 from tidemark.functions.timeops import from_micros, micros
 from tidemark.operators.joins import asof_with_ties, interval_join
@@ -23,26 +24,26 @@ def aggression_outcomes(openings: DataFrame, trades: DataFrame, window_seconds:
     volume since grew its way, trapped when both went against it; when the window is over it was absorbed if price never left ``absorption`` either
     way, else unresolved.  At most ``most_open`` episodes of an instrument are open: the oldest is evicted by a new one.  Pending: data ended first.
 
-    What an episode would come to depends on no other one, so this is an equi-join on time cells; the queue is a fold over openings only."""
+    What an episode would come to depends on no other one and is searched for in its window (``first_ahead``); the queue is a fold over openings only."""
     first = trades.groupBy("instrument", "ts").agg(F.min_by(F.struct("seq", "price", "cvd"), "seq").alias("t"))
-    at_open = trades.select("instrument", "ts", "seq", F.col("cvd").alias("base"))
-    ep = openings.join(at_open, ["instrument", "ts", "seq"])
-    seen = interval_join(ep, first.select("instrument", F.col("ts").alias("rts"), F.col("t.seq").alias("rseq"), F.col("t.price").alias("rprice"), "t.cvd"), "instrument", 0, window_seconds).where("rts > ts")
-    move = F.col("side") * (F.col("rprice") - F.col("price")).cast("double")
-    flow = F.col("side") * (F.col("cvd") - F.col("base")).cast("double")
-    end = F.when((move >= follow) & (flow > 0), "with_flow").when((move <= -trapped) & (flow < 0), "trapped")
-    seen = seen.withColumns({"_move": move, "_end": end})
-    done = seen.where("_end IS NOT NULL").groupBy("id").agg(F.min(F.struct("rts", "rseq", "_end")).alias("e"))
-    until = seen.join(done, "id", "left").where("e IS NULL OR rts <= e.rts")
-    sums = until.groupBy("id").agg(F.greatest(F.max("_move"), F.lit(0.0)).alias("favourable"), F.greatest(F.max(-F.col("_move")), F.lit(0.0)).alias("adverse"), F.count(F.lit(1)).alias("n_trades"), F.first("e").alias("e"))
+    at_open = trades.select("instrument", "ts", "seq", F.col("cvd").cast("double").alias("level"))
+    price, rises = F.col("_price"), F.col("side") > 0
+    ep = openings.join(at_open, ["instrument", "ts", "seq"]).withColumn("_price", millionths("price"))
+    ep = ep.withColumns({"up": price + F.when(rises, points_up(follow)).otherwise(points_up(trapped)), "down": price - F.when(rises, points_up(trapped)).otherwise(points_up(follow))})
+    seen = first.select("instrument", F.col("ts").alias("rts"), F.col("t.seq").alias("rseq"), millionths("t.price").alias("price"), F.col("t.cvd").cast("double").alias("rlevel"))
+    out = first_ahead(ep.select("id", "instrument", "ts", "seq", "side", "_price", "up", "down", "level"), seen, window_seconds, after=True, mirrored=True)
+    above, below = (F.col("highest") - price) / 1e6, (price - F.col("lowest")) / 1e6
+    most = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
+    out = out.withColumns({"favourable": most(F.when(rises, above).otherwise(below)), "adverse": most(F.when(rises, below).otherwise(above))})
     newest = trades.groupBy("instrument").agg(F.max("ts").alias("_newest"))
-    out = ep.join(sums, "id", "left").join(F.broadcast(newest), "instrument")  # one row an instrument
+    out = out.join(F.broadcast(newest), "instrument")  # one row an instrument
     expires = from_micros(micros(F.col("ts")) + window_seconds * 1_000_000)
-    calm = (F.coalesce("favourable", F.lit(0.0)) <= absorption) & (F.coalesce("adverse", F.lit(0.0)) <= absorption)
+    calm = (F.col("favourable") <= absorption) & (F.col("adverse") <= absorption)
     over = F.when(F.col("_newest") >= expires, F.when(calm, "absorbed").otherwise("unresolved")).otherwise("pending")
-    out = out.withColumns({"_expires": expires, "_natural": F.coalesce(F.col("e._end"), over)})
+    end = F.when(F.col("rose") == rises, "with_flow").when(F.col("rose").isNotNull(), "trapped")
+    out = out.withColumns({"_end_ts": F.coalesce(from_micros(F.col("end_at")), expires), "_natural": F.coalesce(end, over)})
     # an episode that only its window ends is gone for every opening at that time, hence the -1
-    queue = out.select("instrument", micros(F.col("ts")).alias("at"), "seq", "id", micros(F.coalesce("e.rts", "_expires")).alias("end_at"), F.coalesce("e.rseq", F.lit(-1)).cast("long").alias("end_seq"))
+    queue = out.select("instrument", micros(F.col("ts")).alias("at"), "seq", "id", micros(F.col("_end_ts")).alias("end_at"), F.coalesce("end_seq", F.lit(-1)).cast("long").alias("end_seq"))
 
     def make():
         held: deque = deque()  # (id, end), oldest first
@@ -60,10 +61,10 @@ def aggression_outcomes(openings: DataFrame, trades: DataFrame, window_seconds:
 
     gone = sorted_fold(queue, ["instrument"], ["at", "seq"], "instrument string, id bigint, evicted_at bigint", make).drop("instrument")
     out = out.join(gone, "id", "left")
-    ended = F.when(F.col("evicted_at").isNotNull(), from_micros(F.col("evicted_at"))).when(F.col("_natural") != "pending", F.coalesce("e.rts", "_expires"))
-    kept = lambda c: F.when(F.col("evicted_at").isNull(), F.coalesce(c, F.lit(0)))
+    ended = F.when(F.col("evicted_at").isNotNull(), from_micros(F.col("evicted_at"))).when(F.col("_natural") != "pending", F.col("_end_ts"))
+    kept = lambda c: F.when(F.col("evicted_at").isNull(), F.col(c))
     outcome = F.when(F.col("evicted_at").isNotNull(), "evicted").otherwise(F.col("_natural"))
-    return out.select("id", "instrument", outcome.alias("outcome"), ended.alias("ended_ts"), F.round(kept("favourable"), 6).alias("favourable"), F.round(kept("adverse"), 6).alias("adverse"), kept("n_trades").alias("n_trades"))
+    return out.select("id", "instrument", outcome.alias("outcome"), ended.alias("ended_ts"), F.round(kept("favourable"), 6).alias("favourable"), F.round(kept("adverse"), 6).alias("adverse"), kept("n_seen").alias("n_trades"))
 
 
 def synced_references(records: DataFrame, found: DataFrame, human: list[str]) -> DataFrame:
