@@ -64,6 +64,26 @@ def test_first_rows_above_match_a_scan():
         assert ahead.range_max(x, start, stop, -9).tolist() == [max(x[i:j], default=-9) for i, j in zip(start, stop)]
 
 
+def test_outcomes_do_not_list_the_pairs_of_a_window(spark):
+    """Thousands of trades and openings in one window: no join over what lies ahead, and the results of a scan."""
+    from tidemark.operators import signals
+
+    n = 3000
+    r = random.Random(8)
+    price = [Decimal(r.randrange(5_000, 6_000)) / 100 for _ in range(n)]
+    rows = [("X", START + dt.timedelta(seconds=i // 2), i, price[i]) for i in range(n)]
+    trades = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz, seq bigint, price decimal(18,6)")
+    opened = trades.select(F.col("seq").alias("id"), "instrument", "ts", "price", F.lit(-1).alias("sign"))
+    got = signals.first_hit(opened, trades, 9.0, 3600)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = {}
+    for i in range(n):
+        move = next((price[i] - price[j] for j in range(i + 1, n) if abs(price[j] - price[i]) >= 9), None)
+        want[i] = "unresolved" if move is None else "with_flow" if move > 0 else "trapped"
+    assert {g.id: g.outcome for g in got.collect()} == want
+
+
 def test_outcomes_of_aggression_match_a_scan(spark):
     r = random.Random(5)
     at = lambda s: START + dt.timedelta(seconds=s)

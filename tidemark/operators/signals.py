@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ahead import first_ahead, millionths, points_up
 from tidemark.functions.carry import carried, sorted_fold, with_halo, without_halo
 from tidemark.functions.timeops import micros
 
@@ -165,14 +166,13 @@ def hysteresis(rows: DataFrame, key: str, order: str | list[str], value: str, hi
 
 
 def first_hit(episodes_: DataFrame, prices: DataFrame, points: float, window_seconds: int) -> DataFrame:
-    """Outcome of ``episodes_(id, instrument, ts, price, sign)``: which of +points or -points comes first within the window."""
-    from tidemark.operators.joins import interval_join
-
-    ahead = interval_join(episodes_, prices.select("instrument", F.col("ts").alias("rts"), F.col("seq").alias("rseq"), F.col("price").alias("rprice")), "instrument", 0, window_seconds).where("rseq > id")
-    move = F.col("sign") * (F.col("rprice") - F.col("price")).cast("double")
-    hit = F.when(move >= points, "with_flow").when(move <= -points, "trapped")
-    got = ahead.withColumn("h", hit).where("h IS NOT NULL").groupBy("id").agg(F.min_by("h", F.struct("rts", "rseq")).alias("outcome"))
-    return episodes_.join(got, "id", "left").select("id", "instrument", F.coalesce("outcome", F.lit("unresolved")).alias("outcome"))
+    """Outcome of ``episodes_(id, instrument, ts, price, sign)``: which of +points or -points comes first within the window, in rows after ``id``."""
+    price, step = millionths("price"), F.when(F.col("id").isNotNull(), points_up(points))
+    ep = episodes_.select("id", "instrument", "ts", "sign", (price + step).alias("up"), (price - step).alias("down"), F.coalesce("id", F.lit(0)).cast("long").alias("level"))
+    rows = prices.where("seq IS NOT NULL").select("instrument", F.col("ts").alias("rts"), F.col("seq").alias("rseq"), price.alias("price"), F.col("seq").alias("rlevel"))
+    got = first_ahead(ep, rows, window_seconds, after=False, mirrored=False)
+    outcome = F.when(F.col("rose") == (F.col("sign") > 0), "with_flow").when(F.col("rose").isNotNull(), "trapped").otherwise("unresolved")
+    return got.select("id", "instrument", outcome.alias("outcome"))
 
 
 def readiness(latest: DataFrame, as_of: Column, seconds: int, tolerated: int, full: int, partial: int) -> DataFrame:
