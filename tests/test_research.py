@@ -113,3 +113,16 @@ def test_outcomes_of_aggression_match_a_scan(spark):
         over = "pending" if rows[-1][1] < rows[i][1] + dt.timedelta(seconds=600) else "absorbed" if max(best, worst) <= 4 else "unresolved"
         assert (g.outcome, g.favourable, g.adverse, g.n_trades) == (end or over, best, worst, len(moves))
         assert g.ended_ts == (x[1] if end else None if over == "pending" else rows[i][1] + dt.timedelta(seconds=600))
+
+
+def test_equal_arrivals_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Event 10007 arrives under the number of event 0: the id decides, whichever row a file or a partition has first."""
+    from tidemark.plans import library
+    from tidemark.streaming.bars import EVENTS
+
+    rows = [(i, START + dt.timedelta(hours=h), 1, "click", 1.0, '{"k": 1}') for i, h in ((0, 9), (10007, 3), (20014, 5), (1, 4))]
+    for k, some in enumerate((rows, rows[::-1], [rows[i] for i in (1, 0, 3, 2)])):
+        path = str(tmp_path / str(k))
+        spark.createDataFrame(some, EVENTS).coalesce(1).write.parquet(f"{path}/events.parquet")
+        w, t = library.QUERIES["watchlist_state"](spark, path).first(), library.QUERIES["late_trade_counts"](spark, path).first()
+        assert (w.out_of_order, w.observations, t.late, t.n) == (3, 4, 3, 4)

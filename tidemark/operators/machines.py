@@ -64,9 +64,9 @@ def percent_change(current: Column, previous: Column) -> Column:
     return F.round(F.when(previous != 0, 100 * (current - previous) / F.abs(previous)), 6)
 
 
-def monotone_latest(rows: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
-    """Watchlist state: the newest observation by event time, and how many arrived after a newer one."""
-    w = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+def monotone_latest(rows: DataFrame, key: str, ts: str, *arrival: str) -> DataFrame:
+    """Watchlist state: the newest observation by event time, and how many arrived after a newer one.  ``arrival`` must leave no ties."""
+    w = Window.partitionBy(key).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     late = rows.withColumn("_late", F.col(ts) < F.max(ts).over(w))
     return late.groupBy(key).agg(F.max(ts).alias("latest_ts"), F.count_if("_late").alias("out_of_order"), F.count(F.lit(1)).alias("observations"))
 

@@ -216,7 +216,8 @@ def instrument_switch_machine(spark, sf):
 
 @query("watchlist_state", "WITH a AS (SELECT user_id, ts, (event_id * 7919) % 10007 AS arrival FROM events), l AS (SELECT *, ts < max(ts) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM a) SELECT user_id, max(ts) AS latest_ts, count(*) FILTER (late) AS out_of_order, count(*) AS observations FROM l GROUP BY 1")
 def watchlist_state(spark, sf):
-    return Z.monotone_latest(S.table(spark, sf, "events").select("user_id", "ts", ((F.col("event_id") * 7919) % 10007).alias("arrival")), "user_id", "ts", "arrival")
+    """Beyond 10,007 events numbers of arrival repeat, which the SQL leaves open; here the event's id decides."""
+    return Z.monotone_latest(S.table(spark, sf, "events").select("user_id", "ts", "event_id", ((F.col("event_id") * 7919) % 10007).alias("arrival")), "user_id", "ts", "arrival", "event_id")
 
 
 @query("market_data_plan", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'active' WHEN c_nationkey < 5 THEN 'context' ELSE 'watch' END AS role, unnest(CASE WHEN c_custkey = 1 THEN ['trades', 'quotes', 'bars'] WHEN c_nationkey < 5 THEN ['bars'] ELSE ['quotes'] END) AS feed FROM customer")
@@ -287,8 +288,9 @@ def json_messages(spark, sf):
 
 @query("late_trade_counts", f"WITH {SIDE}, a AS (SELECT instrument, ts, (seq * 7919) % 10007 AS arrival FROM cl), l AS (SELECT instrument, date_trunc('hour', ts) < max(date_trunc('hour', ts)) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM a) SELECT instrument, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY 1")
 def late_trade_counts(spark, sf):
-    a = _classified(spark, sf).select("instrument", F.date_trunc("hour", "ts").alias("h"), ((F.col("seq") * 7919) % 10007).alias("arrival"))
-    a = peak_before(a, ["instrument"], ["arrival"], "top", F.col("h"), F.floor(F.col("arrival") / 512))
+    """Numbers of arrival repeat as in ``watchlist_state``; the sequence number decides."""
+    a = _classified(spark, sf).select("instrument", "seq", F.date_trunc("hour", "ts").alias("h"), ((F.col("seq") * 7919) % 10007).alias("arrival"))
+    a = peak_before(a, ["instrument"], ["arrival", "seq"], "top", F.col("h"), F.floor(F.col("arrival") / 512))
     return a.withColumn("l", F.col("h") < F.col("top")).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if("l").alias("late"))
 
 
