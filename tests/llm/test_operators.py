@@ -750,3 +750,13 @@ def test_the_url_sql_resolves_and_votes_like_the_code(spark, tmp_path):
     got = sorted(map(repr, (tuple(r) for r in urls.filter_urls(df, urls.rule_table(spark)).select(*columns).collect())))
     assert got == sorted(map(repr, con.sql(urls.ORACLE).select(", ".join(columns)).fetchall()))
     assert sum("'block'" in g for g in got) > 3
+
+
+def test_every_document_of_a_shared_passage_has_its_own_row(spark, tmp_path):
+    """A passage in more texts than link all their pairs: whichever are the hubs, no document is named as a partner only."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(40)) + f" {passage} " + f"z{i}") for i in range(20)] + [(20, " ".join(f"c{j}" for j in range(70))), (21, " ".join(f"c{j}" for j in range(70)))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in chaining.op10_collinear_chaining(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in got} == set(range(22))
+    assert all((r[1], r[0], r[4], r[5], r[2], r[3], r[6], r[7]) in got for r in got) and len(set(got)) == len(got)
