@@ -760,3 +760,30 @@ def test_every_document_of_a_shared_passage_has_its_own_row(spark, tmp_path):
     got = [tuple(r) for r in chaining.op10_collinear_chaining(spark, str(tmp_path)).collect()]
     assert {r[0] for r in got} == set(range(22))
     assert all((r[1], r[0], r[4], r[5], r[2], r[3], r[6], r[7]) in got for r in got) and len(set(got)) == len(got)
+
+
+def test_exact_links_lose_no_pair_of_a_hot_seed(spark, work, monkeypatch):
+    """Variants of a form letter in hundreds of texts: hubs and longer seeds find most pairs, the exact mode all of them, over several blocks."""
+    import numpy as np
+
+    r = random.Random(3)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    fixed, documents = say(64), 240
+    slots = np.array([[r.randrange(3) if i % 2 == 0 else -1 for i in range(64)] for _ in range(documents)])
+    slots[1::2] = np.where(np.arange(64) % 8 == 6, (slots[::2] + 1) % 3, slots[::2])
+    rows = [(d, " ".join(say(30) + [fixed[i] if v < 0 else f"s{i}v{v}" for i, v in enumerate(s)] + say(30))) for d, s in enumerate(slots.tolist())]
+    rows += [(1000 + d, " ".join(say(20) + fixed[:12] + say(20))) for d in range(60)]
+    want = set()
+    for d in range(1, documents):
+        agree = np.cumsum(np.concatenate((np.zeros((d, 1), int), (slots[:d] == slots[d]).astype(int)), 1), 1)
+        want |= {(d, p) for p in np.flatnonzero((agree[:, 50:] - agree[:, :-50]).max(1) >= 40).tolist()}
+    monkeypatch.setattr(chaining, "BLOCK", 32)
+    found = {(g.doc_id, g.partner_id) for g in chaining.fuzzy_passages(frame(spark, rows).repartition(3), work, exact=True).collect()}
+    assert len(want) > 200 and want <= found
+
+
+def test_exact_links_count_every_shared_seed(spark, work, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK", 4)
+    postings = [(s, d) for s, n in ((1, 30), (2, 17), (3, 16)) for d in range(n)]
+    got = collections.Counter((r.row, r.partner) for r in chaining._met(work.save(spark.createDataFrame(postings, "seed bigint, row bigint"), "p"), work).collect())
+    assert got == {(a, b): 1 + (b < 17) for b in range(30) for a in range(b)}
