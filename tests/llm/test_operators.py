@@ -787,3 +787,14 @@ def test_exact_links_count_every_shared_seed(spark, work, monkeypatch):
     postings = [(s, d) for s, n in ((1, 30), (2, 17), (3, 16)) for d in range(n)]
     got = collections.Counter((r.row, r.partner) for r in chaining._met(work.save(spark.createDataFrame(postings, "seed bigint, row bigint"), "p"), work).collect())
     assert got == {(a, b): 1 + (b < 17) for b in range(30) for a in range(b)}
+
+
+def test_a_common_phrase_is_no_tasks_burden():
+    """Of a phrase that repeats in a packet, one mention goes to its bucket; its suffixes are dealt over others."""
+    import numpy as np
+
+    name = np.array([5 << 40] * 1000 + [7 << 40, 9 << 40], np.uint64)
+    rows = suffixes._packed(np.arange(1002), np.zeros((1002, 3), np.int32), name, 64).to_pylist()
+    held = lambda kind: [len(r["name"]) // 8 for r in rows if r["kind"] == kind]
+    assert sum(held(0)) == 2 and held(2) == [1] and sum(held(1)) == 1000 and max(held(1)) <= 63
+    assert len({r["bucket"] for r in rows if r["kind"] == 1}) >= 16

@@ -2,7 +2,7 @@
 
 Texts are cut into phrases at anchors: the window of ``window`` starts from each byte chooses the smallest 8-byte hash in it
 (rightmost on ties), so a repeated string has the same anchors inside, wherever it stands.  Every anchor is a
-suffix of the phrase string.  Each shard (a partition of the documents) writes its suffix rows once; the BWT symbol of
+suffix of the phrase string.  Each shard (a partition of the documents) sends its suffixes, packed, to the bucket of their first phrase; the BWT symbol of
 suffix (row, i) is the name of suffix (row, i - 1), so a transform and its mapping to the text are the same rows.
 
 Merging interleaves the shards' transforms round by round.  After a round with depth d every suffix has the name of its interval:
@@ -35,63 +35,155 @@ from tidemark.llm.workspace import Workspace, flagged
 
 K = 8
 _U = np.uint64
-
-
-def _anchors(data: np.ndarray, lo: int, hi: int, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the text data[lo:hi]: anchors (offsets in the text) and the first and last string start each stands for."""
-    n = hi - lo
-    if n < length:
-        return (np.zeros(0, np.int64),) * 3
-    b = data[lo:hi].astype(_U)
-    g = np.zeros(n - K + 1, _U)
-    for j in range(K):
-        g |= b[j : n - K + 1 + j] << _U(8 * j)
-    g = X.mix(g * _U(0x9E3779B97F4A7C15) + _U(1))
-    at = X.window_argmin(g, window)  # the choice of every start; starts above n - length begin no string
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    last = np.concatenate((first[1:], [len(at)])) - 1
-    return at[first], first, last
+_SECOND = X.mix(X._VALUE + _U(77))
+
+
+def _chosen(g: np.ndarray, window: int) -> np.ndarray:
+    """For each full window the place of its smallest hash, by the upper 40 bits, the rightmost among equals."""
+    low = _U((1 << 24) - 1)
+    if len(g) > int(low):
+        return X.window_argmin(g >> _U(24), window)
+    best, span = (g & ~low) | (low - np.arange(len(g), dtype=_U)), 1
+    while span < window:
+        step = min(span, window - span)
+        best = np.minimum(best[: len(best) - step], best[step:])
+        span += step
+    return (low - (best & low)).astype(np.int64)
+
+
+def _anchors(data: np.ndarray, offs: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts data[offs[t] : offs[t + 1]]: of each anchor its text, its place and the first and last string start that it
+    stands for, places in ``data``."""
+    long = np.flatnonzero(np.diff(offs) >= length)
+    if not len(long):
+        return (np.zeros(0, np.int64),) * 4
+    g = np.ndarray(len(data) - K + 1, "<u8", np.ascontiguousarray(data), strides=(1,))
+    at = _chosen(X.mix(g * _U(0x9E3779B97F4A7C15) + _U(1)), window)  # the choice of every start; some starts begin no string
+    mark = np.zeros(len(at) + 1, np.int8)
+    mark[offs[long]] += 1
+    mark[offs[long + 1] - (window + K - 2)] -= 1  # from here on a window would leave the text
+    inside = np.cumsum(mark, dtype=np.int8)[:-1] > 0
+    other = at[1:] != at[:-1]
+    first = np.flatnonzero(inside & np.append(True, other | ~inside[:-1]))
+    last = np.flatnonzero(inside & np.append(other | ~inside[1:], True))
+    return np.searchsorted(offs, first, "right") - 1, at[first], first, last
 
 
 class _Prefix:
     """Hashes of any stretch of one text: two independent polynomials."""
 
     def __init__(self, part: np.ndarray):
-        up, self.down = X.powers(len(part) + 1)
-        v = X._VALUE[part]
-        self.one = np.concatenate((np.zeros(1, _U), np.cumsum(v * up[: len(part)], dtype=_U)))
-        self.two = np.concatenate((np.zeros(1, _U), np.cumsum(X.mix(v + _U(77)) * up[: len(part)], dtype=_U)))
+        self.part, (self.up, self.down) = part, X.powers(len(part) + 1)
+        self.one, self.two = self._sums(X._VALUE), None
 
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scale, n = self.down[a], (b - a).astype(_U) * _U(0x2545F4914F6CDD1D)
-        return X.mix((self.one[b] - self.one[a]) * scale + n), X.mix((self.two[b] - self.two[a]) * scale + n)
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(self.part) + 1, _U)
+        np.cumsum(values[self.part] * self.up[: len(self.part)], dtype=_U, out=sums[1:])
+        return sums
 
+    def one_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first hash alone."""
+        return X.mix((self.one[b] - self.one[a]) * self.down[a] + (b - a).astype(_U) * _U(0x2545F4914F6CDD1D))
 
-def _shards(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """One row per anchor: row, i (its number in the text), at, depth (how many phrases all repeats of a string that the
-    anchor stands for share for sure; -1 if it stands for no whole string) and name (its first phrase)."""
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.two is None:
+            self.two = self._sums(_SECOND)
+        n = (b - a).astype(_U) * _U(0x2545F4914F6CDD1D)
+        return self.one_of(a, b), X.mix((self.two[b] - self.two[a]) * self.down[a] + n)
+
+
+#: Suffixes that a map task packs at a time, and bytes of text whose suffixes one reduce task is to hold.
+PACK, TASK_BYTES = 1 << 18, 24 << 20
+#: kind 0: suffixes whose first phrase is once in the packet; 1: suffixes of phrases that repeat in it; 2: those phrases, once each.
+_PACKED = "bucket int, kind int, row binary, at binary, name binary"
+
+
+def _packed(row: np.ndarray, at: np.ndarray, name: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Suffixes by bucket of their first phrase, a row for each bucket.  What repeats in the packet is settled: only one
+    mention of the phrase goes to the phrase's bucket, so a common phrase is no task's burden."""
+    order = np.argsort(name)
+    row, at, name = row[order], at[order], name[order]
+    same = name[1:] == name[:-1]
+    again = np.append(False, same)
+    twice = again | np.append(same, False)
+    rows: list[tuple[int, int, bytes, bytes, bytes]] = []
+    for kind, some in ((0, ~twice), (2, twice & ~again)):
+        r, a, n = row[some], at[some], name[some]
+        bucket = ((n >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(n)])
+        ends = np.append(cut[1:], len(n))
+        rows += [(int(bucket[x]), kind, *((r[x:y].tobytes(), a[x:y].tobytes()) if kind == 0 else (b"", b"")), n[x:y].tobytes()) for x, y in zip(cut, ends, strict=True)]
+    r, a, n = row[twice], at[twice], name[twice]
+    step = max(1, len(n) // 16)
+    turn = int(name[0] % _U(buckets))
+    rows += [((turn + x) % buckets, 1, r[x : x + step].tobytes(), a[x : x + step].tobytes(), n[x : x + step].tobytes()) for x in range(0, len(n), step)]
+    c = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(v, pa.binary()) for v in c[2:])], names=["bucket", "kind", "row", "at", "name"])
+
+
+def _shards(docs: DataFrame, length: int, window: int, buckets: int) -> DataFrame:
+    """One entry per anchor, packed: row, then i (its number in the text), at and depth (how many phrases all repeats of a
+    string that the anchor stands for share for sure; -1 if it stands for no whole string), and name (its first phrase)."""
     sure = length - (window - 1) - (window + K - 1)  # the strings' bytes after the anchor, less the reach of a window
     if sure < window:
         raise ValueError("window is too wide for this length")
 
     def run(batches):
+        held: list[tuple] = []
+        size = 0
         for part, data, offs in X.chunks(batches, "text"):
-            out = []
-            rows = part.column(0).to_numpy()
-            for t in range(part.num_rows):
-                n = offs[t + 1] - offs[t]
-                at, first, _ = _anchors(data, offs[t], offs[t + 1], length, window)
-                if not len(at):
-                    continue
-                bounds = np.append(at, n)
-                name = _Prefix(data[offs[t] : offs[t + 1]])(bounds[:-1], bounds[1:])[0]
-                depth = np.searchsorted(at, at + sure, "right") - 1 - np.arange(len(at))
-                out.append((np.full(len(at), rows[t]), np.arange(len(at)), at, np.where(first <= n - length, depth, -1), X.signed(name)))
-            if out:
-                c = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), *(pa.array(x.astype(np.int32)) for x in c[1:4]), pa.array(c[4])], names=["row", "i", "at", "depth", "name"])
+            text, at, first, _ = _anchors(data, offs, length, window)
+            if len(at):
+                every = np.arange(len(at))
+                new = np.append(True, text[1:] != text[:-1])
+                bounds = np.where(np.append(new[1:], True), offs[text + 1], np.append(at[1:], 0))
+                depth = np.where(first <= offs[text + 1] - length, np.searchsorted(at, at + sure, "right") - 1 - every, -1)
+                number = every - np.maximum.accumulate(np.where(new, every, 0))
+                held.append((part.column(0).to_numpy()[text], np.stack((number, at - offs[text], depth), 1).astype(np.int32), _Prefix(data).one_of(at, bounds)))
+                size += len(at)
+            if size >= PACK:
+                yield _packed(*map(np.concatenate, zip(*held, strict=True)), buckets)
+                held, size = [], 0
+        if size:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)), buckets)
+
+    return docs.mapInArrow(run, _PACKED)
+
+
+def _first_round(packed: DataFrame) -> DataFrame:
+    """The suffixes (row, i, at, depth, key) whose first phrase, the key, occurs at least twice in these partitions."""
+
+    def out(row, at, name):
+        for x in range(0, len(row), 1 << 16):
+            y = x + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(row[x:y]), *(pa.array(np.ascontiguousarray(at[x:y, j])) for j in range(3)), pa.array(X.signed(name[x:y]))], names=["row", "i", "at", "depth", "key"])
 
-    return docs.mapInArrow(run, "row bigint, i int, at int, depth int, name bigint")
+    def run(batches):
+        held: list[tuple] = []
+        told = [np.zeros(0, _U)]
+        for batch in batches:
+            for kind, row, at, name in zip(batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                n = np.frombuffer(name.as_buffer(), _U)
+                if kind == 2:
+                    told.append(n)
+                    continue
+                one = np.frombuffer(row.as_buffer(), np.int64), np.frombuffer(at.as_buffer(), np.int32).reshape(-1, 3), n
+                if kind:
+                    yield from out(*one)
+                else:
+                    held.append(one)
+        if held:
+            row, at, name = map(np.concatenate, zip(*held, strict=True))
+            known = np.concatenate((name, *told))
+            held.clear()
+            order = np.argsort(known)
+            same = known[order[1:]] == known[order[:-1]]
+            live = np.zeros(len(known), bool)
+            live[order] = np.append(False, same) | np.append(same, False)
+            live = live[: len(name)]
+            yield from out(row[live], at[live], name[live])
+
+    return packed.mapInArrow(run, "row bigint, i int, at int, depth int, key bigint")
 
 
 #: Rows of one key that a task may hold before the key is dealt over several tasks.
@@ -117,12 +209,12 @@ def _repeated(rows: DataFrame, work: Workspace, name: str, *key: str) -> DataFra
     return _semi(rows, sizes, list(key), ["row", "i"])
 
 
-def merge_transforms(suffixes: DataFrame, work: Workspace, rounds: int = 4) -> DataFrame:
-    """Anchors (row, at) whose ``depth`` phrases occur at least twice in the merged transform.
+def merge_transforms(packed: DataFrame, work: Workspace, rounds: int = 4) -> DataFrame:
+    """From packed suffixes, dealt by bucket, the anchors (row, at) whose ``depth`` phrases occur at least twice in the merged transform.
 
     Text without short periods has fewer than ``rounds`` phrases there; where short periods make many more, the interval of
     depth ``rounds`` decides, and the byte checks see to the rest: rounds only ever remove, so the result is the same."""
-    live = work.save(_repeated(suffixes, work, "round1", "name").withColumnRenamed("name", "key"), "round1")
+    live = work.save(_first_round(packed), "round1")
     deepest = live.agg(F.max("depth")).first()[0] or 0
     done, d = live.where("depth = 1").select("row", "at"), 1
     while d < min(deepest, rounds):
@@ -161,15 +253,13 @@ def _checks(rows: DataFrame, length: int, window: int) -> DataFrame:
 
     def run(batches):
         for part, data, offs in X.chunks(batches, "text"):
-            out = []
-            rows_, items = part.column("row").to_numpy(), part.column("items")
-            for t in range(part.num_rows):
-                n = offs[t + 1] - offs[t]
-                at, first, last = _anchors(data, offs[t], offs[t + 1], length, window)
-                keep = np.isin(at, items[t].values.to_numpy()) & (first <= n - length)
-                at, first, last = at[keep], first[keep], np.minimum(last[keep], n - length)
-                h = _Prefix(data[offs[t] : offs[t + 1]])
-                out.append((np.full(len(at), rows_[t]), at, first, last, np.ones(len(at)), *h(at, at + core), *h(first, last + length)))
+            items = part.column("items")
+            text, at, first, last = _anchors(data, offs, length, window)
+            wanted = items.flatten().to_numpy() + np.repeat(offs[:-1], items.value_lengths().to_numpy())
+            keep = np.isin(at, wanted) & (first <= offs[text + 1] - length)
+            text, at, first, last = text[keep], at[keep], first[keep], np.minimum(last[keep], offs[text[keep] + 1] - length)
+            h, lo = _Prefix(data), offs[text]
+            out = [(part.column("row").to_numpy()[text], at - lo, first - lo, last - lo, np.ones(len(at)), *h(at, at + core), *h(first, last + length))]
             yield _checked(out)
 
     return rows.mapInArrow(run, _CHECKED_TYPE)
@@ -234,9 +324,10 @@ def _strings(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, window: int = 128) -> DataFrame:
     """``docs(row, text)`` -> (row, items array<struct<a, b>>): byte spans covered by repeated strings; only rows that have any."""
-    suffixes = work.save(_shards(docs, length, window), "suffixes")
-    found = work.save(merge_transforms(suffixes, work).groupBy("row").agg(F.collect_list("at").alias("items")), "candidates")
-    work.drop("suffixes")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+    packed = _shards(docs, length, window, 8 * n).repartition(n, "bucket")
+    found = work.save(merge_transforms(packed, work).groupBy("row").agg(F.collect_list("at").alias("items")), "candidates")
     checks = work.save(_checks(_with_lists(docs, found), length, window), "checks")
     settled, left = _narrow(checks, work, "block", length)
     checks = work.save(_finer(_with_lists(docs, left), length), "finer")
