@@ -798,3 +798,26 @@ def test_a_common_phrase_is_no_tasks_burden():
     held = lambda kind: [len(r["name"]) // 8 for r in rows if r["kind"] == kind]
     assert sum(held(0)) == 2 and held(2) == [1] and sum(held(1)) == 1000 and max(held(1)) <= 63
     assert len({r["bucket"] for r in rows if r["kind"] == 1}) >= 16
+
+
+def test_shared_matches_are_those_of_every_gram():
+    """Of periodic, short, equal and unrelated texts: the n-th occurrence of a gram in one meets the n-th in the other."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    texts = lambda: [r.integers(0, v, n).astype("<u2") for v, n in ((3, 40), (9, 200), (60000, 300), (5, 3), (2, 4), (7, 0))]
+    xs, ys = texts() + [np.arange(50, dtype="<u2")], texts() + [np.arange(50, dtype="<u2")]
+    want = []
+    for t, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        places = []
+        for text in (x, y):
+            nth, at = collections.Counter(), {}
+            for i in range(len(text) - 3):
+                g = tuple(text[i : i + 4].tolist())
+                at[g, nth[g]] = i
+                nth[g] += 1
+            places.append(at)
+        want += [(t, i, places[1][g]) for g, i in places[0].items() if g in places[1]]
+    got = list(zip(*map(np.ndarray.tolist, chaining.shared_matches(xs, ys, 4)), strict=True))
+    assert got == sorted(want) and len(got) > 60
+    assert not len(chaining.shared_matches([xs[3]], [ys[3]], 4)[0])
