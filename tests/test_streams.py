@@ -135,3 +135,24 @@ def test_processors_bring_their_state_store(spark, tmp_path):
         assert spark.conf.get(name) == plain
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_ledger_key_works_on_rows():
+    """Keys are many and their rows few, so no frame is built for a key."""
+    from pyspark.sql import Row
+
+    class Held:
+        def exists(self):
+            return hasattr(self, "value")
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    ledger = state.FirstAccepted(1000)
+    ledger.first = Held()
+    rows = [Row(key="a", seq=s, payload=p) for s, p in ((3, "y"), (1, "x"), (2, "x"), (4, None))]
+    assert [tuple(r) for r in ledger.handleInputRows(("a",), iter(rows), None)] == [("a", 1, "ACCEPTED"), ("a", 2, "DUPLICATE"), ("a", 3, "CONFLICT"), ("a", 4, "CONFLICT")]
+    assert [r.status for r in ledger.handleInputRows(("a",), iter([Row(key="a", seq=5, payload="x")]), None)] == ["DUPLICATE"]

@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,15 +74,13 @@ class FirstAccepted(StatefulProcessor):
         self.first = handle.getValueState("first", "payload string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _arrived(rows, "seq")
-        payload = batch["payload"].to_numpy(object)
+        """Rows, not frames: a ledger has many keys of few rows, and a frame for each costs more than the rule."""
+        batch = sorted(((r.seq, r.payload) for r in rows), key=lambda r: r[0])
         known = self.first.get() if self.first.exists() else None
-        held = known[0] if known else payload[0]
-        status = np.where(payload == held, "DUPLICATE", "CONFLICT").astype(object)
-        if not known:
-            status[0] = "ACCEPTED"
+        held = known[0] if known else batch[0][1]
         self.first.update((held,))  # seen again: the time to live starts anew
-        yield pd.DataFrame({"key": key[0], "seq": batch["seq"].to_numpy(), "status": status})
+        for i, (seq, payload) in enumerate(batch):
+            yield Row(key=key[0], seq=seq, status="ACCEPTED" if not known and i == 0 else "DUPLICATE" if payload == held else "CONFLICT")
 
     def close(self) -> None:
         pass
@@ -232,7 +229,7 @@ class SessionBook(_Keyed):
 
 def ledger_stream(rows: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
     """``rows(key, seq, payload)`` -> key, seq, status."""
-    return rows.groupBy("key").transformWithStateInPandas(FirstAccepted(ttl_ms), FirstAccepted.output, "Append", "ProcessingTime")
+    return rows.groupBy("key").transformWithState(FirstAccepted(ttl_ms), FirstAccepted.output, "Append", "ProcessingTime")
 
 
 def bounded_stream(rows: DataFrame, most: int) -> DataFrame:
