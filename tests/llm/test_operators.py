@@ -426,6 +426,14 @@ def test_repeated_strings_match_brute_force(spark, work, seed):
     assert collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
 
 
+def test_packets_without_repeats_or_without_single_phrases():
+    import numpy as np
+
+    for name in (np.arange(1, 5), np.full(6, 9)):
+        rows = suffixes._packed(np.arange(len(name)), np.zeros((len(name), 3), np.int32), name.astype(np.uint64), 4).to_pylist()
+        assert sum(len(r["name"]) // 8 for r in rows if r["kind"] < 2) == len(name)
+
+
 def test_repeats_empty(spark, work):
     assert suffixes.remove_repeats(empty(spark), work).count() == 0
 

@@ -111,7 +111,7 @@ def _packed(row: np.ndarray, at: np.ndarray, name: np.ndarray, buckets: int) ->
         r, a, n = row[some], at[some], name[some]
         bucket = ((n >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(n)])
-        ends = np.append(cut[1:], len(n))
+        ends = np.append(cut[1:], len(n))[: len(cut)]
         rows += [(int(bucket[x]), kind, *((r[x:y].tobytes(), a[x:y].tobytes()) if kind == 0 else (b"", b"")), n[x:y].tobytes()) for x, y in zip(cut, ends, strict=True)]
     r, a, n = row[twice], at[twice], name[twice]
     step = max(1, len(n) // 16)
