@@ -156,3 +156,34 @@ def test_a_ledger_key_works_on_rows():
     rows = [Row(key="a", seq=s, payload=p) for s, p in ((3, "y"), (1, "x"), (2, "x"), (4, None))]
     assert [tuple(r) for r in ledger.handleInputRows(("a",), iter(rows), None)] == [("a", 1, "ACCEPTED"), ("a", 2, "DUPLICATE"), ("a", 3, "CONFLICT"), ("a", 4, "CONFLICT")]
     assert [r.status for r in ledger.handleInputRows(("a",), iter([Row(key="a", seq=5, payload="x")]), None)] == ["DUPLICATE"]
+
+
+def differs_in_a_plain_session(spark, tmp_path, name):
+    """Rows of a query that differ from its SQL on a small table, in a session with Spark's default state store."""
+    import collections
+
+    import duckdb
+
+    from tidemark.plans import library
+
+    key, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    sf = str(tmp_path / "sf")
+    # two instruments over fifteen days, with hours that hold no event
+    rows = [(i, START + i * dt.timedelta(minutes=27), i % 5, ("view", "click")[i % 2], i * 37 % 11 / 4, f'{{"k": {i % 4}}}') for i in range(800) if i % 13 > 1]
+    spark.createDataFrame(rows, bars.EVENTS).write.parquet(f"{sf}/events.parquet")
+    before = spark.conf.get(key)
+    spark.conf.set(key, plain)
+    try:
+        df = library.QUERIES[name](spark, sf)
+        got = collections.Counter(map(repr, map(tuple, df.collect())))
+    finally:
+        spark.conf.set(key, before)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    want = collections.Counter(map(repr, con.sql(library.ORACLES[name]).select(", ".join(df.columns)).fetchall()))
+    assert want
+    return (got - want) + (want - got)
+
+
+def test_bounded_observations_in_a_plain_session(spark, tmp_path):
+    assert not differs_in_a_plain_session(spark, tmp_path, "stream_bounded_observations")
