@@ -187,3 +187,7 @@ def differs_in_a_plain_session(spark, tmp_path, name):
 
 def test_bounded_observations_in_a_plain_session(spark, tmp_path):
     assert not differs_in_a_plain_session(spark, tmp_path, "stream_bounded_observations")
+
+
+def test_seeded_bars_in_a_plain_session(spark, tmp_path):
+    assert not differs_in_a_plain_session(spark, tmp_path, "stream_seeded_bars")
