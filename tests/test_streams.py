@@ -191,3 +191,7 @@ def test_bounded_observations_in_a_plain_session(spark, tmp_path):
 
 def test_seeded_bars_in_a_plain_session(spark, tmp_path):
     assert not differs_in_a_plain_session(spark, tmp_path, "stream_seeded_bars")
+
+
+def test_accumulated_bars_in_a_plain_session(spark, tmp_path):
+    assert not differs_in_a_plain_session(spark, tmp_path, "stream_accumulated_bars")
