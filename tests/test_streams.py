@@ -195,3 +195,7 @@ def test_seeded_bars_in_a_plain_session(spark, tmp_path):
 
 def test_accumulated_bars_in_a_plain_session(spark, tmp_path):
     assert not differs_in_a_plain_session(spark, tmp_path, "stream_accumulated_bars")
+
+
+def test_the_session_book_in_a_plain_session(spark, tmp_path):
+    assert not differs_in_a_plain_session(spark, tmp_path, "stream_session_book")
