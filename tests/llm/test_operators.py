@@ -434,6 +434,29 @@ def test_packets_without_repeats_or_without_single_phrases():
         assert sum(len(r["name"]) // 8 for r in rows if r["kind"] < 2) == len(name)
 
 
+@pytest.mark.parametrize("seed, words", [(0, 12), (4, 51)])
+def test_shared_words_match_brute_force(spark, work, seed, words):
+    """Passages that other documents have, also those too short to be removed; repeats inside one document are none."""
+    rows = corpus(seed)
+    r = random.Random(seed + 9)
+    say = lambda k: ["".join(r.choice("abcdefghij") for _ in range(3)) for _ in range(k)]
+    short, own = say(51), say(120)
+    rows += [(300, " ".join(say(70) + short + say(9))), (301, "\n".join(say(5) + short)), (302, " ".join(short[1:])), (303, " ".join(own + say(3) + own)), (304, " ".join(short).upper())]
+    rows += [(310 + i, " ".join(say(i) + short[:20] + say(40))) for i in range(30)]  # a common phrase in contexts of its own
+    got = suffixes.remove_repeats(frame(spark, rows).repartition(3), work, words=words).collect()
+    split = [SPACED.findall(t or "") for _, t in rows]
+    of = collections.defaultdict(set)
+    for row, w in zip(rows, split, strict=True):
+        for p in range(len(w) - words + 1):
+            of[tuple(w[p : p + words])].add(row)
+    want = collections.Counter()
+    for row, w in zip(rows, split, strict=True):
+        want[row[0], len({q for p in range(len(w) - words + 1) if len(of[tuple(w[p : p + words])]) > 1 for q in range(p, p + words)})] += 1
+    assert collections.Counter((x.doc_id, x.n_shared_words) for x in got) == want
+    if words == 51:
+        assert {x.doc_id: (x.n_removed, x.n_shared_words) for x in got if 300 <= x.doc_id < 305} == {300: (0, 51), 301: (0, 51), 302: (0, 0), 303: (958, 0), 304: (0, 0)}
+
+
 def test_repeats_empty(spark, work):
     assert suffixes.remove_repeats(empty(spark), work).count() == 0
 

@@ -16,6 +16,9 @@ Surviving anchors are candidates; exact checks on their bytes follow: the shared
 then the whole block of those strings at once, where that is not repeated short runs of them, and only then each string alone.  Names and
 checks are 64-bit and longer hashes of bytes.
 
+Passages of words that other texts have, too short in bytes or not, are counted beside this: the same choice of anchors over 8-word grams,
+then blocks of passages, then single passages.
+
 Matches never cross texts.  Edge cases: null and empty texts have no bytes; texts under ``length`` bytes keep everything; repeated rows
 (equal id and text) are two occurrences and so lose their repeated bytes, each row for itself; an empty table gives an empty
 result; extra columns are ignored.
@@ -58,7 +61,12 @@ def _anchors(data: np.ndarray, offs: np.ndarray, length: int, window: int) -> tu
     if not len(long):
         return (np.zeros(0, np.int64),) * 4
     g = np.ndarray(len(data) - K + 1, "<u8", np.ascontiguousarray(data), strides=(1,))
-    at = _chosen(X.mix(g * _U(0x9E3779B97F4A7C15) + _U(1)), window)  # the choice of every start; some starts begin no string
+    return _runs(X.mix(g * _U(0x9E3779B97F4A7C15) + _U(1)), offs, long, window)
+
+
+def _runs(h: np.ndarray, offs: np.ndarray, long: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the hashes of all K-grams, for the texts ``long``."""
+    at = _chosen(h, window)  # the choice of every start; some starts begin no string
     mark = np.zeros(len(at) + 1, np.int8)
     mark[offs[long]] += 1
     mark[offs[long + 1] - (window + K - 2)] -= 1  # from here on a window would leave the text
@@ -340,13 +348,94 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, window:
     return spans
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window: int = 128) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed runs ``a:b`` in bytes)."""
+#: Words ``[^\x20\x09-\x0D]+`` as they stand, upper and lower case apart.
+_AS_IS = np.where(X.SPACED > 0, np.arange(256), 0).astype(np.uint8)
+_AS_IS[0] = X.SPACED[0]
+
+
+def _stretches(values: np.ndarray, size: int):
+    """A hash of any stretch of these words; ``size`` is that of their text, whose powers are at hand."""
+    up, down = X.powers(size + 1)
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * up[: len(values)], dtype=_U, out=sums[1:])
+    return lambda a, b: X.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(_U) * _U(0x2545F4914F6CDD1D))
+
+
+def _passages(docs: DataFrame, words: int) -> DataFrame:
+    """An entry for each anchor among the words, the smallest of the K-grams of a passage of ``words`` words: row, the first word and the end
+    of the passages that chose it, key (its gram) and block (all their words)."""
+    if words < K:
+        raise ValueError(f"a passage has {K} words at least")
+
+    def run(batches):
+        for part, data, offs in X.chunks(batches, "text"):
+            hashes, begin = X.words(data, offs, _AS_IS)
+            long = np.flatnonzero(np.diff(begin) >= words)
+            if len(long):
+                of, every = _stretches(hashes, len(data)), np.arange(len(hashes) - K + 1)
+                g = of(every, every + K)
+                text, at, first, last = _runs(g, begin, long, words - K + 1)
+                end, lo = last + words, begin[text]
+                c = part.column("row").to_numpy()[text], (first - lo).astype(np.int32), (end - lo).astype(np.int32), X.signed(g[at]), X.signed(of(first, end))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["row", "first", "end", "key", "block"])
+
+    return docs.mapInArrow(run, "row bigint, first int, end int, key bigint, block bigint")
+
+
+def _single_passages(rows: DataFrame, words: int) -> DataFrame:
+    """``rows(row, text, items array<struct<first, end, w>>)`` -> every passage of the items with its hashes and weight."""
+
+    def run(batches):
+        for part, data, offs in X.chunks(batches, "text"):
+            hashes, begin = X.words(data, offs, _AS_IS)
+            items = part.column("items")
+            s, of_text = items.flatten(), np.repeat(np.arange(part.num_rows), items.value_lengths().to_numpy())
+            first, end, w = (s.field(k).to_numpy() for k in ("first", "end", "w"))
+            count = end - first - words + 1
+            text = np.repeat(of_text, count)
+            p = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            a = p + begin[text]
+            h1, h2 = (_stretches(v, len(data))(a, a + words) for v in (hashes, X.mix(hashes + _U(77))))
+            c = part.column("row").to_numpy()[text], p.astype(np.int32), np.repeat(w, count), X.signed(h1), X.signed(h2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["row", "p", "w", "h1", "h2"])
+
+    return rows.mapInArrow(run, "row bigint, p int, w int, h1 bigint, h2 bigint")
+
+
+def shared_words(docs: DataFrame, work: Workspace, words: int = 51) -> DataFrame:
+    """``docs(row, text)`` -> (row, n_shared_words): words in passages of ``words`` words that another row has too, whatever stands between
+    the words; only rows that have any.  As with bytes, anchors are met first, then all passages of an anchor, and only the rest one by one."""
+    n, across = F.count(F.lit(1)).alias("n"), (F.min("row") < F.max("row")).alias("across")
+    found = work.save(_passages(docs, words), "passages")
+    keys = work.save(found.groupBy("key").agg(n, across).where("across").drop("across"), "passage_keys")
+    alike = work.save(_semi(found, keys, ["key"], ["row", "first"]), "passages_alike")
+    blocks = work.save(alike.groupBy("key", "block").agg(n, across, F.min(F.struct("row", "first", "end")).alias("one")), "passage_blocks")
+    whole, alone = (work.save(blocks.where(c).select("key", "block", "n"), f"passages_{name}") for name, c in (("whole", "across"), ("alone", "NOT across")))
+    settled = _semi(alike, whole, ["key", "block"], ["row", "first"]).select("row", F.col("first").alias("a"), F.col("end").alias("b"))
+    unsure = work.save(blocks.groupBy("key").agg(n, F.bool_and("across").alias("sure")).where("NOT sure").drop("sure"), "passages_unsure")
+    # of a block that many rows have, one mention is compared with what is left
+    mention = _semi(blocks.where("across").select("key", "one.*"), unsure, ["key"], ["row", "first"]).select("row", "first", "end", F.lit(2).alias("w"))
+    left = _semi(alike, alone, ["key", "block"], ["row", "first"]).select("row", "first", "end", F.lit(1).alias("w")).unionByName(mention)
+    left = work.save(left.groupBy("row").agg(F.collect_list(F.struct("first", "end", "w")).alias("items")), "passages_left")
+    single = work.save(_single_passages(_with_lists(docs, left), words), "passages_single")
+    twice = single.groupBy("h1", "h2").agg(n, across, F.min("w").alias("least"), F.max("w").alias("most")).where("least = 1 AND (across OR most = 2)")
+    rest = _semi(single.where("w = 1"), work.save(twice.select("h1", "h2", "n"), "passages_twice"), ["h1", "h2"], ["row", "p"])
+    spans = settled.union(rest.select("row", F.col("p").alias("a"), (F.col("p") + words).alias("b"))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+    covered = F.expr("aggregate(s, named_struct('n', 0L, 'to', 0), (x, y) -> named_struct('n', x.n + greatest(0, y.b - greatest(y.a, x.to)), 'to', greatest(x.to, y.b)), x -> x.n)")
+    return spans.select("row", covered.alias("n_shared_words"))
+
+
+def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window: int = 128, words: int = 51) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs ``a:b`` in bytes) and n_shared_words (words
+    in passages of ``words`` words that another document has, removed or not)."""
     keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "text")
     spans = repeated_spans(keyed.select("row", "text"), work, length, window)
-    marked = flagged(keyed, spans)
-    joined = marked.where("maybe").join(spans, "row", "left").select("doc_id", "text", "items").unionByName(
-        marked.where("NOT maybe").select("doc_id", "text", F.lit(None).cast(spans.schema["items"].dataType).alias("items")))
+    found = work.save(spans.join(shared_words(keyed.select("row", "text"), work, words), "row", "full"), "found")
+    work.keep_only("found")
+    marked = flagged(keyed, found)
+    joined = marked.where("maybe").join(found, "row", "left").select("doc_id", "text", "items", "n_shared_words").unionByName(
+        marked.where("NOT maybe").select("doc_id", "text", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("items", "n_shared_words"))))
+    joined = joined.withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0).cast("long")))
 
     def cut(batches):
         for part, data, offs in X.chunks(batches, "text"):
@@ -367,13 +456,13 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = 400, window:
                 out["n_spans"].append(len(gone))
                 out["kept_sha256"].append(hashlib.sha256(text.tobytes()).hexdigest())
                 out["spans"].append(",".join(f"{a}:{b}" for a, b in gone))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offs)), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"]), pa.array(out["spans"])], names=["doc_id", "n_bytes", *out])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offs)), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"]), pa.array(out["spans"]), part.column("n_shared_words")], names=["doc_id", "n_bytes", *out, "n_shared_words"])
 
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
+    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string, n_shared_words bigint")
 
 
 def op8_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, Workspace(spark, "suffixes")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", (F.col("n_removed") > 0).alias("repeated")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", (F.col("n_removed") > 0).alias("repeated"), "n_shared_words"
     )
