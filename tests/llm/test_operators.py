@@ -852,3 +852,44 @@ def test_shared_matches_are_those_of_every_gram():
     got = list(zip(*map(np.ndarray.tolist, chaining.shared_matches(xs, ys, 4)), strict=True))
     assert got == sorted(want) and len(got) > 60
     assert not len(chaining.shared_matches([xs[3]], [ys[3]], 4)[0])
+
+
+@pytest.mark.parametrize("many", [64, 16])
+def test_common_seeds_lose_no_link(spark, work, monkeypatch, many):
+    """Form letters whose every seed is common, a line and two halves of a passage in many texts: each pair is found that the exact mode finds."""
+    import numpy as np
+
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    fixed, line, documents = say(64), say(13), 200
+    slots = np.array([[r.randrange(3) if i % 2 == 0 else -1 for i in range(64)] for _ in range(documents)])
+    slots[1::2] = np.where(np.arange(64) % 8 == 6, (slots[::2] + 1) % 3, slots[::2])
+    rows = [(d, " ".join(say(30) + [fixed[i] if v < 0 else f"s{i}v{v}" for i, v in enumerate(s)] + say(30))) for d, s in enumerate(slots.tolist())]
+    rows += [(1000 + d, " ".join(say(20) + line + say(40))) for d in range(80)]
+    # around the line, 27 of 37 words agree and never four in a row: no seed beyond the line is shared
+    near = say(37)
+    spoilt = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(near)]
+    rows += [(2000, " ".join(say(50) + line + near + say(5))), (2001, " ".join(say(3) + line + spoilt + say(60)))]
+    monkeypatch.setattr(chaining, "MANY", many)
+    monkeypatch.setattr(chaining, "NEAR_BLOCK", 40)
+    docs = frame(spark, rows).repartition(3)
+    found, exact = (sorted(map(tuple, chaining.fuzzy_passages(docs, Workspace(spark, "t"), exact=e).collect())) for e in (False, True))
+    assert found == exact and len(found) > 200
+    assert (2001, 2000) in {f[:2] for f in found} and not {i for f in found for i in f[:2] if 1000 <= i < 2000}
+
+
+def test_pairs_that_share_trigrams_match_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for trial in range(40):
+        n = int(r.integers(2, 40))
+        texts = [r.integers(0, r.choice([2, 5, 40]), r.integers(0, 60)).astype(np.uint8) for _ in range(n)]
+        place, before, least = np.array([r.integers(0, len(t) + 1) for t in texts]), r.integers(0, 3, n), int(r.integers(1, 8))
+        half = int(r.integers(1, n)) if trial % 2 else None
+        held = [collections.Counter((*t[i : i + 3].tolist(), i >= p) for i in range(len(t) - 2)) for t, p in zip(texts, place, strict=True)]
+        pairs = [(i, j) for j in range(n) for i in range(j) if (before[i] != before[j] or before[i] == 0) and (half is None or i < half <= j)]
+        want = [(i, j) for i, j in pairs if sum((held[i] & held[j]).values()) >= least]
+        offs = np.cumsum([0, *map(len, texts)])
+        got = zip(*chaining.near_pairs(np.concatenate(texts), offs, place, before, least, half, side=int(r.choice([4, 7, 512]))), strict=True)
+        assert sorted(got) == sorted(want)
