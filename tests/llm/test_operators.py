@@ -891,5 +891,21 @@ def test_pairs_that_share_trigrams_match_brute_force():
         pairs = [(i, j) for j in range(n) for i in range(j) if (before[i] != before[j] or before[i] == 0) and (half is None or i < half <= j)]
         want = [(i, j) for i, j in pairs if sum((held[i] & held[j]).values()) >= least]
         offs = np.cumsum([0, *map(len, texts)])
-        got = zip(*chaining.near_pairs(np.concatenate(texts), offs, place, before, least, half, side=int(r.choice([4, 7, 512]))), strict=True)
-        assert sorted(got) == sorted(want)
+        tiles = chaining.near_pairs(np.concatenate(texts), offs, place, before, least, half, side=int(r.choice([4, 7, 512])))
+        assert sorted(p for tile in tiles for p in zip(*tile, strict=True)) == sorted(want)
+
+
+def test_distances_match_the_plain_table():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(300):
+        v = r.choice((2, 4, 40))
+        x, y = ([r.randrange(v) for _ in range(r.randrange(r.choice((4, 30, 90))))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            new = [i]
+            for j, b in enumerate(y):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (a != b)))
+            row = new
+        assert chaining._distance(np.array(x, np.uint16), np.array(y, np.uint16)) == row[-1]
